@@ -32,7 +32,8 @@ def equal_width_bin(value, low: float, high: float, bins: int) -> Column:
 
 
 def bin_label(number: Column, labels: Sequence[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(t) for t in labels]), number)
+    # The guard matters: element_at takes a NULL position in an array of literals for the last.
+    return F.when(number.isNotNull(), F.element_at(F.array(*[F.lit(t) for t in labels]), number))
 
 
 def polynomial_terms(values: Mapping[str, Column], degree: int, lowest: int = 2) -> dict[str, Column]:

@@ -145,23 +145,23 @@ def previous_features(
         )
     approved = F.when(status == subsets["APPROVED"], F.lit(1))
     counted = aggregate(
-        previous.withColumn("__approved", approved),
+        previous.withColumn("is_approved", approved),
         CLIENT,
         PREVIOUS_SPEC,
         prefix="PREV",
         rates=found,
         subsets=cuts,
-        extra={"__approved": "sum"},
+        extra={"is_approved": "sum"},
         count_as="TOTAL_PREV_COUNT",
     )
     return counted.withColumns(
         {
-            "APPROVED_COUNT": F.nullif(F.col("PREV___approved_SUM"), F.lit(0)),
+            "APPROVED_COUNT": F.nullif(F.col("PREV_is_approved_SUM"), F.lit(0)),
             "APPROVAL_PERCENT": ieee_div(
-                F.nullif(F.col("PREV___approved_SUM"), F.lit(0)), "TOTAL_PREV_COUNT"
+                F.nullif(F.col("PREV_is_approved_SUM"), F.lit(0)), "TOTAL_PREV_COUNT"
             ),
         }
-    ).drop("PREV___approved_SUM")
+    ).drop("PREV_is_approved_SUM")
 
 
 def pos_features(pos: DataFrame, *, known_levels: KnownLevels = None) -> DataFrame:
