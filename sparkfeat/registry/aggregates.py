@@ -32,7 +32,7 @@ def _gapped_orders(spark, sf):
 _PRICE_SPEC = {"price": "min max mean sum var", "day": "min max mean size"}
 _PRICE_SQL = """min(price) {w} AS {p}_price_MIN, max(price) {w} AS {p}_price_MAX,
        sum(price) {w} / nullif(count(price) {w}, 0) AS {p}_price_MEAN, {sum} AS {p}_price_SUM,
-       round(var_samp(price) {w} / 1e12, 4) AS {p}_price_VAR,
+       round(var_samp(price) {w} / 999983000000.0::DOUBLE, 4) AS {p}_price_VAR,
        min(day) {w} AS {p}_day_MIN, max(day) {w} AS {p}_day_MAX, avg(day) {w} AS {p}_day_MEAN,
        {size} AS {p}_day_SIZE"""
 
@@ -54,7 +54,7 @@ def _price_sql(prefix, where=None):
 )
 def _(spark, sf):
     out = aggregate(_gapped_orders(spark, sf), "client", _PRICE_SPEC, prefix="ORD")
-    return rounded(out, {"ORD_price_VAR": 1e12})
+    return rounded(out, {"ORD_price_VAR": 999983000000.0})
 
 
 @register(
@@ -204,7 +204,7 @@ def _(spark, sf):
         prefix="ALL",
         subsets=[Subset(v, F.col("status") == v) for v in ("F", "O")],
     )
-    return rounded(out, {f"{p}_price_VAR": 1e12 for p in ("ALL", "F", "O")})
+    return rounded(out, {f"{p}_price_VAR": 999983000000.0 for p in ("ALL", "F", "O")})
 
 
 @register("subset_agg_joined", _SUBSET_SQL)
@@ -217,7 +217,7 @@ def _(spark, sf):
         for v in ("F", "O")
     ]
     out = joins.assemble(whole, "client", parts)
-    return rounded(out, {f"{p}_price_VAR": 1e12 for p in ("ALL", "F", "O")})
+    return rounded(out, {f"{p}_price_VAR": 999983000000.0 for p in ("ALL", "F", "O")})
 
 
 _VALUE = sql_cents("value")
@@ -227,13 +227,13 @@ _VALUE = sql_cents("value")
     "all_columns_agg",
     f"""SELECT user_id, min(cents) AS CC_cents_MIN, max(cents) AS CC_cents_MAX,
                avg(cents) AS CC_cents_MEAN, sum(cents) AS CC_cents_SUM,
-               round(var_samp(cents) / 1e6, 4) AS CC_cents_VAR,
+               round(var_samp(cents) / 999983.0::DOUBLE, 4) AS CC_cents_VAR,
                min(hour) AS CC_hour_MIN, max(hour) AS CC_hour_MAX, avg(hour) AS CC_hour_MEAN,
-               CAST(sum(hour) AS BIGINT) AS CC_hour_SUM, round(var_samp(hour), 4) AS CC_hour_VAR, """
+               CAST(sum(hour) AS BIGINT) AS CC_hour_SUM, round(var_samp(hour) / 0.7::DOUBLE, 4) AS CC_hour_VAR, """
     + ", ".join(
         f"min({e}) AS CC_event_type_{v}_MIN, max({e}) AS CC_event_type_{v}_MAX, "
         f"avg({e}) AS CC_event_type_{v}_MEAN, CAST(sum({e}) AS BIGINT) AS CC_event_type_{v}_SUM, "
-        f"round(var_samp({e}), 4) AS CC_event_type_{v}_VAR"
+        f"round(var_samp({e}) / 0.7::DOUBLE, 4) AS CC_event_type_{v}_VAR"
         for v, e in [
             *[(v, f"CASE WHEN event_type = '{v}' THEN 1 ELSE 0 END") for v in _EVENT_LEVELS],
             ("nan", "CASE WHEN event_type IS NULL THEN 1 ELSE 0 END"),
@@ -252,7 +252,7 @@ def _(spark, sf):
         events, "user_id", prefix="CC", levels=found, drop=["event_id"], count_as="CC_COUNT"
     )
     small = [c for c in out.columns if c.endswith("_VAR") and c != "CC_cents_VAR"]
-    return rounded(out, {"CC_cents_VAR": 1e6, **{c: 1.0 for c in small}})
+    return rounded(out, {"CC_cents_VAR": 999983.0, **{c: 0.7 for c in small}})
 
 
 @register(

@@ -150,8 +150,13 @@ def clipped_sql(source: str, columns: list[str], rest: list[str]) -> str:
 
 
 def rounded_sql(value: str, scale) -> str:
-    """Round to a number of digits (int), or divide by a scale (float) and round to four."""
-    return f"round({value}, {scale})" if isinstance(scale, int) else f"round(({value}) / {scale}, 4)"
+    """Round to a number of digits (int), or divide by a scale (float) and round to four.
+
+    The scales are not powers of ten, so that no exact value falls on a rounding edge.
+    """
+    if isinstance(scale, int):
+        return f"round({value}, {scale})"
+    return f"round(({value}) / {scale}::DOUBLE, 4)"
 
 
 def spec_sql(prefix: str, spec: dict, where: str | None = None, scales: dict | None = None) -> list[str]:
@@ -214,7 +219,7 @@ def comparable(df: DataFrame, prefixes, scales: dict) -> DataFrame:
 
 _PRIORITY = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 _EVENTS = ["click", "error", "purchase", "signup", "view"]
-_BUREAU_SCALES = {"DAYS_CREDIT_VAR": 1e2, "AMT_CREDIT_MAX_OVERDUE_MEAN": 3}
+_BUREAU_SCALES = {"DAYS_CREDIT_VAR": 997.0, "AMT_CREDIT_MAX_OVERDUE_MEAN": 3}
 
 
 def _bureau_sql():
@@ -245,7 +250,7 @@ def _(spark, sf):
     return comparable(out, ["BURO", *history.BUREAU_SUBSETS], scales)
 
 
-_PREVIOUS_SCALES = {"APP_CREDIT_PERC_MEAN": 1e-2, "APP_CREDIT_PERC_VAR": 1e-2}
+_PREVIOUS_SCALES = {"APP_CREDIT_PERC_MEAN": 0.0097, "APP_CREDIT_PERC_VAR": 0.0097}
 
 
 def _previous_sql():
@@ -284,8 +289,8 @@ def _(spark, sf):
 
 
 _PAYMENT_SCALES = {
-    "PAYMENT_PERC_MEAN": 1e-2, "PAYMENT_PERC_SUM": 1.0, "PAYMENT_PERC_VAR": 1e-4,
-    "PAYMENT_DIFF_VAR": 1e3,
+    "PAYMENT_PERC_MEAN": 0.0097, "PAYMENT_PERC_SUM": 0.97, "PAYMENT_PERC_VAR": 0.000097,
+    "PAYMENT_DIFF_VAR": 997.0,
 }
 
 
@@ -308,7 +313,7 @@ def _(spark, sf):
 
 
 def _card_sql():
-    scales = {"MONTHS_BALANCE_VAR": 1.0, "AMT_BALANCE_VAR": 1e6}
+    scales = {"MONTHS_BALANCE_VAR": 7.0, "AMT_BALANCE_VAR": 999983.0}
     spec = {"MONTHS_BALANCE": "min max mean sum var", "AMT_BALANCE": "min max mean sum var"}
     outputs = spec_sql("CC", spec, None, scales)
     for v in [*_EVENTS, None]:
@@ -317,7 +322,7 @@ def _card_sql():
         name = f"CC_NAME_CONTRACT_STATUS_{v or 'nan'}"
         outputs += [
             f'min({hit}) AS "{name}_MIN"', f'max({hit}) AS "{name}_MAX"', f'avg({hit}) AS "{name}_MEAN"',
-            f'CAST(sum({hit}) AS BIGINT) AS "{name}_SUM"', f'round(var_samp({hit}), 4) AS "{name}_VAR"',
+            f'CAST(sum({hit}) AS BIGINT) AS "{name}_SUM"', f'round(var_samp({hit}) / 0.7::DOUBLE, 4) AS "{name}_VAR"',
         ]
     outputs = [e.replace("coalesce(sum(MONTHS_BALANCE) , 0)", "sum(MONTHS_BALANCE)::BIGINT") for e in outputs]
     return f"""SELECT SK_ID_CURR, {", ".join(outputs)}, CAST(count(*) AS BIGINT) AS "CC_COUNT"
@@ -327,8 +332,8 @@ def _card_sql():
 @register("card_like", _card_sql())
 def _(spark, sf):
     out = history.card_features(role(spark, sf, CARDS))
-    scales = {"MONTHS_BALANCE_VAR": 1.0, "AMT_BALANCE_VAR": 1e6}
-    scales |= {f"NAME_CONTRACT_STATUS_{v}_VAR": 1.0 for v in [*_EVENTS, "nan"]}
+    scales = {"MONTHS_BALANCE_VAR": 7.0, "AMT_BALANCE_VAR": 999983.0}
+    scales |= {f"NAME_CONTRACT_STATUS_{v}_VAR": 0.7 for v in [*_EVENTS, "nan"]}
     return comparable(out, ["CC"], scales)
 
 
