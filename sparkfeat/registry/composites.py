@@ -290,7 +290,7 @@ def _(spark, sf):
 
 _PAYMENT_SCALES = {
     "PAYMENT_PERC_MEAN": 0.0097, "PAYMENT_PERC_SUM": 0.97, "PAYMENT_PERC_VAR": 0.000097,
-    "PAYMENT_DIFF_VAR": 997.0,
+    "PAYMENT_DIFF_VAR": 999983000.0,
 }
 
 
