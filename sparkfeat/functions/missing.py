@@ -17,6 +17,13 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def text_literal(value: str | None) -> str:
+    """A string as a SQL literal."""
+    if value is None:
+        return "NULL"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def as_column(value) -> Column:
     """A column from a column name, a Column, or a number."""
     if isinstance(value, Column):

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.missing import as_column, nan_to_null
+from sparkfeat.functions.missing import as_column, quoted, text_literal
 from sparkfeat.operators.columns import check_distinct_names
 from sparkfeat.operators.profile import float_columns, numeric_columns
 
@@ -30,10 +30,10 @@ Levels = Mapping[str, Sequence["str | None"]]
 
 @dataclass(frozen=True)
 class Subset:
-    """Aggregate the specification again over the rows where ``where`` holds."""
+    """Aggregate the specification again over the rows where the SQL condition holds."""
 
     prefix: str
-    where: Column
+    where: str
 
 
 def output_name(prefix: str, column: str, function: str) -> str:
@@ -50,74 +50,97 @@ def with_missing_level(levels: Levels) -> dict[str, list[str | None]]:
     return {c: [*found, None] for c, found in levels.items()}
 
 
-def _aggregate(function: str, value: Column, wanted: set[str], rows: Column, where, is_float):
-    """One aggregate expression; ``rows`` counts the rows of the group (or of the subset)."""
+# Outputs are written as SQL text: a wide table has hundreds of them, and one text per output
+# reaches the JVM in one call.
 
-    def clean(result):
-        return nan_to_null(result) if is_float else result
 
-    if where is not None:
-        value = F.when(where, value)
-    if function == "min":
-        return F.min(value)
-    if function == "max":
-        return F.max(value)
+def _no_nan(result: str) -> str:
+    return f"nanvl({result}, CAST(NULL AS DOUBLE))"
+
+
+def _aggregate(function: str, column: str, functions: list[str], where: str | None, is_float: bool):
+    """SQL of one aggregate over all rows of the group, or over those of a condition."""
+    value = quoted(column) if where is None else f"CASE WHEN {where} THEN {quoted(column)} END"
+    rows = "count(1)" if where is None else f"count_if({where})"
+    if function in ("min", "max"):
+        return f"{function}({value})"
     if function == "mean":
-        if "sum" not in wanted:
-            return nan_to_null(F.avg(value))
-        mean = F.when(F.count(value) > 0, F.sum(value).cast("double") / F.count(value))
-        return clean(mean)
+        if "sum" not in functions:
+            return _no_nan(f"avg({value})")
+        # Shares the buffer of the sum.
+        mean = f"CASE WHEN count({value}) > 0 THEN CAST(sum({value}) AS DOUBLE) / count({value}) END"
+        return _no_nan(mean)
+    if function == "var":
+        return _no_nan(f"var_samp({value})")
     if function == "sum":
-        total = F.coalesce(clean(F.sum(value)), F.lit(0))
+        total = f"sum({value})"
         if is_float:
-            total = F.when(F.isnan(F.sum(value)), F.lit(None)).otherwise(total)
-        return total if where is None else F.when(rows > 0, total)
-    if function == "var":
-        return nan_to_null(F.var_samp(value))
-    if function == "size":
-        return rows if where is None else F.nullif(rows, F.lit(0))
-    if function == "nunique":
-        distinct = F.count_distinct(value)
-        return distinct if where is None else F.when(rows > 0, distinct)
-    raise ValueError(f"unknown aggregate: {function}")
+            total = f"CASE WHEN isnan({total}) THEN NULL ELSE coalesce({total}, 0) END"
+        else:
+            total = f"coalesce({total}, 0)"
+    elif function == "size":
+        total = rows
+    elif function == "nunique":
+        total = f"count(DISTINCT {value})"
+    else:
+        raise ValueError(f"unknown aggregate: {function}")
+    return total if where is None else f"CASE WHEN {rows} > 0 THEN {total} END"
+
+
+def _named(result: str, prefix: str, column: str, function: str) -> Column:
+    return F.expr(result).alias(output_name(prefix, column, function))
 
 
-def _rate(hits: Column, n: Column) -> dict[str, Column]:
+def spec_columns(
+    df: DataFrame, spec: Spec, prefix: str = "", where: str | None = None
+) -> list[Column]:
+    """The aggregate expressions of a specification, named and ready for ``agg``."""
+    floats = set(float_columns(df))
+    return [
+        _named(_aggregate(f, c, functions.split(), where, c in floats), prefix, c, f)
+        for c, functions in spec.items()
+        for f in functions.split()
+    ]
+
+
+def _rate(hits: str, n: str) -> dict[str, str]:
     """Share of the group's rows with a level, rows with a missing value counted too."""
-    return {"mean": hits / n}
+    return {"mean": f"{hits} / {n}"}
 
 
-def _statistics(hits: Column, n: Column) -> dict[str, Column]:
+def _statistics(hits: str, n: str) -> dict[str, str]:
     """Minimum, maximum, mean, sum and variance of a level's 0/1 indicator, from counts."""
-    spread = hits.cast("double") * (n - hits).cast("double")
+    spread = f"CAST({hits} AS DOUBLE) * CAST({n} - {hits} AS DOUBLE)"
+    pairs = f"(CAST({n} AS DOUBLE) * CAST({n} - 1 AS DOUBLE))"
     return {
-        "min": (hits == n).cast("int"),
-        "max": (hits > 0).cast("int"),
-        "mean": hits / n,
+        "min": f"CAST({hits} = {n} AS INT)",
+        "max": f"CAST({hits} > 0 AS INT)",
+        "mean": f"{hits} / {n}",
         "sum": hits,
-        "var": F.when(n > 1, spread / (n.cast("double") * (n - 1).cast("double"))),
+        "var": f"CASE WHEN {n} > 1 THEN {spread} / {pairs} END",
     }
 
 
-def _level_columns(levels: Levels, prefix: str, formulas, hits_of, n: Column) -> list[Column]:
+def _level_columns(levels: Levels, prefix: str, formulas, hits_of, n: str) -> list[Column]:
     return [
-        result.alias(output_name(prefix, level_name(c, v), function))
+        _named(result, prefix, level_name(c, v), function)
         for c, found in levels.items()
         for v in found
         for function, result in formulas(hits_of(c, v), n).items()
     ]
 
 
-def _counted_directly(column: str, level) -> Column:
-    return F.count_if(as_column(column).eqNullSafe(F.lit(level)))
+def _counted_directly(column: str, level: str | None) -> str:
+    test = "IS NULL" if level is None else f"= {text_literal(level)}"
+    return f"count_if({quoted(column)} {test})"
 
 
 def level_rates(levels: Levels, prefix: str = "") -> list[Column]:
-    return _level_columns(levels, prefix, _rate, _counted_directly, F.count(F.lit(1)))
+    return _level_columns(levels, prefix, _rate, _counted_directly, "count(1)")
 
 
 def level_statistics(levels: Levels, prefix: str = "") -> list[Column]:
-    return _level_columns(levels, prefix, _statistics, _counted_directly, F.count(F.lit(1)))
+    return _level_columns(levels, prefix, _statistics, _counted_directly, "count(1)")
 
 
 def _many_and_few(levels: Levels) -> tuple[dict, dict]:
@@ -140,22 +163,6 @@ def _long_form_counts(rows: DataFrame, keys: Sequence[str], column: str, found)
     return counts.toDF(*keys, *[f"__hits_{column}_{i}" for i in range(len(found))])
 
 
-def spec_columns(
-    df: DataFrame, spec: Spec, prefix: str = "", where: Column | None = None
-) -> list[Column]:
-    """The aggregate expressions of a specification, named and ready for ``agg``."""
-    floats = set(float_columns(df))
-    rows = F.count(F.lit(1)) if where is None else F.count_if(where)
-    outputs = []
-    for c, functions in spec.items():
-        wanted = functions.split()
-        for f in wanted:
-            result = _aggregate(f, as_column(c), set(wanted), rows, where, c in floats)
-            outputs.append(result.alias(output_name(prefix, c, f)))
-    return outputs
-
-
-
 def aggregate(
     df: DataFrame,
     key: str | Sequence[str],
@@ -197,10 +204,10 @@ def aggregate(
             out = out.join(_long_form_counts(present, keys, c, found), keys, "left")
 
         def hits(c, v):
-            return F.coalesce(as_column(f"__hits_{c}_{many[c].index(v)}"), F.lit(0))
+            return f"coalesce({quoted(f'__hits_{c}_{many[c].index(v)}')}, 0)"
 
         kept = [as_column(c) for c in out.columns if not c.startswith("__")]
-        n = F.col("__rows")
+        n = "__rows"
         out = out.select(
             *kept,
             *_level_columns(many_rates, prefix, _rate, hits, n),

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.missing import INFINITY, as_column, finite_or_zero, sentinel_to_null
+from sparkfeat.functions.missing import INFINITY, as_column, quoted, sentinel_to_null
 from sparkfeat.operators.profile import float_columns, numeric_columns
 
 
@@ -73,11 +73,13 @@ def fill_final(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     floats, numbers = set(float_columns(df)) - set(keep), set(numeric_columns(df)) - set(keep)
 
     def filled(c):
+        name = quoted(c)
         if c in floats:
-            return finite_or_zero(c).alias(c)
-        return F.coalesce(as_column(c), F.lit(0)).alias(c) if c in numbers else as_column(c)
+            finite = f"{name} > DOUBLE('-Infinity') AND {name} < DOUBLE('Infinity')"
+            return f"CASE WHEN {finite} THEN {name} ELSE 0 END AS {name}"
+        return f"coalesce({name}, 0) AS {name}" if c in numbers else name
 
-    return df.select(*[filled(c) for c in df.columns])
+    return df.selectExpr(*[filled(c) for c in df.columns])
 
 
 def check_distinct_names(names: Iterable[str]) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.missing import as_column
+from sparkfeat.functions.missing import as_column, quoted, text_literal
 from sparkfeat.operators.aggregate import level_name
 from sparkfeat.operators.columns import check_distinct_names
 from sparkfeat.operators.profile import string_columns
@@ -72,10 +72,10 @@ def one_hot(
     dummies = {}
     for c, known in found.items():
         for v in [*known, None] if null_level else known:
-            hit = as_column(c).eqNullSafe(F.lit(v))
-            dummies[level_name(c, v)] = F.when(hit, 1).otherwise(0)
-    kept = [as_column(c) for c in df.columns if c not in found]
-    out = df.select(*kept, *[e.alias(name) for name, e in dummies.items()])
+            test = "IS NULL" if v is None else f"= {text_literal(v)}"
+            dummies[level_name(c, v)] = f"CASE WHEN {quoted(c)} {test} THEN 1 ELSE 0 END"
+    kept = [quoted(c) for c in df.columns if c not in found]
+    out = df.selectExpr(*kept, *[f"{e} AS {quoted(name)}" for name, e in dummies.items()])
     check_distinct_names(out.columns)
     return out, list(dummies)
 

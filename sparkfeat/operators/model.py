@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sparkfeat.functions.missing import as_column
 from sparkfeat.operators.split import SEED
-from sparkfeat.sources.store import materialize, use_checkpoints
+from sparkfeat.sources.store import use_checkpoints
 
 # Parameters of the final model, under the names MLlib gives them.
 TREE_PARAMETERS = {
@@ -66,9 +66,9 @@ def class_weight(label: str, weight: float = CLASS_WEIGHT) -> Column:
 
 
 def train(df: DataFrame, model: Pipeline) -> PipelineModel:
-    """Fit on a written copy: training reads its table many times."""
+    """Fit a model. Pass a stored table (see ``materialize``): training reads it several times."""
     use_checkpoints(df.sparkSession)
-    return model.fit(materialize(df, "training"))
+    return model.fit(df)
 
 
 def score(model, df: DataFrame, key: str, into: str = "TARGET") -> DataFrame:
@@ -142,7 +142,10 @@ def search(
     folds: int = 3,
     parallelism: int = 2,
 ) -> CrossValidatorModel:
-    """Cross-validate every parameter point by AUC on given folds and refit the best one."""
+    """Cross-validate every parameter point by AUC on given folds and refit the best one.
+
+    Pass a stored table: every fold and point reads it again.
+    """
     use_checkpoints(df.sparkSession)
     validator = CrossValidator(
         estimator=model,
@@ -154,7 +157,7 @@ def search(
         collectSubModels=True,
         seed=SEED,
     )
-    return validator.fit(materialize(df, "search"))
+    return validator.fit(df)
 
 
 def search_report(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.functions import ieee_div, positive_part
+from sparkfeat.functions.missing import text_literal
 from sparkfeat.operators.aggregate import (
     Subset,
     aggregate,
@@ -108,7 +109,9 @@ def bureau_features(
         BUREAU_SPEC,
         prefix="BURO",
         rates=_levels(bureau, bureau_levels),
-        subsets=[Subset(p, F.col("CREDIT_ACTIVE") == v) for p, v in subsets.items()],
+        subsets=[
+            Subset(p, f"CREDIT_ACTIVE = {text_literal(v)}") for p, v in subsets.items()
+        ],
         extra={c: "mean" for c in status_means},
     )
 
@@ -137,13 +140,13 @@ def previous_features(
     if not clip_first:
         previous = sigma_clip(previous, trigger=trigger)
     previous = previous.withColumn("APP_CREDIT_PERC", ieee_div("AMT_APPLICATION", "AMT_CREDIT"))
-    status = F.col("NAME_CONTRACT_STATUS")
-    cuts = [Subset(p, status == v) for p, v in subsets.items()]
+    status = "NAME_CONTRACT_STATUS"
+    cuts = [Subset(p, f"{status} = {text_literal(v)}") for p, v in subsets.items()]
     if not approval_rate:
         return aggregate(
             previous, CLIENT, PREVIOUS_SPEC, prefix="PREV", rates=found, subsets=cuts
         )
-    approved = F.when(status == subsets["APPROVED"], F.lit(1))
+    approved = F.when(F.col(status) == subsets["APPROVED"], F.lit(1))
     counted = aggregate(
         previous.withColumn("is_approved", approved),
         CLIENT,

@@ -100,7 +100,7 @@ def train_model(matrix: DataFrame, options: Options = Options()):
     """Final model: a stratified 20 % of the rows decides when to stop adding trees."""
     names, label = split_label(matrix, LABEL, history.CLIENT)
     marked = stratified_split(
-        matrix, history.CLIENT, label, options.test_share, into="is_validation"
+        materialize(matrix, "matrix"), history.CLIENT, label, options.test_share, into="is_validation"
     )
     pipeline = trees.boosted_trees(
         names, label, trees=options.trees, validation="is_validation", **options.parameters
@@ -113,11 +113,12 @@ def tune_class_weight(
 ) -> DataFrame:
     """Cross-validated AUC of class weights on the training part of the matrix."""
     names, label = split_label(matrix, LABEL, history.CLIENT)
+    matrix = materialize(matrix, "matrix")
     marked = stratified_split(matrix, history.CLIENT, label, options.test_share, into="is_test")
     folds = k_fold(marked.where("NOT is_test").drop("is_test"), history.CLIENT, label)
     reports = []
     for weight in weights:
-        weighted = materialize(folds.withColumn("weight", trees.class_weight(label, weight)), "folds")
+        weighted = folds.withColumn("weight", trees.class_weight(label, weight))
         pipeline = trees.boosted_trees(
             names, label, trees=options.trees, weight="weight", **options.parameters
         )

@@ -202,7 +202,7 @@ def _(spark, sf):
         "client",
         _PRICE_SPEC,
         prefix="ALL",
-        subsets=[Subset(v, F.col("status") == v) for v in ("F", "O")],
+        subsets=[Subset(v, f"status = '{v}'") for v in ("F", "O")],
     )
     return rounded(out, {f"{p}_price_VAR": 999983000000.0 for p in ("ALL", "F", "O")})
 

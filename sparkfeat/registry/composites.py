@@ -16,6 +16,7 @@ from sparkfeat.operators.encode import levels
 from sparkfeat.operators.split import hash_split
 from sparkfeat.plans import application, history, scoring
 from sparkfeat.registry.base import inside, number_class, register, sql_class, sql_finite, sql_ratio
+from sparkfeat.sources.store import materialize
 from sparkfeat.sources.tables import load_table
 
 _CLIENT = "CASE WHEN o_custkey % 97 <> 0 THEN o_custkey END"
@@ -457,7 +458,7 @@ def _(spark, sf):
     """Train-only cleaning, encoding to shared columns, assembly and final fill."""
     train, test = _halves(spark, sf)
     options = scoring.Options()
-    pos = history.pos_features(role(spark, sf, POS))
+    pos = materialize(history.pos_features(role(spark, sf, POS)), "pos")
     train, test = scoring.application_matrices(train, test, options)
     left = scoring.model_matrix(train, [pos], options).withColumn("is_train", F.lit(True))
     right = scoring.model_matrix(test, [pos], options).withColumn("is_train", F.lit(False))
@@ -475,8 +476,8 @@ def _(spark, sf):
     train, test = _halves(spark, sf)
     options = scoring.Options(trees=5, parameters={"maxDepth": 3, "minInstancesPerNode": 5})
     features = [
-        history.pos_features(role(spark, sf, POS)),
-        history.previous_features(role(spark, sf, PREVIOUS)),
+        materialize(history.pos_features(role(spark, sf, POS)), "pos"),
+        materialize(history.previous_features(role(spark, sf, PREVIOUS)), "previous"),
     ]
     train, test = scoring.application_matrices(train, test, options)
     fitted = scoring.train_model(scoring.model_matrix(train, features, options), options)
