@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.missing import as_column, finite_or_zero, nan_to_null
-from sparkfeat.operators.profile import float_columns, type_classes
+from sparkfeat.operators.profile import float_class, float_columns
 from sparkfeat.operators.ranking import median
 
 Stats = dict[str, dict[str, float | None]]
@@ -46,20 +46,27 @@ def read_stats(table: DataFrame) -> Stats:
 # --- sigma clip -----------------------------------------------------------------------------
 
 
-def clip_columns(df: DataFrame, key_part: str = "SK_ID_") -> list[str]:
-    """Float columns whose range needs 32 bits, except keys; the others are never clipped."""
-    candidates = [c for c in float_columns(df) if key_part not in c]
-    classes = type_classes(df, candidates) if candidates else {}
-    return [c for c in candidates if classes[c] == "float32"]
+_MEAN_STD = {"mean": lambda c: nan_to_null(F.avg(c)), "std": lambda c: nan_to_null(F.stddev_samp(c))}
 
 
 def fit_mean_std(df: DataFrame, columns: Sequence[str]) -> Stats:
     """Mean and sample standard deviation of the present values."""
-    return _one_row(
-        df,
-        columns,
-        {"mean": lambda c: nan_to_null(F.avg(c)), "std": lambda c: nan_to_null(F.stddev_samp(c))},
-    )
+    return _one_row(df, columns, _MEAN_STD)
+
+
+def fit_sigma_clip(df: DataFrame, key_part: str = "SK_ID_") -> Stats:
+    """Mean and deviation of the columns that are clipped, in one pass over the table.
+
+    These are the float columns whose range needs 32 bits, except keys; integers and floats of
+    a small range are never clipped.
+    """
+    candidates = [c for c in float_columns(df) if key_part not in c]
+    found = _one_row(df, candidates, {"low": F.min, "high": F.max, **_MEAN_STD})
+    return {
+        c: {"mean": s["mean"], "std": s["std"]}
+        for c, s in found.items()
+        if float_class(s["low"], s["high"]) == "float32"
+    }
 
 
 def apply_sigma_clip(
@@ -81,7 +88,7 @@ def apply_sigma_clip(
 
 def sigma_clip(df: DataFrame, *, trigger: float = 3.0, clamp: float = 3.0) -> DataFrame:
     """Clip all eligible columns of a table by its own statistics."""
-    return apply_sigma_clip(df, fit_mean_std(df, clip_columns(df)), trigger=trigger, clamp=clamp)
+    return apply_sigma_clip(df, fit_sigma_clip(df), trigger=trigger, clamp=clamp)
 
 
 # --- imputation -----------------------------------------------------------------------------

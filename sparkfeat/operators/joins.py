@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,47 +33,52 @@ def assemble(entities: DataFrame, key: str, features: Sequence[DataFrame]) -> Da
 
 
 def join_shared(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Left join on all column names that both sides have."""
+    """Left join on all column names that both sides have; they identify a row of ``right``."""
     shared = [c for c in left.columns if c in right.columns]
     if not shared:
         raise ValueError("no shared columns to join on")
-    return left.join(right, shared, "left")
+    return lookup(left, right, shared)
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+def _without_nulls(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.where(reduce(and_, [as_column(k).isNotNull() for k in keys]))
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str | Sequence[str], count: str) -> DataFrame:
     """Left-join a table with one row per key of ``rows`` and the number of rows it stands for.
 
     Rows of hot keys meet their few table rows by broadcast and never move; rows without a key
     stay in place too; only the remaining rows are shuffled.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     table = materialize(table, "counted")
     sizes = table.agg(F.sum(count).alias("total"), F.max(count).alias("largest")).first()
     total, largest = sizes["total"] or 0, sizes["largest"] or 0
-    present = rows.where(as_column(key).isNotNull())
-    added = [f for f in table.schema if f.name != key]
-    keyless = rows.where(as_column(key).isNull()).withColumns(
-        {f.name: F.lit(None).cast(f.dataType) for f in added}
+    present = _without_nulls(rows, keys)
+    no_key = reduce(or_, [as_column(k).isNull() for k in keys])
+    keyless = rows.where(no_key).withColumns(
+        {f.name: F.lit(None).cast(f.dataType) for f in table.schema if f.name not in keys}
     )
     if largest * SKEW_SHARE <= total:
-        return present.join(table, key, "left").unionByName(keyless)
-    is_hot = F.col(count) > F.lit(total // HOT_SHARE)
-    hot = F.broadcast(table.where(is_hot))
-    warm = present.join(hot, key, "inner")
-    cold = present.join(F.broadcast(table.where(is_hot).select(key)), key, "left_anti").join(
-        table.where(~is_hot), key, "left"
-    )
-    return warm.unionByName(cold.select(*warm.columns)).unionByName(keyless)
+        joined = present.join(table, keys, "left")
+    else:
+        is_hot = F.col(count) > F.lit(total // HOT_SHARE)
+        hot = F.broadcast(table.where(is_hot))
+        warm = present.join(hot, keys, "inner")
+        others = present.join(F.broadcast(table.where(is_hot).select(*keys)), keys, "left_anti")
+        joined = warm.unionByName(others.join(table.where(~is_hot), keys, "left"))
+    return joined.unionByName(keyless)
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Left-join a lookup table with unique keys: broadcast if it is small, else by shuffle
     with the hot keys split off. The table's size is counted, not assumed."""
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), key, "left")
-    weights = rows.where(as_column(key).isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).alias("__rows")
-    )
-    return join_counted(rows, weights.join(table, key, "left"), key, "__rows").drop("__rows")
+    keys = [key] if isinstance(key, str) else list(key)
+    table = materialize(table, "lookup")
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys, "left")
+    weights = _without_nulls(rows, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return join_counted(rows, weights.join(table, keys, "left"), keys, "__rows").drop("__rows")
 
 
 def with_group_rate(

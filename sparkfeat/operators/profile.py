@@ -51,6 +51,14 @@ def _class_of(low, high, integer: bool):
     return label.otherwise("float64")
 
 
+def float_class(low: float | None, high: float | None) -> str:
+    """Type class of a float column with a known range."""
+    for name, bound in FLOAT_BOUNDS.items():
+        if low is not None and high is not None and low > -bound and high < bound:
+            return name
+    return "float64"
+
+
 def range_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per numeric column: name, minimum, maximum and type class.
 

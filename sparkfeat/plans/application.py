@@ -26,7 +26,6 @@ from sparkfeat.operators.joins import lookup
 from sparkfeat.operators.profile import numeric_columns
 from sparkfeat.operators.ranking import median
 from sparkfeat.plans.history import UNKNOWN_DAYS
-from sparkfeat.sources.store import materialize
 
 # Rows excluded from training, score columns, and the names and operands of the
 # ratio features.
@@ -80,7 +79,7 @@ def fit_application(train: DataFrame) -> ApplicationStats:
     """
     medians = median(train, ["ORGANIZATION_TYPE"], "AMT_INCOME_TOTAL")
     return ApplicationStats(
-        materialize(medians.withColumnRenamed("median", "NEW_INC_BY_ORG"), "income_by_organization"),
+        medians.withColumnRenamed("median", "NEW_INC_BY_ORG"),
         fit_mean(_with_score_std(train), ["NEW_SCORES_STD"]),
     )
 

@@ -148,7 +148,7 @@ def _(spark, sf):
     lines = load_table(spark, sf, "lineitem").withColumn(
         "SK_ID_LINE", F.col("l_extendedprice") * F.lit(10.0)
     )
-    names = fitted.clip_columns(lines)
+    names = fitted.fit_sigma_clip(lines)
     return lines.agg(F.count(F.lit(1)).alias("row_count")).withColumn("clipped", F.lit(",".join(names)))
 
 

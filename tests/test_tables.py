@@ -135,7 +135,7 @@ def test_sigma_clip_bounds(spark):
     assert (mean, std) == (pytest.approx(series.mean()), pytest.approx(series.std()))
     got = [r.x for r in fitted.apply_sigma_clip(df, stats, trigger=3.5).collect()]
     assert got[-3:] == [mean + 3 * std, mean - 3 * std, None] and got[:-3] == xs[:-3]
-    assert fitted.clip_columns(df.withColumn("SK_ID_F", F.col("x")).withColumn("y", F.lit(1.0))) == ["x"]
+    assert list(fitted.fit_sigma_clip(df.withColumn("SK_ID_F", F.col("x")).withColumn("y", F.lit(1.0)))) == ["x"]
 
 
 def test_fitted_statistics_survive_storage(spark):
