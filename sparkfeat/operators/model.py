@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -26,6 +28,8 @@ TREE_PARAMETERS = {
     "subsamplingRate": 0.87,
     "featureSubsetStrategy": "0.95",
 }
+# Stop as soon as the validation loss rises, and let a pass over the data cover more tree nodes.
+TRAINER_SETTINGS = {"validationTol": 0.0, "maxMemoryInMB": 1024}
 FINAL_TREES = 450
 SEARCH_TREES = 250
 CLASS_WEIGHT = 12.0
@@ -49,7 +53,7 @@ def boosted_trees(
     improves. ``parameters`` override the fixed ones.
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    settings = {**TREE_PARAMETERS, **parameters}
+    settings = {**TREE_PARAMETERS, **TRAINER_SETTINGS, **parameters}
     classifier = GBTClassifier(
         labelCol=label, featuresCol="features", maxIter=trees, seed=seed, **settings
     )
@@ -77,13 +81,15 @@ def score(model, df: DataFrame, key: str, into: str = "TARGET") -> DataFrame:
     return model.transform(df).select(as_column(key), probability.alias(into))
 
 
-def blend(first: DataFrame, second: DataFrame, key: str, score_name: str = "TARGET") -> DataFrame:
-    """Mean of two score tables with one row per key each."""
-    a = first.select(as_column(key), as_column(score_name).alias("__a"))
-    b = second.select(as_column(key), as_column(score_name).alias("__b"))
-    return a.join(b, key, "inner").select(
-        as_column(key), ((F.col("__a") + F.col("__b")) / F.lit(2.0)).alias(score_name)
-    )
+def blend(tables: Sequence[DataFrame], key: str, score_name: str = "TARGET") -> DataFrame:
+    """Mean of several score tables with one row per key each."""
+    named = [
+        t.select(as_column(key), as_column(score_name).alias(f"__score_{i}"))
+        for i, t in enumerate(tables)
+    ]
+    joined = reduce(lambda left, right: left.join(right, key, "inner"), named)
+    total = reduce(add, [F.col(f"__score_{i}") for i in range(len(named))])
+    return joined.select(as_column(key), (total / F.lit(float(len(named)))).alias(score_name))
 
 
 def auc(df: DataFrame, score_name: str, label: str) -> float:

@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.missing import as_column
-from sparkfeat.operators.encode import MAX_LEVELS
 from sparkfeat.operators.ranking import Ranks, values_at_ranks
 
 # Fixed value: the seed of all splits.
 SEED = 314
 HASH_RANGE = 16**13
+# Classes times cuts; they become literals of the plan.
+MAX_CUTS = 2000
 
 
 def hash_number(key, seed: int = SEED) -> Column:
@@ -35,10 +36,11 @@ def _cuts(df: DataFrame, key: str, label: str, ranks: Ranks, seed: int, **option
     numbered = df.select(as_column(label).alias("label"), hash_number(key, seed).alias("number"))
     found = values_at_ranks(numbered, ["label"], "number", ranks, **options)
     cuts: dict = {}
-    for row in found.limit(MAX_LEVELS * 16 + 1).collect():
+    rows = found.limit(MAX_CUTS + 1).collect()
+    if len(rows) > MAX_CUTS:
+        raise ValueError(f"more than {MAX_CUTS} cuts: {label} has too many classes")
+    for row in rows:
         cuts.setdefault(row["label"], {})[row["slot"]] = row["value"]
-    if len(cuts) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} classes in {label}")
     return cuts
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkfeat.operators import model as trees
 from sparkfeat.operators.columns import drop_lenient, fill_final, plain_names, split_label
@@ -17,6 +18,7 @@ from sparkfeat.sources.store import materialize
 from sparkfeat.sources.tables import load_loan_table, write_features, write_scores
 
 LABEL = "TARGET"
+IN_TRAIN = "in_train"
 
 
 @dataclass(frozen=True)
@@ -69,38 +71,46 @@ def application_matrices(
     )
 
 
-def model_matrix(
-    applications: DataFrame, features: Sequence[DataFrame], options: Options
-) -> DataFrame:
-    """Wide table of one row per client, filled and with trainer-safe names."""
-    wide = assemble(applications, history.CLIENT, features)
+def model_matrices(
+    train: DataFrame, test: DataFrame, features: Sequence[DataFrame], options: Options
+) -> tuple[DataFrame, DataFrame]:
+    """Wide tables of one row per client, filled and with trainer-safe names.
+
+    Both tables are assembled in one join chain, which aggregates every history table once and
+    moves it once, and are stored together, split by folder: training reads its part many times.
+    """
+    both = train.withColumn(IN_TRAIN, F.lit(1)).unionByName(
+        test.withColumn(IN_TRAIN, F.lit(0)), allowMissingColumns=True
+    )
+    wide = assemble(both, history.CLIENT, features)
     if options.unwanted:
         wide = drop_lenient(wide, options.unwanted)
+    stored = materialize(plain_names(fill_final(wide)), "matrix", partition_by=IN_TRAIN)
     if options.narrow_integers:
-        wide = narrow(wide)
-    return plain_names(fill_final(wide))
+        stored = narrow(stored)
+    return (
+        stored.where(F.col(IN_TRAIN) == 1).drop(IN_TRAIN),
+        stored.where(F.col(IN_TRAIN) == 0).drop(IN_TRAIN, LABEL),
+    )
 
 
 def build_matrices(
     spark: SparkSession, directory: str, options: Options = Options()
 ) -> tuple[DataFrame, DataFrame]:
-    """Training and scoring matrices; the history features are written once and used twice."""
-    features = [
-        materialize(f, "features") for f in history_features(spark, directory, options)
-    ]
+    """Stored training and scoring matrices from the eight tables of a folder."""
     train, test = application_matrices(
         load_loan_table(spark, directory, "application_train"),
         load_loan_table(spark, directory, "application_test"),
         options,
     )
-    return model_matrix(train, features, options), model_matrix(test, features, options)
+    return model_matrices(train, test, history_features(spark, directory, options), options)
 
 
 def train_model(matrix: DataFrame, options: Options = Options()):
-    """Final model: a stratified 20 % of the rows decides when to stop adding trees."""
+    """Final model on a stored matrix: a stratified 20 % of the rows decides when to stop."""
     names, label = split_label(matrix, LABEL, history.CLIENT)
     marked = stratified_split(
-        materialize(matrix, "matrix"), history.CLIENT, label, options.test_share, into="is_validation"
+        matrix, history.CLIENT, label, options.test_share, into="is_validation"
     )
     pipeline = trees.boosted_trees(
         names, label, trees=options.trees, validation="is_validation", **options.parameters
@@ -111,9 +121,8 @@ def train_model(matrix: DataFrame, options: Options = Options()):
 def tune_class_weight(
     matrix: DataFrame, options: Options = Options(), weights: Sequence[float] = (trees.CLASS_WEIGHT,)
 ) -> DataFrame:
-    """Cross-validated AUC of class weights on the training part of the matrix."""
+    """Cross-validated AUC of class weights on the training part of a stored matrix."""
     names, label = split_label(matrix, LABEL, history.CLIENT)
-    matrix = materialize(matrix, "matrix")
     marked = stratified_split(matrix, history.CLIENT, label, options.test_share, into="is_test")
     folds = k_fold(marked.where("NOT is_test").drop("is_test"), history.CLIENT, label)
     reports = []

@@ -16,7 +16,6 @@ from sparkfeat.operators.encode import levels
 from sparkfeat.operators.split import hash_split
 from sparkfeat.plans import application, history, scoring
 from sparkfeat.registry.base import inside, number_class, register, sql_class, sql_finite, sql_ratio
-from sparkfeat.sources.store import materialize
 from sparkfeat.sources.tables import load_table
 
 _CLIENT = "CASE WHEN o_custkey % 97 <> 0 THEN o_custkey END"
@@ -458,11 +457,13 @@ def _(spark, sf):
     """Train-only cleaning, encoding to shared columns, assembly and final fill."""
     train, test = _halves(spark, sf)
     options = scoring.Options()
-    pos = materialize(history.pos_features(role(spark, sf, POS)), "pos")
     train, test = scoring.application_matrices(train, test, options)
-    left = scoring.model_matrix(train, [pos], options).withColumn("is_train", F.lit(True))
-    right = scoring.model_matrix(test, [pos], options).withColumn("is_train", F.lit(False))
-    both = left.unionByName(right, allowMissingColumns=True)
+    left, right = scoring.model_matrices(
+        train, test, [history.pos_features(role(spark, sf, POS))], options
+    )
+    both = left.withColumn("is_train", F.lit(True)).unionByName(
+        right.withColumn("is_train", F.lit(False)), allowMissingColumns=True
+    )
     return both.select(
         "SK_ID_CURR", "is_train", "TARGET", "AMT_INCOME_TOTAL", "AMT_ANNUITY", "EXT_SOURCE_1",
         "POS_SK_DPD_MAX", "POS_MONTHS_BALANCE_MEAN", "POS_COUNT",
@@ -476,9 +477,9 @@ def _(spark, sf):
     train, test = _halves(spark, sf)
     options = scoring.Options(trees=5, parameters={"maxDepth": 3, "minInstancesPerNode": 5})
     features = [
-        materialize(history.pos_features(role(spark, sf, POS)), "pos"),
-        materialize(history.previous_features(role(spark, sf, PREVIOUS)), "previous"),
+        history.pos_features(role(spark, sf, POS)),
+        history.previous_features(role(spark, sf, PREVIOUS)),
     ]
     train, test = scoring.application_matrices(train, test, options)
-    fitted = scoring.train_model(scoring.model_matrix(train, features, options), options)
-    return M.score(fitted, scoring.model_matrix(test, features, options), "SK_ID_CURR")
+    train, test = scoring.model_matrices(train, test, features, options)
+    return M.score(scoring.train_model(train, options), test, "SK_ID_CURR")

@@ -124,4 +124,19 @@ def _(spark, sf):
     customers = load_table(spark, sf, "customer")
     first = customers.select("c_custkey", ((F.col("c_acctbal") + 1000) / 16000).alias("score"))
     second = customers.select("c_custkey", (F.col("c_nationkey") / F.lit(25.0)).alias("score"))
-    return M.blend(first, second, "c_custkey", "score")
+    return M.blend([first, second], "c_custkey", "score")
+
+
+@register(
+    "blend_three",
+    """SELECT o_orderkey, (o_totalprice / 500000 + o_custkey / 32768.0::DOUBLE + o_orderkey / 65536.0::DOUBLE)
+              / 3.0::DOUBLE AS score FROM orders""",
+)
+def _(spark, sf):
+    orders = load_table(spark, sf, "orders")
+    parts = [
+        F.col("o_totalprice") / 500000,
+        F.col("o_custkey") / F.lit(32768.0),
+        F.col("o_orderkey") / F.lit(65536.0),
+    ]
+    return M.blend([orders.select("o_orderkey", p.alias("score")) for p in parts], "o_orderkey", "score")
