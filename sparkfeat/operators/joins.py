@@ -70,12 +70,17 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str | Sequence[str], co
     return joined.unionByName(keyless)
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str | Sequence[str]) -> DataFrame:
+def lookup(
+    rows: DataFrame, table: DataFrame, key: str | Sequence[str], size: int | None = None
+) -> DataFrame:
     """Left-join a lookup table with unique keys: broadcast if it is small, else by shuffle
-    with the hot keys split off. The table's size is counted, not assumed."""
+    with the hot keys split off. The table's size is counted, not assumed; pass ``size`` if the
+    table is stored and was counted before."""
     keys = [key] if isinstance(key, str) else list(key)
-    table = materialize(table, "lookup")
-    if table.count() <= BROADCAST_ROWS:
+    if size is None:
+        table = materialize(table, "lookup")
+        size = table.count()
+    if size <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), keys, "left")
     weights = _without_nulls(rows, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     return join_counted(rows, weights.join(table, keys, "left"), keys, "__rows").drop("__rows")

@@ -26,6 +26,7 @@ from sparkfeat.operators.joins import lookup
 from sparkfeat.operators.profile import numeric_columns
 from sparkfeat.operators.ranking import median
 from sparkfeat.plans.history import UNKNOWN_DAYS
+from sparkfeat.sources.store import materialize
 
 # Rows excluded from training, score columns, and the names and operands of the
 # ratio features.
@@ -60,6 +61,7 @@ class ApplicationStats:
     """What the application features learn from a table."""
 
     income_by_organization: DataFrame
+    organizations: int
     score_std: Stats
 
 
@@ -78,8 +80,10 @@ def fit_application(train: DataFrame) -> ApplicationStats:
     separate run over that table gives.
     """
     medians = median(train, ["ORGANIZATION_TYPE"], "AMT_INCOME_TOTAL")
+    stored = materialize(medians.withColumnRenamed("median", "NEW_INC_BY_ORG"), "organizations")
     return ApplicationStats(
-        medians.withColumnRenamed("median", "NEW_INC_BY_ORG"),
+        stored,
+        stored.count(),
         fit_mean(_with_score_std(train), ["NEW_SCORES_STD"]),
     )
 
@@ -106,7 +110,9 @@ def application_features(df: DataFrame, stats: ApplicationStats) -> DataFrame:
     df = df.withColumns(same_row)
     df = with_row_stats(df, documents, kurtosis="NEW_DOC_IND_KURT")
     df = apply_fill(_with_score_std(df), stats.score_std)
-    df = lookup(df, stats.income_by_organization, "ORGANIZATION_TYPE")
+    df = lookup(
+        df, stats.income_by_organization, "ORGANIZATION_TYPE", size=stats.organizations
+    )
     return keep_different(df, "CODE_GENDER", "XNA")
 
 

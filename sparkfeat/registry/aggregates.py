@@ -97,12 +97,14 @@ def _(spark, sf):
     "lookup_median",
     f"""SELECT p_partkey, p_type, median FROM part LEFT JOIN
         (SELECT p_type, median({sql_cents("p_retailprice")}) AS median FROM part
-         WHERE p_size < 45 AND p_type <> 'PROMO' GROUP BY p_type) USING (p_type)""",
+         WHERE p_type <> 'PROMO' GROUP BY p_type) USING (p_type)""",
 )
 def _(spark, sf):
-    """Levels that the fitted table lacks look up nothing."""
-    part = load_table(spark, sf, "part").withColumn("price", cents("p_retailprice"))
-    fitted = median(part.where("p_size < 45 AND p_type <> 'PROMO'"), ["p_type"], "price")
+    """A level without any price looks up nothing."""
+    part = load_table(spark, sf, "part").withColumn(
+        "price", F.when(F.col("p_type") != "PROMO", cents("p_retailprice"))
+    )
+    fitted = median(part, ["p_type"], "price")
     return joins.lookup(part.select("p_partkey", "p_type"), fitted, "p_type")
 
 

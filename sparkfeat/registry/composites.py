@@ -149,6 +149,10 @@ def clipped_sql(source: str, columns: list[str], rest: list[str]) -> str:
     return f"SELECT {', '.join(rest)}, {clips} FROM ({source}), (SELECT {stats} FROM ({source}))"
 
 
+# Columns whose sums are whole numbers.
+_INTEGERS = {"CNT_CREDIT_PROLONG", "MONTHS_BALANCE", "MONTHS_BALANCE_SIZE"}
+
+
 def rounded_sql(value: str, scale) -> str:
     """Round to a number of digits (int), or divide by a scale (float) and round to four.
 
@@ -181,6 +185,8 @@ def spec_sql(prefix: str, spec: dict, where: str | None = None, scales: dict | N
                 result = f"CASE WHEN {infinite} = 0 THEN coalesce(sum({value}) {w}, 0) END"
                 if where:
                     result = f"CASE WHEN {rows} > 0 THEN {result} END"
+                if c in _INTEGERS:
+                    result = f"CAST({result} AS BIGINT)"
             elif f == "var":
                 result = f"CASE WHEN {infinite} = 0 THEN var_samp({value}) {w} END"
             elif f == "size":
@@ -324,7 +330,6 @@ def _card_sql():
             f'min({hit}) AS "{name}_MIN"', f'max({hit}) AS "{name}_MAX"', f'avg({hit}) AS "{name}_MEAN"',
             f'CAST(sum({hit}) AS BIGINT) AS "{name}_SUM"', f'round(var_samp({hit}) / 0.7::DOUBLE, 4) AS "{name}_VAR"',
         ]
-    outputs = [e.replace("coalesce(sum(MONTHS_BALANCE) , 0)", "sum(MONTHS_BALANCE)::BIGINT") for e in outputs]
     return f"""SELECT SK_ID_CURR, {", ".join(outputs)}, CAST(count(*) AS BIGINT) AS "CC_COUNT"
         FROM ({role_sql(CARDS)}) GROUP BY SK_ID_CURR"""
 
