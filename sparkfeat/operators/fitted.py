@@ -99,18 +99,18 @@ def fit_mean(df: DataFrame, columns: Sequence[str]) -> Stats:
 
 
 def fit_median(df: DataFrame, columns: Sequence[str], **options) -> Stats:
-    """Exact medians of several columns. The column name is the group, so one search serves all."""
+    """Exact medians of several columns. The column is the group, so one search serves all."""
     pairs = F.inline(
         F.array(
             *[
-                F.struct(F.lit(c).alias("column"), as_column(c).cast("double").alias("value"))
-                for c in columns
+                F.struct(F.lit(i).alias("column"), as_column(c).cast("double").alias("value"))
+                for i, c in enumerate(columns)
             ]
         )
     )
     found = median(df.select(pairs), ["column"], "value", **options).collect()
     fills = {r["column"]: r["median"] for r in found}
-    return {c: {"fill": fills.get(c)} for c in columns}
+    return {c: {"fill": fills.get(i)} for i, c in enumerate(columns)}
 
 
 def apply_fill(df: DataFrame, stats: Stats) -> DataFrame:

@@ -130,25 +130,34 @@ def values_at_ranks(
     position in that list. Ranks outside the group give no row. Values are doubles, or integers
     below 2**53. Rows with a missing group or value are left out.
     """
-    by = list(by)
-    rows = df.select(*[as_column(c).alias(c) for c in by], as_column(value).alias("value"))
+    if {"slot", "value"} & set(by):
+        raise ValueError("group columns may not be called slot or value")
+    names = {f"__group_{i}": c for i, c in enumerate(by)}
+    by = list(names)
+    rows = df.select(
+        *[as_column(c).alias(g) for g, c in names.items()], as_column(value).alias("value")
+    )
     for c in [*by, "value"]:
         rows = rows.where(as_column(c).isNotNull())
     sizes = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
-    overall = sizes.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
-    # Above this size there are at most MAX_LARGE_GROUPS groups: sizes add up to the total.
-    limit = max(small_group, (overall["total"] or 0) // MAX_LARGE_GROUPS)
-    if (overall["largest"] or 0) <= limit:
-        return _pick_by_window(rows, by, ranks)
-    large = sizes.where(F.col("n") > limit)
+    # One pass finds the large groups. The rest are small, or no larger than the smallest of
+    # MAX_LARGE_GROUPS groups and thus at most that fraction of all rows.
+    large = (
+        sizes.where(F.col("n") > small_group)
+        .orderBy(F.col("n").desc())
+        .limit(MAX_LARGE_GROUPS)
+        .collect()
+    )
+    if not large:
+        return _pick_by_window(rows, by, ranks).withColumnsRenamed(names)
+    state = df.sparkSession.createDataFrame(large, sizes.schema)
     if not by:
-        return _search(rows, by, large, ranks, bins)
-    state = df.sparkSession.createDataFrame(large.collect(), sizes.schema)
+        return _search(rows, by, state, ranks, bins)
     small = rows.join(F.broadcast(state.select(*by)), by, "left_anti")
     searched = _search(rows, by, state, ranks, bins)
-    return _pick_by_window(small, by, ranks).unionByName(searched)
+    return _pick_by_window(small, by, ranks).unionByName(searched).withColumnsRenamed(names)
 
 
 def median(df: DataFrame, by: Sequence[str], value: str, **options) -> DataFrame:

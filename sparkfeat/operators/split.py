@@ -1,8 +1,9 @@
 """Repeatable splits and folds that depend only on row ids and a seed.
 
-A row's position is a 52-bit number taken from the MD5 digest of ``seed:id``, so a split does
-not depend on partitioning, file order or task retries, and any engine can reproduce it. Exact
-shares per class come from the number at a given rank (see ``ranking``), not from sorting.
+A row's position is a 52-bit hash of ``seed:id``, so a split does not depend on partitioning,
+file order or task retries. Exact shares per class come from the number at a given rank (see
+``ranking``), not from sorting. The hash is xxHash64; with ``portable`` it is taken from the MD5
+digest, which costs more but which any other engine can reproduce.
 """
 
 from __future__ import annotations
@@ -15,41 +16,56 @@ from sparkfeat.operators.ranking import Ranks, values_at_ranks
 
 # Fixed value: the seed of all splits.
 SEED = 314
-HASH_RANGE = 16**13
+HASH_RANGE = 2**52
+NUMBER = "__number"
 # Classes times cuts; they become literals of the plan.
 MAX_CUTS = 2000
 
 
-def hash_number(key, seed: int = SEED) -> Column:
-    """Uniform number in [0, 16**13) of an id."""
+def hash_number(key, seed: int = SEED, portable: bool = False) -> Column:
+    """Uniform number in [0, 2**52) of an id."""
     text = F.concat(F.lit(f"{seed}:"), as_column(key).cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    if portable:
+        return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    return F.shiftrightunsigned(F.xxhash64(text), 12)
 
 
-def hash_split(df: DataFrame, key: str, share: float, seed: int = SEED, into: str = "in_first") -> DataFrame:
+def hash_split(
+    df: DataFrame,
+    key: str,
+    share: float,
+    seed: int = SEED,
+    into: str = "in_first",
+    portable: bool = False,
+) -> DataFrame:
     """Mark about ``share`` of the rows; no job, no shuffle."""
-    return df.withColumn(into, hash_number(key, seed) < F.lit(round(share * HASH_RANGE)))
+    return df.withColumn(into, hash_number(key, seed, portable) < F.lit(round(share * HASH_RANGE)))
+
+
+def _numbered(df: DataFrame, key: str, seed: int, portable: bool) -> DataFrame:
+    return df.withColumn(NUMBER, hash_number(key, seed, portable))
 
 
-def _cuts(df: DataFrame, key: str, label: str, ranks: Ranks, seed: int, **options) -> dict:
+def _cuts(numbered: DataFrame, label: str, ranks: Ranks, **options) -> dict:
     """Hash numbers at the given ranks within each class: ``{class: {slot: number}}``."""
-    numbered = df.select(as_column(label).alias("label"), hash_number(key, seed).alias("number"))
-    found = values_at_ranks(numbered, ["label"], "number", ranks, **options)
+    classes = numbered.select(as_column(label).alias("class"), NUMBER)
+    found = values_at_ranks(classes, ["class"], NUMBER, ranks, **options)
     cuts: dict = {}
     rows = found.limit(MAX_CUTS + 1).collect()
     if len(rows) > MAX_CUTS:
         raise ValueError(f"more than {MAX_CUTS} cuts: {label} has too many classes")
     for row in rows:
-        cuts.setdefault(row["label"], {})[row["slot"]] = row["value"]
+        cuts.setdefault(row["class"], {})[row["slot"]] = row["value"]
     return cuts
 
 
-def _at_most(key: str, label: str, cuts: dict, slot: int, seed: int) -> Column:
+def _at_most(label: str, cuts: dict, slot: int) -> Column:
     """True for rows whose number is at or below the cut of their class."""
-    number, below = hash_number(key, seed), F.lit(False)
+    below = F.lit(False)
     for value, by_slot in cuts.items():
         if slot in by_slot:
-            below = below | ((as_column(label) == F.lit(value)) & (number <= F.lit(by_slot[slot])))
+            of_class = as_column(label) == F.lit(value)
+            below = below | (of_class & (F.col(NUMBER) <= F.lit(by_slot[slot])))
     return F.coalesce(below, F.lit(False))
 
 
@@ -60,6 +76,7 @@ def stratified_split(
     share: float = 0.2,
     seed: int = SEED,
     into: str = "is_test",
+    portable: bool = False,
     **options,
 ) -> DataFrame:
     """Mark exactly ``round(share * n)`` rows of each class, those with the lowest numbers.
@@ -70,8 +87,9 @@ def stratified_split(
     def cut(n: Column) -> list[Column]:
         return [F.floor(n * F.lit(share) + F.lit(0.5))]
 
-    cuts = _cuts(df, key, label, cut, seed, **options)
-    return df.withColumn(into, _at_most(key, label, cuts, 0, seed))
+    numbered = _numbered(df, key, seed, portable)
+    cuts = _cuts(numbered, label, cut, **options)
+    return numbered.withColumn(into, _at_most(label, cuts, 0)).drop(NUMBER)
 
 
 def k_fold(
@@ -81,6 +99,7 @@ def k_fold(
     folds: int = 3,
     seed: int = SEED,
     into: str = "fold",
+    portable: bool = False,
     **options,
 ) -> DataFrame:
     """Number of the fold of each row; folds of a class differ by at most one row in size."""
@@ -88,20 +107,22 @@ def k_fold(
     def ends(n: Column) -> list[Column]:
         return [F.floor(n * F.lit(i) / F.lit(folds)) for i in range(1, folds)]
 
-    cuts = _cuts(df, key, label, ends, seed, **options)
+    numbered = _numbered(df, key, seed, portable)
+    cuts = _cuts(numbered, label, ends, **options)
     fold = F.lit(folds - 1)
     for i in reversed(range(folds - 1)):
-        fold = F.when(_at_most(key, label, cuts, i, seed), F.lit(i)).otherwise(fold)
-    return df.withColumn(into, fold.cast("int"))
+        fold = F.when(_at_most(label, cuts, i), F.lit(i)).otherwise(fold)
+    return numbered.withColumn(into, fold.cast("int")).drop(NUMBER)
 
 
 def undersample(
-    df: DataFrame, key: str, label: str, seed: int = SEED, **options
+    df: DataFrame, key: str, label: str, seed: int = SEED, portable: bool = False, **options
 ) -> DataFrame:
     """All rows of the smallest class and equally many of every other class."""
     present = df.where(as_column(label).isNotNull())
     smallest = present.groupBy(label).count().agg(F.min("count")).first()[0]
     if smallest is None:
         return present
-    cuts = _cuts(df, key, label, lambda n: [F.lit(smallest)], seed, **options)
-    return df.where(_at_most(key, label, cuts, 0, seed))
+    numbered = _numbered(df, key, seed, portable)
+    cuts = _cuts(numbered, label, lambda n: [F.lit(smallest)], **options)
+    return numbered.where(_at_most(label, cuts, 0)).drop(NUMBER)

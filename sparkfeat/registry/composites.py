@@ -398,7 +398,7 @@ def _(spark, sf):
 
 
 def _halves(spark, sf):
-    marked = hash_split(role(spark, sf, APPLICATION), "SK_ID_CURR", 0.7, into="is_train")
+    marked = hash_split(role(spark, sf, APPLICATION), "SK_ID_CURR", 0.7, into="is_train", portable=True)
     return (
         marked.where("is_train").drop("is_train"),
         marked.where("NOT is_train").drop("is_train", "TARGET"),

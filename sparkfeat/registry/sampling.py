@@ -1,4 +1,4 @@
-"""Top-k reports and repeatable splits."""
+"""Top-k reports and repeatable splits; the splits use the hash that SQL can reproduce."""
 
 from __future__ import annotations
 
@@ -45,7 +45,7 @@ SELECT o_orderkey, o_orderstatus,
 )
 def _(spark, sf):
     orders = load_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return split.stratified_split(orders, "o_orderkey", "o_orderstatus", 0.2)
+    return split.stratified_split(orders, "o_orderkey", "o_orderstatus", 0.2, portable=True)
 
 
 @register(
@@ -56,7 +56,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The same split by the search for large classes, which never sorts a class."""
     orders = load_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return split.stratified_split(orders, "o_orderkey", "o_orderstatus", 0.2, small_group=100)
+    return split.stratified_split(orders, "o_orderkey", "o_orderstatus", 0.2, portable=True, small_group=100)
 
 
 @register(
@@ -68,7 +68,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     orders = load_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return split.k_fold(orders, "o_orderkey", "o_orderstatus", 3)
+    return split.k_fold(orders, "o_orderkey", "o_orderstatus", 3, portable=True)
 
 
 @register(
@@ -81,7 +81,7 @@ def _(spark, sf):
     lines = load_table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"
     )
-    return split.hash_split(lines, "l_orderkey", 0.85)
+    return split.hash_split(lines, "l_orderkey", 0.85, portable=True)
 
 
 @register(
@@ -92,4 +92,5 @@ def _(spark, sf):
         WHERE r <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality))""",
 )
 def _(spark, sf):
-    return split.undersample(load_table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "quality")
+    labels = load_table(spark, sf, "labels").select("doc_id", "quality")
+    return split.undersample(labels, "doc_id", "quality", portable=True)

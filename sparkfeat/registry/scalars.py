@@ -451,7 +451,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     orders = orders_with_gaps(load_table(spark, sf, "orders"))
-    marked = hash_split(orders, "o_orderkey", 0.8, into="is_train")
+    marked = hash_split(orders, "o_orderkey", 0.8, into="is_train", portable=True)
     train = filters.clean_training_rows(
         marked.where("is_train"), {"status": "P"}, {"price": 30_000_000}
     )

@@ -102,3 +102,22 @@ def test_hash_split_share(spark):
     assert out.where("in_first").count() / 20000 == pytest.approx(0.85, abs=0.01)
     other = split.hash_split(spark.range(20000), "id", 0.85, seed=1)
     assert out.exceptAll(other).count() > 0
+
+
+def test_group_columns_may_have_internal_names(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "rank string, x double")
+    for options in ({}, {"small_group": 1, "bins": 4}):
+        got = {r["rank"]: r.median for r in median(df, ["rank"], "x", **options).collect()}
+        assert got == {"a": 2.0, "b": 5.0}
+    with pytest.raises(ValueError, match="slot or value"):
+        median(df, ["value"], "x")
+
+
+def test_portable_numbers_equal_the_digest(spark):
+    import hashlib
+
+    rows = spark.range(50).select("id", split.hash_number("id", portable=True).alias("n")).collect()
+    for r in rows:
+        assert r.n == int(hashlib.md5(f"314:{r.id}".encode()).hexdigest()[:13], 16)
+    fast = spark.range(1000).select(split.hash_number("id").alias("n"))
+    assert fast.where("n < 0 OR n >= pow(2, 52)").count() == 0 and fast.distinct().count() == 1000
