@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from sparkfeat.operators.profile import narrow
 from sparkfeat.operators.split import k_fold, stratified_split
 from sparkfeat.plans import application, history
 from sparkfeat.sources.store import materialize
-from sparkfeat.sources.tables import load_loan_table, write_features, write_scores
+from sparkfeat.sources.tables import load_loan_table, read_csv, write_features, write_scores
 
 LABEL = "TARGET"
 IN_TRAIN = "in_train"
@@ -35,6 +36,15 @@ class Options:
     parameters: dict = field(default_factory=dict)
 
 
+# The three variants: plain; with polynomials and age bins, a wider clip trigger and more trees;
+# with approval rates. A list of unwanted columns is a parameter of the last two.
+VARIANTS = {
+    "plain": Options(),
+    "polynomial": Options(clip_trigger=3.5, age_polynomials=True, trees=750),
+    "approval": Options(approval_rate=True),
+}
+
+
 def history_features(spark: SparkSession, directory: str, options: Options) -> list[DataFrame]:
     """The five feature tables of the history tables, one row per client each."""
 
@@ -139,13 +149,29 @@ def tune_class_weight(
     return trees.last_k(out, "mean_test", "parameters")
 
 
+@dataclass(frozen=True)
+class ScoringRun:
+    """What a run leaves behind besides its files."""
+
+    model: PipelineModel
+    scores: DataFrame
+    report: DataFrame | None
+
+
 def score_clients(
-    spark: SparkSession, directory: str, output: str, options: Options = Options()
-) -> DataFrame:
+    spark: SparkSession,
+    directory: str,
+    output: str,
+    options: Options = Options(),
+    *,
+    tune: bool = False,
+) -> ScoringRun:
     """Read the eight tables, train, and write one score per client of the test table."""
     train, test = build_matrices(spark, directory, options)
+    report = tune_class_weight(train, options) if tune else None
     fitted = train_model(train, options)
-    scores = trees.score(fitted, test, history.CLIENT, LABEL)
     write_features(train, f"{output}/train_features")
-    write_scores(scores, f"{output}/scores")
-    return scores
+    write_scores(trees.score(fitted, test, history.CLIENT, LABEL), f"{output}/scores")
+    trees.importances(spark, fitted).write.parquet(f"{output}/importances")
+    stored = read_csv(spark, f"{output}/scores", {history.CLIENT: "bigint", LABEL: "double"})
+    return ScoringRun(fitted, stored, report)

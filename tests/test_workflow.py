@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from sparkfeat.plans import history, scoring
-from sparkfeat.sources.tables import load_loan_table, read_csv
+from sparkfeat.sources.tables import load_loan_table
 
 CLIENTS, TESTED = 160, 40
 
@@ -277,18 +277,33 @@ def test_matrices_have_the_same_columns_and_no_gaps(data, matrices):
     assert len([c for c in train.columns if c.startswith("BIRTH_YEARS_BINNED_")]) == 10
 
 
-def test_scores_and_reports(spark, data, matrices, tmp_path):
-    folder, tables = data
+def test_reports(matrices):
     (train, _), options = matrices
     report = scoring.tune_class_weight(train, options, weights=(1.0, 12.0)).collect()
     assert len(report) == 2 and report[0].mean_test <= report[1].mean_test
     assert all(0 <= r.mean_train <= 1 for r in report)
+
+
+def test_scores_are_written_for_every_client(spark, data, matrices, tmp_path):
+    folder, tables = data
+    (train, _), _ = matrices
     out = str(tmp_path / "run")
-    plain = scoring.Options(trees=3, parameters=SMALL_TREES)
-    scores = scoring.score_clients(spark, folder, out, plain)
-    written = read_csv(spark, f"{out}/scores", {"SK_ID_CURR": "bigint", "TARGET": "double"})
-    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, scores.collect()))
-    rows = written.collect()
-    assert len(rows) == (tables["application_test"].CODE_GENDER != "XNA").sum()
-    assert all(0 <= r.TARGET <= 1 for r in rows)
+    run = scoring.score_clients(
+        spark, folder, out, scoring.Options(trees=3, parameters=SMALL_TREES)
+    )
+    rows = run.scores.collect()
+    tested = tables["application_test"]
+    assert sorted(r.SK_ID_CURR for r in rows) == sorted(tested[tested.CODE_GENDER != "XNA"].SK_ID_CURR)
+    assert all(0 <= r.TARGET <= 1 for r in rows) and run.report is None
     assert spark.read.parquet(f"{out}/train_features").count() == train.count()
+    shares = spark.read.parquet(f"{out}/importances").toPandas().importance
+    assert shares.sum() == pytest.approx(1.0)
+
+
+def test_command_line():
+    from sparkfeat.__main__ import arguments
+
+    args = arguments(["in", "out", "--variant", "polynomial", "--trees", "9", "--tune"])
+    assert (args.input, args.variant, args.trees, args.tune) == ("in", "polynomial", 9, True)
+    assert scoring.VARIANTS["polynomial"].clip_trigger == 3.5
+    assert scoring.VARIANTS["polynomial"].trees == 750
