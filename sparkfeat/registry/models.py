@@ -23,8 +23,8 @@ def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
     documents = load_table(spark, sf, "documents").select(
         "doc_id",
         "n_chars",
-        F.size(F.split("text", r"\s+")).alias("n_words"),
-        F.length(F.regexp_replace("text", r"[^0-9]", "")).alias("n_digits"),
+        (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("n_blanks"),
+        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n_lines"),
         "lang",
         "source",
     )

@@ -16,6 +16,11 @@ NA_TOKENS = [
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+INTEGER_PATTERN = r"^\s*[+-]?[0-9]{1,19}\s*$"
+NUMBER_PATTERN = (
+    r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+)
+
 
 def blank_na_tokens(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Replace every missing-value token of the string columns by NULL, in one projection."""
@@ -36,10 +41,12 @@ def infer_types(texts: DataFrame, columns: list[str]) -> dict[str, str]:
     checks = []
     for i, c in enumerate(columns):
         value = as_column(c)
+        # The pattern comes first: it is much cheaper than a cast that fails.
+        no_int = ~value.rlike(INTEGER_PATTERN) | value.try_cast("bigint").isNull()
         checks += [
             F.count_if(value.isNull()).alias(f"missing_{i}"),
-            F.count_if(value.isNotNull() & value.try_cast("bigint").isNull()).alias(f"no_int_{i}"),
-            F.count_if(value.isNotNull() & value.try_cast("double").isNull()).alias(f"no_num_{i}"),
+            F.count_if(value.isNotNull() & no_int).alias(f"no_int_{i}"),
+            F.count_if(~value.rlike(NUMBER_PATTERN)).alias(f"no_num_{i}"),
         ]
     found = texts.agg(*checks).first()
     kinds = {}
@@ -63,7 +70,7 @@ def read_csv(
     """
     types = dict(types or {})
     texts = blank_na_tokens(
-        spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
+        spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, escape='"')
     )
     unlisted = [c for c in texts.columns if c not in types]
     types.update(infer_types(texts, unlisted))

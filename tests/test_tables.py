@@ -23,8 +23,14 @@ def test_csv_tokens_types_and_garbage(spark, tmp_path):
 
 
 def test_infer_types_of_an_all_missing_column(spark):
-    df = spark.createDataFrame([(None, "1"), (None, "2")], "a string, b string")
-    assert tables.infer_types(df, ["a", "b"]) == {"a": "double", "b": "bigint"}
+    rows = [(None, "1", "-inf", "1e3", "9223372036854775808", "1.2.3", "."),
+            (None, "+22", ".5", "-7.", "1", "4", "1")]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string, g string")
+    assert tables.infer_types(df, df.columns) == {
+        "a": "double", "b": "bigint", "c": "double", "d": "double", "e": "double", "f": "string",
+        "g": "string",
+    }
+    assert tables.infer_types(df, []) == {}
 
 
 def test_scratch_dir_follows_the_session(spark):
