@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfeat.operators import model as M
-from sparkfeat.operators.encode import levels
 from sparkfeat.operators.split import hash_split
 from sparkfeat.plans import application, history, scoring
 from sparkfeat.registry.base import inside, number_class, register, sql_class, sql_finite, sql_ratio
