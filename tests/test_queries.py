@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as driver
 from check import compare, connect
+from sparkfeat.registry import ORACLES, QUERIES
 
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
 TRAINING = {
     "gbt_scores", "importances", "unimportant_features", "cv_report", "random_search", "score_like",
 }
@@ -39,6 +39,10 @@ def test_scores_are_probabilities_and_repeatable(spark, small):
     assert one == two and one and all(0 <= s <= 1 for s in one.values())
 
 
+def test_every_registered_query_is_offered():
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
+
+
 def test_entry_runs(spark):
     out = driver.entry(spark)
     assert out.count() == spark.read.parquet(f"{driver.SMOKE_DIR}/customer.parquet").count()
