@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkfeat.llm.batches import read_table
 from sparkfeat.llm.bin_packing import pack_token_ids
+from sparkfeat.llm.exact_search import top_k
+from sparkfeat.llm.sharding import shard_documents
+from sparkfeat.llm.token_counts import count_tokens
 from sparkfeat.llm.window_packing import pack_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +35,43 @@ def op1_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_token_ids(read_table(spark, sf_dir, "documents"), *byte_vocabulary(), end_id=50256)
 
 
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by the piece vocabulary."""
+    docs = read_table(spark, sf_dir, "documents")
+    return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards by key, and where they go with 25."""
+    return shard_documents(read_table(spark, sf_dir, "documents"), 24)
+
+
+@query
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every 50th vector among all."""
+    return top_k(read_table(spark, sf_dir, "embeddings"), every=50)
+
+
+ORACLES["op7_exact_top_k"] = """
+WITH rows AS (
+    SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+    FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place
+    FROM pairs
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
+"""
+
+
 @query
 def op9_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of at most 1024 ids; id 0 ends a document."""
