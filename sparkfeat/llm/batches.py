@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step inside a task works on; a single longer text is a step of its own.
@@ -24,6 +24,21 @@ def texts_of(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), *columns)
 
 
+def wrapped(docs: DataFrame, *more: Column) -> DataFrame:
+    """The rows as a struct ``row`` of all columns but the text, the ``text``, and more columns.
+
+    Columns added beside them cannot clash with the table's own; see :func:`unwrapped`.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"), *more)
+
+
+def unwrapped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(
+        *(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns)
+    )
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """The texts of a column, empty where missing."""
     return pc.fill_null(column.cast(pa.string()), "")

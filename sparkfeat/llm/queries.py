@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkfeat.llm.batches import read_table
 from sparkfeat.llm.bin_packing import pack_token_ids
 from sparkfeat.llm.exact_search import top_k
+from sparkfeat.llm.language import identify
+from sparkfeat.llm.quality import judge
+from sparkfeat.llm.secrets import scan_secrets
 from sparkfeat.llm.sharding import shard_documents
 from sparkfeat.llm.token_counts import count_tokens
 from sparkfeat.llm.window_packing import pack_windows
@@ -35,6 +38,12 @@ def op1_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_token_ids(read_table(spark, sf_dir, "documents"), *byte_vocabulary(), end_id=50256)
 
 
+@query
+def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked credential parts of all documents."""
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents by the piece vocabulary."""
@@ -42,12 +51,24 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op4_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by key, and where they go with 25."""
     return shard_documents(read_table(spark, sf_dir, "documents"), 24)
 
 
+@query
+def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all documents, with cutoffs calibrated on all labels."""
+    return judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of every 50th vector among all."""
