@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkfeat.llm.batches import read_table
 from sparkfeat.llm.bin_packing import pack_token_ids
 from sparkfeat.llm.exact_search import top_k
+from sparkfeat.llm.jaccard_join import near_duplicates
 from sparkfeat.llm.language import identify
 from sparkfeat.llm.quality import judge
 from sparkfeat.llm.secrets import scan_secrets
@@ -97,3 +98,9 @@ SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 def op9_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of at most 1024 ids; id 0 ends a document."""
     return pack_windows(read_table(spark, sf_dir, "documents"), *byte_vocabulary())
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and links of all documents."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
