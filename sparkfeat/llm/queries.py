@@ -12,6 +12,7 @@ from sparkfeat.llm.bin_packing import pack_token_ids
 from sparkfeat.llm.exact_search import top_k
 from sparkfeat.llm.jaccard_join import near_duplicates
 from sparkfeat.llm.language import identify
+from sparkfeat.llm.piece_sampling import encode_sampled
 from sparkfeat.llm.quality import judge
 from sparkfeat.llm.secrets import scan_secrets
 from sparkfeat.llm.sharding import shard_documents
@@ -94,6 +95,13 @@ SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+@query
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of all documents, seeded by doc_id."""
+    docs = read_table(spark, sf_dir, "documents")
+    return encode_sampled(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op9_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of at most 1024 ids; id 0 ends a document."""
