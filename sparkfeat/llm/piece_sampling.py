@@ -222,7 +222,7 @@ class Sampler:
         while len(who):
             # 24 bits, so that the float stays below 1
             draw = mix(seed[who] + np.full(1, step, np.uint64) * FACTOR) >> np.uint64(40)
-            draw = ((draw + 0.5) / (1 << 24)).astype(np.float32)
+            draw = (draw / (1 << 24)).astype(np.float32)
             took = (cumulative[word, at - 1, :-1] <= draw[:, None]).sum(axis=1)
             piece = ids[word, at - 1, took].astype(np.int64)
             outside = piece < 0
