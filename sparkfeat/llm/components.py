@@ -14,7 +14,9 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Stored, so that both sides of the join that follows are dealt out by it alone and the
+    rows of a node with very many edges can be split."""
+    return materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -356,7 +356,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
     signed, grouped = link_classes(rows)
     grouped = materialize(grouped, "groups")
-    least = grouped.groupBy("root").agg(F.min("least").alias("class_id"))
+    least = materialize(grouped.groupBy("root").agg(F.min("least").alias("class_id")), "least")
     named = grouped.join(least, "root").select(
         "class", "class_id", F.col("least").alias("copy_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
