@@ -1,0 +1,226 @@
+"""Secrets, languages, shards, quality, search and near duplicates against brute force."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import __spark_entry__ as driver
+import corpus_pipeline
+from check import compare, connect
+from sparkfeat.llm.exact_search import best_of_block, top_k
+from sparkfeat.llm.jaccard_join import keep_one, near_duplicates
+from sparkfeat.llm.language import fit, identify, keep_known
+from sparkfeat.llm.quality import choose, judge, keep_good, tail
+from sparkfeat.llm.queries import ORACLES, QUERIES
+from sparkfeat.llm.secrets import find, hide, joined, redact_secrets, scan_secrets
+from sparkfeat.llm.sharding import shard_documents
+from tests.llm.conftest import NEAR, ROWS, SECRET
+
+BASE = {
+    "assign": (r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    "access": (r"AKIA[A-Z0-9]+", 0, 20),
+    "hex": (r"[0-9a-f]+", 0, 24),
+}
+
+
+def base_spans(text):
+    found = []
+    for order, (kind, (pattern, group, least)) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text):
+            if len(m[group]) >= least:
+                found.append((m.start(), order, f"{kind}:{m.start()}:{m.end()}"))
+    return ",".join(s for _, _, s in sorted(found))
+
+
+def test_base_secrets(spark, docs, small):
+    for table in (docs, spark.read.parquet(f"{small}/documents.parquet")):
+        texts = {(r.doc_id, r.text) for r in table.collect()}
+        want = Counter((d, hashlib.sha256(base_spans(t or "").encode()).hexdigest()) for d, t in texts)
+        rows = scan_secrets(table.dropDuplicates()).collect()
+        assert Counter((r.doc_id, r.base_sha256) for r in rows) == want
+
+
+def test_weak_parts_need_their_complement():
+    kinds = ["assign", "access", "hex", "user", "code", "endpoint"]
+    code = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hJ6kL9n"
+    spans, links = find(SECRET, kinds)
+    assert [s.kind for s in spans] == ["user", "assign", "endpoint", "access"] and len(links) == 4
+    assert find(f"user: bob and {code}", kinds)[0] and not find(code, kinds)[0]
+    assert not find("user: bob at https://db.example.com/x", kinds)[0]
+    assert not find(f"user: bob\n\n{code}", kinds)[0]  # another scope
+    assert not find("user: bob" + " " * 300 + code, kinds)[0]  # out of reach
+    assert "hunter22" not in hide(SECRET, spans) and joined([]) == ""
+
+
+def test_hidden_secrets(docs):
+    rows = {r.doc_id: r for r in redact_secrets(docs).collect()}
+    assert redact_secrets(docs).schema == docs.schema and "AKIA" not in rows[10].text
+    assert rows[10].n_chars == len(rows[10].text) and rows[2].text is None
+    assert rows[5].text == dict((d, t) for d, t, *_ in ROWS)[5]
+
+
+def jump(key, shards):
+    b, j = -1, 0
+    while j < shards:
+        b, key = j, (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (2**31 / ((key >> 33) + 1)))
+    return b
+
+
+def test_shards(docs):
+    rows = shard_documents(docs, 24).collect()
+    assert len(rows) == len(ROWS) and {r.law for r in rows} == {"key"}
+    for shard in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(
+            range(sum(r.shard == shard for r in rows))
+        )
+    for r in rows:
+        key = -(2**63) if r.doc_id is None else r.doc_id
+        assert r.shard == jump(key % 2**64, 24) and r.grown_shard in (r.shard, 24)
+        assert r.grown_shard == jump(key % 2**64, 25)
+    want = Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, *_ in ROWS)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
+
+
+def brute_counts(text):
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    seen = Counter(windows)
+    inside = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(8)}
+    symbols = len(re.findall(r"[#*$%&|<>]", text))
+    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(inside)
+
+
+def test_quality_counts(spark, docs, labels, small):
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    told = spark.read.parquet(f"{small}/labels.parquet")
+    for rows, marks in ((docs, labels), (table, told)):
+        found = judge(rows, marks).collect()
+        want = Counter((r.doc_id, *brute_counts(r.text or "")) for r in rows.collect())
+        got = Counter(
+            (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+            for r in found
+        )
+        assert got == want
+        for r in found:
+            assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+            assert not (r.base_failed and r.kept)
+        assert keep_good(rows, marks).count() == sum(r.kept for r in found)
+
+
+def test_cutoffs_bound_false_rejections():
+    assert tail(10, 10, 0.3) == pytest.approx(1) and tail(5, 0, 0.1) == pytest.approx(0.9**5)
+    good, bad = np.array([990, 10, 0, 0]), np.array([5, 5, 0, 40])
+    assert choose(good, bad, 0.02, 0.01) == 0  # the lenient cutoff has the gain without a loss
+    assert choose(good[:1].repeat(4) // 100, bad, 0.02, 0.01) == -1  # too few good ones
+    assert choose(np.array([0, 0, 0, 0]), bad, 0.02, 0.01) == -1
+
+
+def test_languages(spark, docs, small):
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    rows = identify(table).join(table.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert np.mean([r.lang == r.lang_pred for r in held]) >= 0.95
+    found = identify(docs).collect()
+    assert len(found) == len(ROWS) and all(0 <= r.score <= 1 for r in found)
+    assert {r.lang_pred for r in found if r.doc_id in (2, 3, 11)} == {"und"}
+    assert keep_known(docs).count() <= len(ROWS) - 3
+    unlabelled = docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")
+    assert fit(unlabelled) is None and {r.lang_pred for r in identify(unlabelled).collect()} == {"und"}
+
+
+def grams(text):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+    if len(words) < 5:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def test_near_duplicates(spark, docs, small):
+    for table in (docs, spark.read.parquet(f"{small}/documents.parquet")):
+        rows = table.collect()
+        sets = [grams(r.text) for r in rows]
+        links = Counter()
+        for i, a in enumerate(sets):
+            links[i] += 0
+            for j, b in enumerate(sets[:i]):
+                if a and 5 * len(a & b) >= 4 * len(a | b):
+                    links[i] += 1
+                    links[j] += 1
+        got = near_duplicates(table).collect()
+        want = Counter((r.doc_id, links[i]) for i, r in enumerate(rows))
+        assert Counter((r.doc_id, r.n_links) for r in got) == want
+    named = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    assert named[7] == named[8] == 6 and named[5] == 5
+
+
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    from sparkfeat.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 8)
+    rows = [(i, f"{NEAR} tail{i} {'end' if i % 2 else ''}") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(table).collect()
+    assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {59}
+
+
+def test_one_of_a_class_stays(docs):
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [1, 2, 3, 4, 5, 6, 9, 10, 11, 12, None]
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda d: (d is None, d)) == want
+
+
+def test_search(spark, small):
+    con = connect(small)
+    assert compare(QUERIES["op7_exact_top_k"](spark, small), con, ORACLES["op7_exact_top_k"]) == []
+    rows = [
+        (0, [1.0, 2.0]), (50, [1.0]), (1, None), (2, [None, 1.0]), (3, [float("nan")]), (4, []),
+        (5, [1.0, 2.0]), (5, [1.0, 2.0]), (100, [1.0, float("inf")]), (None, [1.0, 1.0]), (6, [1e300]),
+    ]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in top_k(table.withColumn("rank", table.vec_id), 50, 2).orderBy("query_id", "rank").collect()]
+    assert got[0][:3] == (0, 1, 6) and got[1] == (0, 2, 5, 5 * 256**2) and len(got) == 4
+
+
+def test_pruning_keeps_the_best():
+    random = np.random.default_rng(1)
+    q, c = random.integers(-99, 99, (40, 7)), random.integers(-3, 3, (40, 500))
+    c[:, :20] *= 40
+    at, names, scores = best_of_block(np.arange(7), q, np.arange(500), c, 5)
+    for i in range(7):
+        every = sorted((-int(s), n) for n, s in enumerate(q[:, i] @ c) if n != i)[:5]
+        assert [(-s, n) for s, n in every] == list(zip(scores[at == i].tolist(), names[at == i].tolist()))
+
+
+def test_empty_tables_and_other_columns(empty, wide, docs, labels):
+    runs = (
+        scan_secrets, redact_secrets, lambda d: shard_documents(d, 24), lambda d: judge(d, labels),
+        lambda d: keep_good(d, labels), identify, keep_known, near_duplicates, keep_one,
+    )
+    for run in runs:
+        assert run(empty).count() == 0
+        assert run(wide).count() == run(docs).count()
+
+
+def test_pipeline(spark, small):
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    docs = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.schema.names == table.schema.names and out.count() <= docs.count()
+        docs = out
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, small)
+    assert last.select("doc_id").distinct().count() == docs.count()
+    assert sorted(map(tuple, driver.queries()["pipeline"](spark, small).select("doc_id", "start", "length", "ids_crc32").distinct().collect()))
+
+
+def test_all_queries_are_offered():
+    assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
