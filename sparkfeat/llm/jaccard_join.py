@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.llm.batches import (
@@ -27,7 +27,7 @@ WORDS, SIMILAR = 5, (4, 5)
 #: Recall at that similarity, and how often texts of a low similarity may meet.
 RECALL, LOW, LOW_MEETS = 0.9999, 0.3, 0.06
 #: Classes and n-grams of a block of one bucket that are compared with another block at once.
-BLOCK_ROWS, BLOCK_GRAMS = 512, 1_000_000
+BLOCK_ROWS, BLOCK_GRAMS = 256, 1_000_000
 #: Columns of an incidence matrix at a time, and bytes of text of one step.
 COLUMNS, TEXT_BYTES = 4096, 2 << 20
 
@@ -296,15 +296,25 @@ def shared_buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, buckets.select("b.band", "b.hash", blocks.alias("blocks"))
 
 
+def order_of() -> Column:
+    """Rows of a class by key, missing keys last; the place tells rows of one key apart."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "place")
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """The rows with the hash that tells key and text; equal rows share it."""
+    return docs.withColumn("place", F.xxhash64("id", "text"))
+
+
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Signatures of the rows of (id, text), and per linked class: links and component."""
-    located = docs.select("id", F.xxhash64("id", "text").alias("place"), "text")
+    """Signatures of the rows of (id, text), and per class: links and component."""
+    located = placed(docs.select("id", "text"))
     signed = materialize(signatures(located), "signatures")
     classes = materialize(
         signed.where("n > 0")
         .groupBy("class")
         .agg(
-            F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
+            F.min(order_of()).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
             F.first("place").alias("place"), F.first("bands").alias("bands"),
         ),
         "classes",
@@ -330,7 +340,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(found.groupBy("class").agg(F.sum("links").alias("links")), "class", "left")
         .withColumn("root", F.coalesce("root", "class"))
     )
-    return signed, grouped
+    return signed, materialize(grouped, "groups")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -355,10 +365,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text")
     )
     signed, grouped = link_classes(rows)
-    grouped = materialize(grouped, "groups")
-    least = materialize(grouped.groupBy("root").agg(F.min("least").alias("class_id")), "least")
+    least = materialize(grouped.groupBy("root").agg(F.min("least").alias("first")), "least")
     named = grouped.join(least, "root").select(
-        "class", "class_id", F.col("least").alias("copy_id"),
+        "class", F.col("first.id").alias("class_id"), F.col("least.id").alias("copy_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     return signed.select("id", "class").join(named, "class", "left").select(
@@ -370,10 +379,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of every class of near duplicates, the first in the table, with all columns."""
-    rows = materialize(
-        wrapped(docs).withColumn("number", F.monotonically_increasing_id()), "numbered"
-    )
-    classes = near_duplicates(rows.select("number", "text"), "number")
-    kept = classes.where("number = class_id").select("number")
-    return unwrapped(rows.join(kept, "number", "left_semi"), docs.columns)
+    """One row of every class of near duplicates, that of the least doc_id, with all columns.
+
+    Of equal rows one stays; rows without a word are classes of their own and all stay.
+    """
+    rows = placed(wrapped(docs, F.col("doc_id").cast("long").alias("id")))
+    signed, grouped = link_classes(rows.select("id", "text"))
+    first = grouped.groupBy("root").agg(F.min("least").alias("first")).select("first.place")
+    of_classes = rows.join(first, "place", "left_semi").dropDuplicates(["place"])
+    wordless = F.coalesce(F.regexp_like("text", F.lit("^[\\x20\\x09-\\x0D]*\\z")), F.lit(True))
+    return unwrapped(of_classes.union(rows.select(of_classes.columns).where(wordless)), docs.columns)
