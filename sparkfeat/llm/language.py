@@ -97,16 +97,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def training_sample(docs: DataFrame) -> DataFrame:
     """At most SAMPLE labelled rows, at most PER_LANGUAGE of a language, chosen by a hash.
 
-    Equal rows count once. Only hashes are ranked; the texts of the chosen are read after.
+    Equal rows count once. Only hashes are ranked, after a threshold by the number of a
+    language's distinct texts has left a few times the bound; the texts of the chosen come after.
     """
     told = docs.select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"),
         held_out().alias("out"),
     ).where("text IS NOT NULL AND lang IS NOT NULL AND NOT out")
     rows = told.select("lang", F.xxhash64("lang", "text").alias("key"), "text")
+    hashes = materialize(rows.select("lang", "key"), "language-hashes")
+    sizes = materialize(
+        hashes.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")), "language-sizes"
+    )
+    part = F.shiftrightunsigned("key", 1) / F.lit(float(1 << 63))
     rank = Window.partitionBy("lang").orderBy("key")
     chosen = (
-        rows.select("lang", "key")
+        hashes.join(sizes, "lang")
+        .where(part * F.col("n") < 3 * PER_LANGUAGE)
+        .select("lang", "key")
         .distinct()
         .withColumn("rank", F.row_number().over(rank))
         .where(F.col("rank") <= PER_LANGUAGE)
