@@ -11,6 +11,7 @@ from sparkfeat.functions.missing import as_column, quoted, text_literal
 from sparkfeat.operators.aggregate import level_name
 from sparkfeat.operators.columns import check_distinct_names
 from sparkfeat.operators.profile import string_columns
+from sparkfeat.sources.store import materialize
 
 MAX_LEVELS = 1000
 
@@ -45,17 +46,25 @@ def levels(
     return {c: sorted(v) for c, v in found.items()}
 
 
-def level_catalogue(
-    df: DataFrame, columns: Sequence[str] | None = None, max_levels: int = MAX_LEVELS
-) -> DataFrame:
+def level_catalogue(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Levels as a table (column, level, ordinal), ordinals from 0 in sort order.
 
-    Fitted on the table as read, so it keeps levels that later filters remove.
+    Fitted on the table as read, so it keeps levels that later filters remove. One scan, any
+    number of levels: they are stored in ranges of (column, level), and an ordinal is a level's
+    place in its part plus the column's levels in the parts before.
     """
     columns = list(columns) if columns is not None else string_columns(df)
-    levels(df, columns, max_levels)  # raises on unbounded columns
-    by_level = Window.partitionBy("column").orderBy("level")
-    return _column_levels(df, columns).withColumn("ordinal", F.row_number().over(by_level) - 1)
+    found = _column_levels(df, columns).repartitionByRange("column", "level")
+    parts = materialize(found.withColumn("part", F.spark_partition_id()), "levels")
+    sizes = parts.groupBy("column", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        "column", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    )
+    inside = F.row_number().over(Window.partitionBy("column", "part").orderBy("level"))
+    return parts.join(starts, ["column", "part"]).select(
+        "column", "level", (F.col("start") + inside - 1).cast("int").alias("ordinal")
+    )
 
 
 def one_hot(

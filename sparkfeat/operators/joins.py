@@ -15,10 +15,8 @@ from sparkfeat.sources.store import materialize
 
 # A key is hot if it holds more than 1/HOT_SHARE of the rows, so there are fewer than HOT_SHARE.
 HOT_SHARE = 1000
-# Rows are only split by hot keys if one key holds more than 1/SKEW_SHARE of them.
-SKEW_SHARE = 50
-# A lookup table of at most this many rows is broadcast.
-BROADCAST_ROWS = 100_000
+# Tasks that the rows of one hot key are dealt out to.
+SALTS = 64
 
 
 def assemble(entities: DataFrame, key: str, features: Sequence[DataFrame]) -> DataFrame:
@@ -47,8 +45,9 @@ def _without_nulls(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def join_counted(rows: DataFrame, table: DataFrame, key: str | Sequence[str], count: str) -> DataFrame:
     """Left-join a table with one row per key of ``rows`` and the number of rows it stands for.
 
-    Rows of hot keys meet their few table rows by broadcast and never move; rows without a key
-    stay in place too; only the remaining rows are shuffled.
+    Rows without a key stay in place. The table's rows of hot keys, fewer than HOT_SHARE, are
+    copied to every part of a hash of the row (``__salt``), so that a hot key is dealt out to
+    many tasks; how both joins run follows from the sizes in bytes.
     """
     keys = [key] if isinstance(key, str) else list(key)
     table = materialize(table, "counted")
@@ -59,29 +58,35 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str | Sequence[str], co
     keyless = rows.where(no_key).withColumns(
         {f.name: F.lit(None).cast(f.dataType) for f in table.schema if f.name not in keys}
     )
-    if largest * SKEW_SHARE <= total:
-        joined = present.join(table, keys, "left")
-    else:
-        is_hot = F.col(count) > F.lit(total // HOT_SHARE)
-        hot = F.broadcast(table.where(is_hot))
-        warm = present.join(hot, keys, "inner")
-        others = present.join(F.broadcast(table.where(is_hot).select(*keys)), keys, "left_anti")
-        joined = warm.unionByName(others.join(table.where(~is_hot), keys, "left"))
+    limit = total // HOT_SHARE
+    if largest <= limit:
+        return present.join(table, keys, "left").unionByName(keyless)
+    is_hot = F.col(count) > F.lit(limit)
+    names = table.where(is_hot).select(*keys)
+    copies = table.where(is_hot).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = present.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    warm = salted.join(copies, [*keys, "__salt"], "inner").drop("__salt")
+    others = present.join(F.broadcast(names), keys, "left_anti")
+    joined = warm.unionByName(others.join(table.where(~is_hot), keys, "left"))
     return joined.unionByName(keyless)
 
 
+def _fits_broadcast(table: DataFrame) -> bool:
+    """Whether Spark broadcasts the stored table by itself, from its bytes and the setting."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return size <= limit
+
+
 def lookup(
-    rows: DataFrame, table: DataFrame, key: str | Sequence[str], size: int | None = None
+    rows: DataFrame, table: DataFrame, key: str | Sequence[str], stored: bool = False
 ) -> DataFrame:
-    """Left-join a lookup table with unique keys: broadcast if it is small, else by shuffle
-    with the hot keys split off. The table's size is counted, not assumed; pass ``size`` if the
-    table is stored and was counted before."""
+    """Left-join a lookup table with unique keys. The table is stored, unless it already is; its
+    size in bytes decides between Spark's own broadcast and a shuffle with hot keys split."""
     keys = [key] if isinstance(key, str) else list(key)
-    if size is None:
-        table = materialize(table, "lookup")
-        size = table.count()
-    if size <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), keys, "left")
+    table = table if stored else materialize(table, "lookup")
+    if _fits_broadcast(table):
+        return rows.join(table, keys, "left")
     weights = _without_nulls(rows, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     return join_counted(rows, weights.join(table, keys, "left"), keys, "__rows").drop("__rows")
 

@@ -82,14 +82,21 @@ def score(model, df: DataFrame, key: str, into: str = "TARGET") -> DataFrame:
 
 
 def blend(tables: Sequence[DataFrame], key: str, score_name: str = "TARGET") -> DataFrame:
-    """Mean of several score tables with one row per key each."""
+    """Mean of several score tables with one row per key each.
+
+    A key that some tables lack keeps the mean of the scores that it has.
+    """
     named = [
         t.select(as_column(key), as_column(score_name).alias(f"__score_{i}"))
         for i, t in enumerate(tables)
     ]
-    joined = reduce(lambda left, right: left.join(right, key, "inner"), named)
-    total = reduce(add, [F.col(f"__score_{i}") for i in range(len(named))])
-    return joined.select(as_column(key), (total / F.lit(float(len(named)))).alias(score_name))
+    joined = reduce(lambda left, right: left.join(right, key, "full"), named)
+    scores = [F.col(f"__score_{i}") for i in range(len(named))]
+    total = reduce(add, [F.coalesce(s, F.lit(0.0)) for s in scores])
+    present = reduce(add, [s.isNotNull().cast("double") for s in scores])
+    return joined.select(
+        as_column(key), F.when(present > 0, total / present).alias(score_name)
+    )
 
 
 def auc(df: DataFrame, score_name: str, label: str) -> float:
@@ -126,14 +133,21 @@ def parameter_grid(model: Pipeline, space: Mapping[str, Sequence]) -> list[dict]
 def random_points(
     model: Pipeline, space: Mapping[str, object], points: int = SEARCH_POINTS, seed: int = SEED
 ) -> list[dict]:
-    """Parameter maps drawn from lists of values or from functions of a random generator."""
+    """Parameter maps drawn from lists of values or from functions of a random generator.
+
+    Of lists alone no point is drawn twice; there are then at most as many as combinations.
+    """
     generator = random.Random(seed)
+    classifier = _classifier(model)
+    if not any(callable(values) for values in space.values()):
+        every = parameter_grid(model, space)
+        return generator.sample(every, min(points, len(every)))
 
     def draw(values):
         return values(generator) if callable(values) else generator.choice(list(values))
 
     return [
-        {_classifier(model).getParam(name): draw(values) for name, values in space.items()}
+        {classifier.getParam(name): draw(values) for name, values in space.items()}
         for _ in range(points)
     ]
 
@@ -167,9 +181,19 @@ def search(
 
 
 def search_report(
-    found: CrossValidatorModel, df: DataFrame, *, label: str, fold: str = "fold"
+    found: CrossValidatorModel,
+    df: DataFrame,
+    *,
+    label: str,
+    fold: str = "fold",
+    fixed: Mapping[str, object] | None = None,
+    first: int = 0,
 ) -> DataFrame:
-    """One row per parameter point: mean test, mean train and deviation of test AUC."""
+    """One row per parameter point: mean test, mean train and deviation of test AUC.
+
+    ``fixed`` names what the whole search had in common, such as a class weight; points count
+    from ``first`` on.
+    """
     evaluator = _auc_evaluator("rawPrediction", label)
     rows = []
     for i, point in enumerate(found.getEstimatorParamMaps()):
@@ -177,9 +201,10 @@ def search_report(
             evaluator.evaluate(models[i].transform(df.where(F.col(fold) != n)))
             for n, models in enumerate(found.subModels)
         ]
-        text = ", ".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda e: e[0].name))
+        named = {p.name: v for p, v in point.items()} | dict(fixed or {})
+        text = ", ".join(f"{name}={value}" for name, value in sorted(named.items()))
         mean_train = sum(train_auc) / len(train_auc)
-        rows.append((i, text, float(found.avgMetrics[i]), mean_train, float(found.stdMetrics[i])))
+        rows.append((first + i, text, float(found.avgMetrics[i]), mean_train, float(found.stdMetrics[i])))
     schema = "point int, parameters string, mean_test double, mean_train double, std_test double"
     return df.sparkSession.createDataFrame(rows, schema)
 

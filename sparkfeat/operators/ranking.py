@@ -1,134 +1,38 @@
-"""Exact order statistics of groups of any size, without sorting a group in one task.
+"""Exact order statistics of groups of any size, without one task for a group.
 
-Small groups are resolved by one window over their distinct values. A large group is narrowed
-down in rounds: its value range is cut into equal bins, rows are counted per bin (combined
-before the shuffle), and the bin that holds the wanted rank becomes the next range, until the
-range is a single value. A round only sends bin counts, whatever share of the rows a group has.
+The distinct values of all groups, with their numbers of rows, are dealt out by ranges of
+(group, value) and stored sorted. A large group then spans many parts, a small one shares a
+part. Sums per group and part say in which part a rank lies; a running count inside the parts
+that hold a wanted rank finds the value. Two shuffles for any size, type and distribution of
+values, and nothing goes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sparkfeat.functions.missing import INFINITY, as_column
-
-BINS = 65536
-SMALL_GROUP = 1_000_000
-MAX_LARGE_GROUPS = 10_000
+from sparkfeat.functions.missing import as_column
+from sparkfeat.sources.store import materialize
 
 Ranks = Callable[[Column], Sequence[Column]]
 
 
-def _wanted(ranks: Ranks) -> Column:
-    """Generator of (slot, rank) from the group size ``n``."""
-    return F.posexplode(F.array(*[r.cast("bigint") for r in ranks(F.col("n"))])).alias(
-        "slot", "rank"
-    )
-
-
-def _pick_by_window(rows: DataFrame, by: list[str], ranks: Ranks) -> DataFrame:
-    """Values at the wanted ranks, from running counts over a group's distinct values."""
+def _sorted_parts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct values with their ``weight`` and the ``part`` of the sorted table they lie in."""
     counted = rows.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("weight"))
-    order = Window.partitionBy(*by).orderBy("value")
-    running = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        counted.withColumns({"last": running, "n": F.sum("weight").over(everything)})
-        .select(*by, "value", "weight", "last", _wanted(ranks))
-        .where((F.col("rank") <= F.col("last")) & (F.col("rank") > F.col("last") - F.col("weight")))
-        .select(*by, "slot", "value")
-    )
-
+    dealt = counted.repartitionByRange(*by, "value")
+    return materialize(dealt.withColumn("part", F.spark_partition_id()), "ranked")
 
-def _in_range(rows: DataFrame, by: list[str], state: list[Row], schema: T.StructType) -> DataFrame:
-    """Rows inside the current range of their group, once per open rank."""
-    if by:
-        ranges = rows.sparkSession.createDataFrame(state, schema).drop("n")
-        matched = rows.join(F.broadcast(ranges), by, "inner")
-    else:
-        ranges = [
-            F.struct(*[F.lit(r[c]).alias(c) for c in ("low", "high", "slot", "rank")]) for r in state
-        ]
-        matched = rows.select("value", F.inline(F.array(*ranges)))
-    return matched.where(F.col("value").between(F.col("low"), F.col("high")))
 
-
-def _bin(bins: int) -> Column:
-    """Bin of a value in [low, high]: grows with the value, first bin at low, last at high."""
-    value, low, high = (F.col(c).cast("double") for c in ("value", "low", "high"))
-    unbounded = (low == F.lit(-INFINITY)) | (high == F.lit(INFINITY))
-    coarse = (
-        F.when(value == F.lit(-INFINITY), 0)
-        .when(value == F.lit(INFINITY), 3)
-        .when(value < 0, 1)
-        .otherwise(2)
-    )
-    share = (value / 2 - low / 2) / (high / 2 - low / 2)
-    fine = F.when(high / 2 > low / 2, F.floor(share * F.lit(bins - 1))).otherwise(F.lit(0))
-    return F.when(unbounded, coarse).otherwise(fine).cast("int")
-
-
-def _narrow(inside: DataFrame, by: list[str], bins: int) -> DataFrame:
-    """One round: the range and size of the bin that holds each rank, and the rank in it."""
-    counted = (
-        inside.withColumn("bin", _bin(bins))
-        .groupBy(*by, "slot", "rank", "bin")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-        )
-    )
-    # At most ``bins`` rows of a group and rank reach this window.
-    order = Window.partitionBy(*by, "slot").orderBy("bin")
-    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return (
-        counted.withColumn("before", before)
-        .where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n")))
-        .select(*by, "n", "low", "high", "slot", (F.col("rank") - F.col("before")).alias("rank"))
-    )
-
-
-def _search(rows: DataFrame, by: list[str], large: DataFrame, ranks: Ranks, bins: int) -> DataFrame:
-    """Values at the wanted ranks of large groups, by repeated narrowing."""
-    first = large.select(*by, "n", "low", "high", _wanted(ranks)).where(
-        F.col("rank").between(F.lit(1), F.col("n"))
-    )
-    schema, state, found = first.schema, first.collect(), []
-    while state:
-        found += [r for r in state if r["low"] == r["high"]]
-        state = [r for r in state if r["low"] != r["high"]]
-        if state:
-            width = max(256, bins // len(state))
-            nearer = _narrow(_in_range(rows, by, state, schema), by, width).collect()
-            if sorted(map(str, nearer)) == sorted(map(str, state)):
-                raise ArithmeticError("values too close together to be told apart as doubles")
-            state = nearer
-    names = [*by, "slot", "low"]
-    table = rows.sparkSession.createDataFrame(
-        [tuple(r[c] for c in names) for r in found], T.StructType([schema[c] for c in names])
-    )
-    return table.withColumnRenamed("low", "value")
-
-
-def values_at_ranks(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    ranks: Ranks,
-    *,
-    small_group: int = SMALL_GROUP,
-    bins: int = BINS,
-) -> DataFrame:
+def values_at_ranks(df: DataFrame, by: Sequence[str], value: str, ranks: Ranks) -> DataFrame:
     """The values at given ranks of each group: columns ``by``, ``slot``, ``value``.
 
     ``ranks`` turns the group's number of present values into 1-based ranks; ``slot`` is the
-    position in that list. Ranks outside the group give no row. Values are doubles, or integers
-    below 2**53. Rows with a missing group or value are left out.
+    position in that list. Ranks outside the group give no row. Values keep their type. Rows
+    with a missing group or value are left out.
     """
     if {"slot", "value"} & set(by):
         raise ValueError("group columns may not be called slot or value")
@@ -139,32 +43,41 @@ def values_at_ranks(
     )
     for c in [*by, "value"]:
         rows = rows.where(as_column(c).isNotNull())
-    sizes = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    parts = _sorted_parts(rows, by)
+    # One row for each part and each end of a group inside a part.
+    sums = parts.groupBy(*by, "part").agg(F.sum("weight").alias("inside"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = F.posexplode(F.array(*[r.cast("bigint") for r in ranks(F.col("n"))]))
+    holding = (
+        sums.withColumns(
+            {
+                "before": F.coalesce(F.sum("inside").over(before), F.lit(0)),
+                "n": F.sum("inside").over(Window.partitionBy(*by)),
+            }
+        )
+        .select(*by, "part", "before", "inside", wanted.alias("slot", "rank"))
+        .withColumn("rank", F.col("rank") - F.col("before"))
+        .where(F.col("rank").between(F.lit(1), F.col("inside")))
+        .groupBy(*by, "part")
+        .agg(F.collect_list(F.struct("slot", "rank")).alias("ranks"))
     )
-    # One pass finds the large groups. The rest are small, or no larger than the smallest of
-    # MAX_LARGE_GROUPS groups and thus at most that fraction of all rows.
-    large = (
-        sizes.where(F.col("n") > small_group)
-        .orderBy(F.col("n").desc())
-        .limit(MAX_LARGE_GROUPS)
-        .collect()
+    order = Window.partitionBy("part", *by).orderBy("value")
+    running = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        parts.join(holding, [*by, "part"])
+        .withColumn("last", running)
+        .select(*by, "value", "weight", "last", F.inline("ranks"))
+        .where((F.col("rank") <= F.col("last")) & (F.col("rank") > F.col("last") - F.col("weight")))
+        .select(*by, "slot", "value")
+        .withColumnsRenamed(names)
     )
-    if not large:
-        return _pick_by_window(rows, by, ranks).withColumnsRenamed(names)
-    state = df.sparkSession.createDataFrame(large, sizes.schema)
-    if not by:
-        return _search(rows, by, state, ranks, bins)
-    small = rows.join(F.broadcast(state.select(*by)), by, "left_anti")
-    searched = _search(rows, by, state, ranks, bins)
-    return _pick_by_window(small, by, ranks).unionByName(searched).withColumnsRenamed(names)
 
 
-def median(df: DataFrame, by: Sequence[str], value: str, **options) -> DataFrame:
+def median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Exact median per group, the mean of the two middle values: columns ``by``, ``median``."""
 
     def middle(n: Column) -> list[Column]:
         return [F.floor((n + 1) / 2), F.floor(n / 2) + 1]
 
-    found = values_at_ranks(df, by, value, middle, **options)
+    found = values_at_ranks(df, by, value, middle)
     return found.groupBy(*by).agg((F.sum("value").cast("double") / 2).alias("median"))

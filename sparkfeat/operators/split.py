@@ -2,7 +2,7 @@
 
 A row's position is a 52-bit hash of ``seed:id``, so a split does not depend on partitioning,
 file order or task retries. Exact shares per class come from the number at a given rank (see
-``ranking``), not from sorting. The hash is xxHash64; with ``portable`` it is taken from the MD5
+``ranking``). The hash is xxHash64; with ``portable`` it is taken from the MD5
 digest, which costs more but which any other engine can reproduce.
 """
 
@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from sparkfeat.functions.missing import as_column
 from sparkfeat.operators.ranking import Ranks, values_at_ranks
+from sparkfeat.sources.store import materialize
 
 # Fixed value: the seed of all splits.
 SEED = 314
 HASH_RANGE = 2**52
-NUMBER = "__number"
-# Classes times cuts; they become literals of the plan.
-MAX_CUTS = 2000
+NUMBER, CLASS = "__number", "__class"
 
 
 def hash_number(key, seed: int = SEED, portable: bool = False) -> Column:
@@ -46,27 +45,23 @@ def _numbered(df: DataFrame, key: str, seed: int, portable: bool) -> DataFrame:
     return df.withColumn(NUMBER, hash_number(key, seed, portable))
 
 
-def _cuts(numbered: DataFrame, label: str, ranks: Ranks, **options) -> dict:
-    """Hash numbers at the given ranks within each class: ``{class: {slot: number}}``."""
-    classes = numbered.select(as_column(label).alias("class"), NUMBER)
-    found = values_at_ranks(classes, ["class"], NUMBER, ranks, **options)
-    cuts: dict = {}
-    rows = found.limit(MAX_CUTS + 1).collect()
-    if len(rows) > MAX_CUTS:
-        raise ValueError(f"more than {MAX_CUTS} cuts: {label} has too many classes")
-    for row in rows:
-        cuts.setdefault(row["class"], {})[row["slot"]] = row["value"]
-    return cuts
+def _with_cuts(numbered: DataFrame, label: str, ranks: Ranks, cuts: int) -> DataFrame:
+    """The rows with the hash numbers at the given ranks of their class, ``__cut_0`` and on.
+
+    The cuts are one stored row for each class; how they are joined follows from their size.
+    """
+    classes = numbered.select(as_column(label).alias(CLASS), NUMBER)
+    found = values_at_ranks(classes, [CLASS], NUMBER, ranks)
+    wide = found.groupBy(CLASS).agg(
+        *[F.max(F.when(F.col("slot") == i, F.col("value"))).alias(f"__cut_{i}") for i in range(cuts)]
+    )
+    table = materialize(wide, "cuts")
+    return numbered.join(table, as_column(label) == F.col(CLASS), "left")
 
 
-def _at_most(label: str, cuts: dict, slot: int) -> Column:
+def _at_most(cut: int) -> Column:
     """True for rows whose number is at or below the cut of their class."""
-    below = F.lit(False)
-    for value, by_slot in cuts.items():
-        if slot in by_slot:
-            of_class = as_column(label) == F.lit(value)
-            below = below | (of_class & (F.col(NUMBER) <= F.lit(by_slot[slot])))
-    return F.coalesce(below, F.lit(False))
+    return F.coalesce(F.col(NUMBER) <= F.col(f"__cut_{cut}"), F.lit(False))
 
 
 def stratified_split(
@@ -77,7 +72,6 @@ def stratified_split(
     seed: int = SEED,
     into: str = "is_test",
     portable: bool = False,
-    **options,
 ) -> DataFrame:
     """Mark exactly ``round(share * n)`` rows of each class, those with the lowest numbers.
 
@@ -87,9 +81,8 @@ def stratified_split(
     def cut(n: Column) -> list[Column]:
         return [F.floor(n * F.lit(share) + F.lit(0.5))]
 
-    numbered = _numbered(df, key, seed, portable)
-    cuts = _cuts(numbered, label, cut, **options)
-    return numbered.withColumn(into, _at_most(label, cuts, 0)).drop(NUMBER)
+    rows = _with_cuts(_numbered(df, key, seed, portable), label, cut, 1)
+    return rows.withColumn(into, _at_most(0)).select(*df.columns, into)
 
 
 def k_fold(
@@ -100,29 +93,27 @@ def k_fold(
     seed: int = SEED,
     into: str = "fold",
     portable: bool = False,
-    **options,
 ) -> DataFrame:
     """Number of the fold of each row; folds of a class differ by at most one row in size."""
 
     def ends(n: Column) -> list[Column]:
         return [F.floor(n * F.lit(i) / F.lit(folds)) for i in range(1, folds)]
 
-    numbered = _numbered(df, key, seed, portable)
-    cuts = _cuts(numbered, label, ends, **options)
+    rows = _with_cuts(_numbered(df, key, seed, portable), label, ends, folds - 1)
     fold = F.lit(folds - 1)
     for i in reversed(range(folds - 1)):
-        fold = F.when(_at_most(label, cuts, i), F.lit(i)).otherwise(fold)
-    return numbered.withColumn(into, fold.cast("int")).drop(NUMBER)
+        fold = F.when(_at_most(i), F.lit(i)).otherwise(fold)
+    return rows.withColumn(into, fold.cast("int")).select(*df.columns, into)
 
 
 def undersample(
-    df: DataFrame, key: str, label: str, seed: int = SEED, portable: bool = False, **options
+    df: DataFrame, key: str, label: str, seed: int = SEED, portable: bool = False
 ) -> DataFrame:
     """All rows of the smallest class and equally many of every other class."""
     present = df.where(as_column(label).isNotNull())
     smallest = present.groupBy(label).count().agg(F.min("count")).first()[0]
     if smallest is None:
         return present
-    numbered = _numbered(df, key, seed, portable)
-    cuts = _cuts(numbered, label, lambda n: [F.lit(smallest)], **options)
-    return numbered.where(_at_most(label, cuts, 0)).drop(NUMBER)
+    numbered = _numbered(present, key, seed, portable)
+    rows = _with_cuts(numbered, label, lambda n: [F.lit(smallest)], 1)
+    return rows.where(_at_most(0)).select(*df.columns)

@@ -61,7 +61,6 @@ class ApplicationStats:
     """What the application features learn from a table."""
 
     income_by_organization: DataFrame
-    organizations: int
     score_std: Stats
 
 
@@ -83,7 +82,6 @@ def fit_application(train: DataFrame) -> ApplicationStats:
     stored = materialize(medians.withColumnRenamed("median", "NEW_INC_BY_ORG"), "organizations")
     return ApplicationStats(
         stored,
-        stored.count(),
         fit_mean(_with_score_std(train), ["NEW_SCORES_STD"]),
     )
 
@@ -110,9 +108,7 @@ def application_features(df: DataFrame, stats: ApplicationStats) -> DataFrame:
     df = df.withColumns(same_row)
     df = with_row_stats(df, documents, kurtosis="NEW_DOC_IND_KURT")
     df = apply_fill(_with_score_std(df), stats.score_std)
-    df = lookup(
-        df, stats.income_by_organization, "ORGANIZATION_TYPE", size=stats.organizations
-    )
+    df = lookup(df, stats.income_by_organization, "ORGANIZATION_TYPE", stored=True)
     return keep_different(df, "CODE_GENDER", "XNA")
 
 

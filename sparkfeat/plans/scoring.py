@@ -31,6 +31,7 @@ class Options:
     approval_rate: bool = False
     narrow_integers: bool = False
     unwanted: Sequence[str] = ()
+    search_trees: int = trees.SEARCH_TREES
     trees: int = trees.FINAL_TREES
     test_share: float = 0.2
     parameters: dict = field(default_factory=dict)
@@ -135,14 +136,17 @@ def tune_class_weight(
     names, label = split_label(matrix, LABEL, history.CLIENT)
     marked = stratified_split(matrix, history.CLIENT, label, options.test_share, into="is_test")
     folds = k_fold(marked.where("NOT is_test").drop("is_test"), history.CLIENT, label)
-    reports = []
-    for weight in weights:
+    reports, size = [], min(options.trees, options.search_trees)
+    for point, weight in enumerate(weights):
         weighted = folds.withColumn("weight", trees.class_weight(label, weight))
         pipeline = trees.boosted_trees(
-            names, label, trees=options.trees, weight="weight", **options.parameters
+            names, label, trees=size, weight="weight", **options.parameters
         )
         found = trees.search(weighted, pipeline, [{}], label=label)
-        reports.append(trees.search_report(found, weighted, label=label))
+        fixed = {"classWeight": weight}
+        reports.append(
+            trees.search_report(found, weighted, label=label, fixed=fixed, first=point)
+        )
     out = reports[0]
     for r in reports[1:]:
         out = out.unionByName(r)

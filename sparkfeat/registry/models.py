@@ -18,8 +18,8 @@ SMALL = {"maxDepth": 3, "minInstancesPerNode": 5}
 TREES = 5
 
 
-def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """One numeric row per labelled document, without missing values."""
+def document_features(spark: SparkSession, sf: str) -> DataFrame:
+    """One numeric row per document."""
     documents = load_table(spark, sf, "documents").select(
         "doc_id",
         "n_chars",
@@ -29,16 +29,29 @@ def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
         "source",
     )
     encoded, _ = one_hot(documents, levels(documents, ["lang", "source"]), null_level=False)
+    return encoded
+
+
+def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """One numeric row per labelled document, without missing values."""
+    encoded = document_features(spark, sf)
     joined = load_table(spark, sf, "labels").join(encoded, "doc_id", "left")
     return plain_names(fill_final(joined))
 
 
+def every_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The same columns but the label for every document, labelled or not."""
+    labels = load_table(spark, sf, "labels").drop("quality")
+    joined = document_features(spark, sf).join(labels, "doc_id", "left")
+    return plain_names(fill_final(joined))
+
+
 def _trained(spark, sf, **options):
     table = materialize(labelled_documents(spark, sf), "documents")
     names, label = split_label(table, "quality", "doc_id")
     marked = stratified_split(table, "doc_id", label, 0.2, into="is_validation")
     pipeline = M.boosted_trees(
-        names, label, trees=TREES, validation="is_validation", **SMALL, **options
+        names, label, validation="is_validation", **SMALL, **options
     )
     return table, M.train(marked, pipeline)
 
@@ -60,8 +73,9 @@ def _(spark, sf):
 
 @register("gbt_scores")
 def _(spark, sf):
-    table, fitted = _trained(spark, sf)
-    return M.score(fitted, table, "doc_id", "score")
+    """Scores of all documents, learned from the labelled ones."""
+    _, fitted = _trained(spark, sf)
+    return M.score(fitted, every_document(spark, sf), "doc_id", "score")
 
 
 @register("importances")
@@ -89,12 +103,16 @@ def _folds(spark, sf, weight=None):
 
 @register("cv_report")
 def _(spark, sf):
-    """Class weight by grid search: one point, three folds."""
-    table, names, label = _folds(spark, sf, M.CLASS_WEIGHT)
-    pipeline = M.boosted_trees(names, label, trees=TREES, weight="weight", **SMALL)
-    points = M.parameter_grid(pipeline, {"stepSize": [0.1]})
-    found = M.search(table, pipeline, points, label=label)
-    return M.last_k(M.search_report(found, table, label=label), "mean_test", "point")
+    """Class weights by search: one row a weight, three folds."""
+    table, names, label = _folds(spark, sf)
+    reports = []
+    for point, weight in enumerate((1.0, M.CLASS_WEIGHT)):
+        weighted = table.withColumn("weight", M.class_weight(label, weight))
+        pipeline = M.boosted_trees(names, label, trees=TREES, weight="weight", **SMALL)
+        found = M.search(weighted, pipeline, [{}], label=label)
+        fixed = {"classWeight": weight}
+        reports.append(M.search_report(found, weighted, label=label, fixed=fixed, first=point))
+    return M.last_k(reports[0].unionByName(reports[1]), "mean_test", "point")
 
 
 @register("random_search")
@@ -127,6 +145,26 @@ def _(spark, sf):
     return M.blend([first, second], "c_custkey", "score")
 
 
+@register(
+    "blend_unequal",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey / 25.0::DOUBLE
+                              WHEN c_custkey % 5 = 0 THEN (c_acctbal + 1000) / 16000
+                              ELSE ((c_acctbal + 1000) / 16000 + c_nationkey / 25.0::DOUBLE) / 2.0::DOUBLE
+                         END AS score
+       FROM customer""",
+)
+def _(spark, sf):
+    """Tables that lack some customers each: every customer keeps a score."""
+    customers = load_table(spark, sf, "customer")
+    first = customers.where("c_custkey % 3 <> 0").select(
+        "c_custkey", ((F.col("c_acctbal") + 1000) / 16000).alias("score")
+    )
+    second = customers.where("c_custkey % 3 = 0 OR c_custkey % 5 <> 0").select(
+        "c_custkey", (F.col("c_nationkey") / F.lit(25.0)).alias("score")
+    )
+    return M.blend([first, second], "c_custkey", "score")
+
+
 @register(
     "blend_three",
     """SELECT o_orderkey, (o_totalprice / 500000 + o_custkey / 32768.0::DOUBLE + o_orderkey / 65536.0::DOUBLE)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sparkfeat.operators import split
 from sparkfeat.operators.model import last_k, top_k
+from sparkfeat.operators.ranking import values_at_ranks
 from sparkfeat.registry.base import register
 from sparkfeat.sources.tables import load_table
 
@@ -54,9 +57,11 @@ def _(spark, sf):
         FROM ({_RANKED_ORDERS})""",
 )
 def _(spark, sf):
-    """The same split by the search for large classes, which never sorts a class."""
+    """The same split of the rows in another order: only ids and classes matter."""
     orders = load_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return split.stratified_split(orders, "o_orderkey", "o_orderstatus", 0.2, portable=True, small_group=100)
+    return split.stratified_split(
+        orders.repartition("o_orderkey"), "o_orderkey", "o_orderstatus", 0.2, portable=True
+    )
 
 
 @register(
@@ -94,3 +99,25 @@ def _(spark, sf):
 def _(spark, sf):
     labels = load_table(spark, sf, "labels").select("doc_id", "quality")
     return split.undersample(labels, "doc_id", "quality", portable=True)
+
+
+@register(
+    "group_median_wide",
+    """SELECT o_orderpriority, value FROM (
+           SELECT o_orderpriority, value,
+                  row_number() OVER (PARTITION BY o_orderpriority ORDER BY value) AS r,
+                  count(*) OVER (PARTITION BY o_orderpriority) AS n
+           FROM (SELECT o_orderpriority, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey
+                        ELSE 1152921504606846976 + o_orderkey * o_orderkey END AS value FROM orders))
+       WHERE r = (n + 1) // 2""",
+)
+def _(spark, sf):
+    """Middle values of groups that reach from 1 to above 2**60, exact as whole numbers."""
+    orders = load_table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    value = F.when(key % 2 == 0, key).otherwise(F.lit(2**60) + key * key)
+    rows = orders.select("o_orderpriority", value.alias("wide"))
+    found = values_at_ranks(
+        rows, ["o_orderpriority"], "wide", lambda n: [F.floor((n + 1) / 2)]
+    )
+    return found.select("o_orderpriority", "value")

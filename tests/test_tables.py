@@ -169,12 +169,17 @@ def test_group_rate_with_hot_and_missing_keys(spark):
     assert cold.where("hit = 0 AND h IS NULL AND r IS NULL").count() == cold.where("hit = 0").count()
 
 
-def test_lookup_beyond_the_broadcast_bound(spark, monkeypatch):
+def test_lookup_beyond_the_broadcast_bound(spark):
     df = spark.range(100).select((F.col("id") % 10).alias("k"))
     table = spark.range(8).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     small = sorted(map(str, joins.lookup(df, table, "k").collect()))
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
-    assert sorted(map(str, joins.lookup(df, table, "k").collect())) == small
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "1")
+        assert sorted(map(str, joins.lookup(df, table, "k").collect())) == small
+    finally:
+        spark.conf.set(setting, before)
 
 
 def test_assembly_keeps_rows_and_refuses_overlaps(spark):
