@@ -21,7 +21,11 @@ def arguments(argv=None) -> argparse.Namespace:
     parser.add_argument("--variant", choices=sorted(scoring.VARIANTS), default="plain")
     parser.add_argument("--trees", type=int, help="largest number of trees")
     parser.add_argument("--drop-list", help="text file with one unwanted column per line")
-    parser.add_argument("--tune", action="store_true", help="also report class weight 12 by cross-validation")
+    parser.add_argument("--max-levels", type=int, help="most levels of a category that become columns")
+    parser.add_argument(
+        "--tune", nargs="?", const="weights", choices=["weights", "random"],
+        help="also report class weight 12, or points drawn at random, by cross-validation",
+    )
     return parser.parse_args(argv)
 
 
@@ -31,6 +35,8 @@ def main(argv=None) -> None:
     options = scoring.VARIANTS[args.variant]
     if args.trees:
         options = replace(options, trees=args.trees)
+    if args.max_levels:
+        options = replace(options, max_levels=args.max_levels)
     if args.drop_list:
         names = [r.value for r in spark.read.text(args.drop_list).collect()]
         options = replace(options, unwanted=names)

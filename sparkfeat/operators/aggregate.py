@@ -151,16 +151,23 @@ def _many_and_few(levels: Levels) -> tuple[dict, dict]:
     return many, few
 
 
-def _long_form_counts(rows: DataFrame, keys: Sequence[str], column: str, found) -> DataFrame:
-    """Rows per key and level, as one column ``__hits_COLUMN_position`` per level."""
+def _long_form_counts(rows: DataFrame, keys: Sequence[str], many: Levels) -> DataFrame:
+    """Rows per key and level of several columns, as one column ``__hits_COLUMN_position`` each.
+
+    One scan and one count over (key, column, level) serve all columns.
+    """
+    named = {f"{i}:{v}": f"__hits_{c}_{at}" for i, c in enumerate(many) for at, v in enumerate(many[c])}
+    marked = F.array(*[F.concat(F.lit(f"{i}:"), as_column(c)) for i, c in enumerate(many)])
+    group = [as_column(k) for k in keys]
     counts = (
-        rows.groupBy(*[as_column(k) for k in keys], as_column(column).alias("__level"))
+        rows.select(*group, F.explode(F.array_compact(marked)).alias("__level"))
+        .groupBy(*group, "__level")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .groupBy(*[as_column(k) for k in keys])
-        .pivot("__level", list(found))
+        .groupBy(*group)
+        .pivot("__level", list(named))
         .agg(F.sum("__n"))
     )
-    return counts.toDF(*keys, *[f"__hits_{column}_{i}" for i in range(len(found))])
+    return counts.toDF(*keys, *named.values())
 
 
 def aggregate(
@@ -192,7 +199,8 @@ def aggregate(
     outputs += level_rates(few_rates, prefix) + level_statistics(few_statistics, prefix)
     if count_as:
         outputs.append(F.count(F.lit(1)).alias(count_as))
-    many = {**many_rates, **many_statistics}
+    many = {c: list(dict.fromkeys([*many_rates.get(c, []), *many_statistics.get(c, [])]))
+            for c in [*many_rates, *many_statistics]}
     if many:
         outputs.append(F.count(F.lit(1)).alias("__rows"))
     present = df
@@ -200,11 +208,11 @@ def aggregate(
         present = present.where(as_column(k).isNotNull())
     out = present.groupBy(*[as_column(k) for k in keys]).agg(*outputs)
     if many:
-        for c, found in many.items():
-            out = out.join(_long_form_counts(present, keys, c, found), keys, "left")
+        out = out.join(_long_form_counts(present, keys, many), keys, "left")
+        place = {(c, v): i for c, found in many.items() for i, v in enumerate(found)}
 
         def hits(c, v):
-            return f"coalesce({quoted(f'__hits_{c}_{many[c].index(v)}')}, 0)"
+            return f"coalesce({quoted(f'__hits_{c}_{place[c, v]}')}, 0)"
 
         kept = [as_column(c) for c in out.columns if not c.startswith("__")]
         n = "__rows"
@@ -217,6 +225,25 @@ def aggregate(
     return out
 
 
+def rates_long(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Share of every level as rows (key, column, level, rate), for any number of levels.
+
+    Only levels that a key holds have a row; the missing level is a NULL. Rows without a key are
+    left out. Both counts combine before their shuffle, and the join meets counts only.
+    """
+    present = df.where(as_column(key).isNotNull())
+    pairs = F.inline(
+        F.array(*[F.struct(F.lit(c).alias("column"), as_column(c).alias("level")) for c in columns])
+    )
+    hits = present.select(as_column(key), pairs).groupBy(as_column(key), "column", "level")
+    sizes = present.groupBy(as_column(key)).agg(F.count(F.lit(1)).alias("__rows"))
+    return (
+        hits.agg(F.count(F.lit(1)).alias("__hits"))
+        .join(sizes, key)
+        .select(as_column(key), "column", "level", (F.col("__hits") / F.col("__rows")).alias("rate"))
+    )
+
+
 def aggregate_all(
     df: DataFrame,
     key: str,

@@ -18,7 +18,7 @@ from sparkfeat.functions import (
     with_row_stats,
 )
 from sparkfeat.operators.columns import names_containing
-from sparkfeat.operators.encode import align, levels
+from sparkfeat.operators.encode import MAX_LEVELS, align, levels
 from sparkfeat.operators.expand import bin_label, bin_labels, equal_width_bin, polynomial_terms
 from sparkfeat.operators.filters import clean_training_rows, keep_different
 from sparkfeat.operators.fitted import Stats, apply_fill, fit_mean, fit_median
@@ -131,12 +131,12 @@ def age_polynomials(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataF
     return train.withColumns(new), test.withColumns(new)
 
 
-def application_levels(df: DataFrame) -> dict[str, list[str]]:
+def application_levels(df: DataFrame, max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
     """Category levels of the table as read, before any row is dropped.
 
     The age bins count as levels whether or not they occur.
     """
-    found = levels(df)
+    found = levels(df, max_levels=max_levels)
     if "BIRTH_YEARS_BINNED" in df.columns:
         found["BIRTH_YEARS_BINNED"] = bin_labels(AGE_LOW, AGE_HIGH, AGE_BINS)
     return found

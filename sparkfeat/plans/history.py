@@ -17,6 +17,7 @@ from sparkfeat.operators.aggregate import (
     with_missing_level,
 )
 from sparkfeat.operators.columns import drop_strict, sentinels_to_null
+from sparkfeat.operators.encode import MAX_LEVELS
 from sparkfeat.operators.encode import levels as find_levels
 from sparkfeat.operators.fitted import sigma_clip
 
@@ -81,8 +82,9 @@ INSTALMENT_SPEC = {
 }
 
 
-def _levels(df: DataFrame, known: KnownLevels) -> dict:
-    return with_missing_level(find_levels(df) if known is None else known)
+def _levels(df: DataFrame, known: KnownLevels, most: int) -> dict:
+    found = find_levels(df, max_levels=most) if known is None else known
+    return with_missing_level(found)
 
 
 def bureau_features(
@@ -93,12 +95,13 @@ def bureau_features(
     bureau_levels: KnownLevels = None,
     balance_levels: KnownLevels = None,
     subsets: Mapping[str, str] = BUREAU_SUBSETS,
+    max_levels: int = MAX_LEVELS,
 ) -> DataFrame:
     """External credits per client: months roll up to credits, credits to clients.
 
     All credits and the active and closed ones are aggregated in one pass, on the raw status.
     """
-    status = _levels(balance, balance_levels)
+    status = _levels(balance, balance_levels, max_levels)
     credits, added = two_level(
         balance, sigma_clip(bureau, trigger=trigger), CREDIT, BALANCE_SPEC, status
     )
@@ -108,7 +111,7 @@ def bureau_features(
         CLIENT,
         BUREAU_SPEC,
         prefix="BURO",
-        rates=_levels(bureau, bureau_levels),
+        rates=_levels(bureau, bureau_levels, max_levels),
         subsets=[
             Subset(p, f"CREDIT_ACTIVE = {text_literal(v)}") for p, v in subsets.items()
         ],
@@ -124,6 +127,7 @@ def previous_features(
     approval_rate: bool = False,
     known_levels: KnownLevels = None,
     subsets: Mapping[str, str] = PREVIOUS_SUBSETS,
+    max_levels: int = MAX_LEVELS,
 ) -> DataFrame:
     """Earlier applications per client: all, approved and refused ones in one pass.
 
@@ -131,7 +135,7 @@ def previous_features(
     deviation; ``clip_first`` does it the other way round. ``approval_rate`` adds the client's
     number of applications, of approved ones, and their ratio.
     """
-    found = _levels(previous, known_levels)
+    found = _levels(previous, known_levels, max_levels)
     if clip_first:
         previous = sigma_clip(previous, trigger=trigger)
     days = [c for c in PREVIOUS_SENTINEL_DAYS if c in previous.columns]
@@ -167,14 +171,23 @@ def previous_features(
     ).drop("PREV_is_approved_SUM")
 
 
-def pos_features(pos: DataFrame, *, known_levels: KnownLevels = None) -> DataFrame:
+def pos_features(
+    pos: DataFrame, *, known_levels: KnownLevels = None, max_levels: int = MAX_LEVELS
+) -> DataFrame:
     """Months of point-of-sale and cash loans per client."""
     return aggregate(
-        pos, CLIENT, POS_SPEC, prefix="POS", rates=_levels(pos, known_levels), count_as="POS_COUNT"
+        pos,
+        CLIENT,
+        POS_SPEC,
+        prefix="POS",
+        rates=_levels(pos, known_levels, max_levels),
+        count_as="POS_COUNT",
     )
 
 
-def instalment_features(payments: DataFrame, *, known_levels: KnownLevels = None) -> DataFrame:
+def instalment_features(
+    payments: DataFrame, *, known_levels: KnownLevels = None, max_levels: int = MAX_LEVELS
+) -> DataFrame:
     """Instalment payments per client: share and difference paid, days late and early."""
     late = F.col("DAYS_ENTRY_PAYMENT") - F.col("DAYS_INSTALMENT")
     derived = payments.withColumns(
@@ -190,14 +203,16 @@ def instalment_features(payments: DataFrame, *, known_levels: KnownLevels = None
         CLIENT,
         INSTALMENT_SPEC,
         prefix="INSTAL",
-        rates=_levels(payments, known_levels),
+        rates=_levels(payments, known_levels, max_levels),
         count_as="INSTAL_COUNT",
     )
 
 
-def card_features(cards: DataFrame, *, known_levels: KnownLevels = None) -> DataFrame:
+def card_features(
+    cards: DataFrame, *, known_levels: KnownLevels = None, max_levels: int = MAX_LEVELS
+) -> DataFrame:
     """Card months per client: five aggregates of every column and of every category level."""
-    found = _levels(cards, known_levels)
+    found = _levels(cards, known_levels, max_levels)
     return aggregate_all(
         drop_strict(cards, LOAN), CLIENT, prefix="CC", levels=found, count_as="CC_COUNT"
     )

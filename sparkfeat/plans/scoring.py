@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,19 @@ from pyspark.sql import functions as F
 
 from sparkfeat.operators import model as trees
 from sparkfeat.operators.columns import drop_lenient, fill_final, plain_names, split_label
+from sparkfeat.operators.encode import MAX_LEVELS
 from sparkfeat.operators.joins import assemble
 from sparkfeat.operators.profile import narrow
-from sparkfeat.operators.split import k_fold, stratified_split
+from sparkfeat.operators.split import SEED, k_fold, stratified_split
 from sparkfeat.plans import application, history
-from sparkfeat.sources.store import materialize
+from sparkfeat.sources.store import intermediate_tables, materialize
 from sparkfeat.sources.tables import load_loan_table, read_csv, write_features, write_scores
 
 LABEL = "TARGET"
+HISTORY_TABLES = [
+    "bureau", "bureau_balance", "previous_application", "pos_cash_balance",
+    "installments_payments", "credit_card_balance",
+]
 IN_TRAIN = "in_train"
 
 
@@ -31,6 +37,7 @@ class Options:
     approval_rate: bool = False
     narrow_integers: bool = False
     unwanted: Sequence[str] = ()
+    max_levels: int = MAX_LEVELS
     search_trees: int = trees.SEARCH_TREES
     trees: int = trees.FINAL_TREES
     test_share: float = 0.2
@@ -52,15 +59,25 @@ def history_features(spark: SparkSession, directory: str, options: Options) -> l
     def table(name):
         return load_loan_table(spark, directory, name)
 
-    trigger = options.clip_trigger
+    return client_features({name: table(name) for name in HISTORY_TABLES}, options)
+
+
+def client_features(tables: Mapping[str, DataFrame], options: Options) -> list[DataFrame]:
+    """The same from tables that are loaded already."""
+    trigger, most = options.clip_trigger, options.max_levels
     return [
-        history.bureau_features(table("bureau"), table("bureau_balance"), trigger=trigger),
+        history.bureau_features(
+            tables["bureau"], tables["bureau_balance"], trigger=trigger, max_levels=most
+        ),
         history.previous_features(
-            table("previous_application"), trigger=trigger, approval_rate=options.approval_rate
+            tables["previous_application"],
+            trigger=trigger,
+            approval_rate=options.approval_rate,
+            max_levels=most,
         ),
-        history.pos_features(table("pos_cash_balance")),
-        history.instalment_features(table("installments_payments")),
-        history.card_features(table("credit_card_balance")),
+        history.pos_features(tables["pos_cash_balance"], max_levels=most),
+        history.instalment_features(tables["installments_payments"], max_levels=most),
+        history.card_features(tables["credit_card_balance"], max_levels=most),
     ]
 
 
@@ -70,8 +87,8 @@ def application_matrices(
     """Cleaned and encoded application tables with the same columns; train keeps the label."""
     if options.age_polynomials:
         train, test = application.age_polynomials(train, test)
-    train_levels = application.application_levels(train)
-    test_levels = application.application_levels(test)
+    train_levels = application.application_levels(train, options.max_levels)
+    test_levels = application.application_levels(test, options.max_levels)
     train = application.clean_applications(train)
     stats = application.fit_application(train)
     return application.encode_applications(
@@ -98,7 +115,7 @@ def model_matrices(
         wide = drop_lenient(wide, options.unwanted)
     stored = materialize(plain_names(fill_final(wide)), "matrix", partition_by=IN_TRAIN)
     if options.narrow_integers:
-        stored = narrow(stored)
+        stored = materialize(narrow(stored), "narrow-matrix", partition_by=IN_TRAIN)
     return (
         stored.where(F.col(IN_TRAIN) == 1).drop(IN_TRAIN),
         stored.where(F.col(IN_TRAIN) == 0).drop(IN_TRAIN, LABEL),
@@ -129,28 +146,61 @@ def train_model(matrix: DataFrame, options: Options = Options()):
     return trees.train(marked, pipeline)
 
 
+def _search_folds(matrix: DataFrame, options: Options) -> DataFrame:
+    """Stored rows with their fold; in every fold the marked share decides when to stop.
+
+    Folds come from another seed than the marks, so that every fold holds marked rows.
+    """
+    names, label = split_label(matrix, LABEL, history.CLIENT)
+    marked = stratified_split(
+        matrix, history.CLIENT, label, options.test_share, into="is_validation"
+    )
+    return materialize(k_fold(marked, history.CLIENT, label, seed=SEED + 1), "folds")
+
+
 def tune_class_weight(
     matrix: DataFrame, options: Options = Options(), weights: Sequence[float] = (trees.CLASS_WEIGHT,)
 ) -> DataFrame:
-    """Cross-validated AUC of class weights on the training part of a stored matrix."""
+    """Cross-validated AUC of class weights on a stored matrix, one row a weight.
+
+    A stratified share of the rows decides in each training when to stop, as in the final one.
+    """
     names, label = split_label(matrix, LABEL, history.CLIENT)
-    marked = stratified_split(matrix, history.CLIENT, label, options.test_share, into="is_test")
-    folds = k_fold(marked.where("NOT is_test").drop("is_test"), history.CLIENT, label)
-    reports, size = [], min(options.trees, options.search_trees)
+    folds = _search_folds(matrix, options)
+    reports = []
     for point, weight in enumerate(weights):
         weighted = folds.withColumn("weight", trees.class_weight(label, weight))
         pipeline = trees.boosted_trees(
-            names, label, trees=size, weight="weight", **options.parameters
+            names,
+            label,
+            trees=options.search_trees,
+            validation="is_validation",
+            weight="weight",
+            **options.parameters,
         )
         found = trees.search(weighted, pipeline, [{}], label=label)
         fixed = {"classWeight": weight}
         reports.append(
             trees.search_report(found, weighted, label=label, fixed=fixed, first=point)
         )
-    out = reports[0]
-    for r in reports[1:]:
-        out = out.unionByName(r)
-    return trees.last_k(out, "mean_test", "parameters")
+    return trees.last_k(reduce(DataFrame.unionByName, reports), "mean_test", "parameters")
+
+
+def tune_at_random(
+    matrix: DataFrame,
+    options: Options = Options(),
+    space: Mapping[str, object] = trees.SEARCH_SPACE,
+    points: int = trees.SEARCH_POINTS,
+) -> DataFrame:
+    """Cross-validated AUC of parameter points drawn from a space, one row a point."""
+    names, label = split_label(matrix, LABEL, history.CLIENT)
+    folds = _search_folds(matrix, options)
+    pipeline = trees.boosted_trees(
+        names, label, trees=options.search_trees, validation="is_validation", **options.parameters
+    )
+    drawn = trees.random_points(pipeline, space, points)
+    found = trees.search(folds, pipeline, drawn, label=label)
+    return trees.last_k(trees.search_report(found, folds, label=label), "mean_test", "parameters")
 
 
 @dataclass(frozen=True)
@@ -168,14 +218,20 @@ def score_clients(
     output: str,
     options: Options = Options(),
     *,
-    tune: bool = False,
+    tune: str | None = None,
 ) -> ScoringRun:
-    """Read the eight tables, train, and write one score per client of the test table."""
-    train, test = build_matrices(spark, directory, options)
-    report = tune_class_weight(train, options) if tune else None
-    fitted = train_model(train, options)
-    write_features(train, f"{output}/train_features")
-    write_scores(trees.score(fitted, test, history.CLIENT, LABEL), f"{output}/scores")
-    trees.importances(spark, fitted).write.parquet(f"{output}/importances")
+    """Read the eight tables, train, and write one score per client of the test table.
+
+    ``tune`` adds a report on class weights (``weights``) or on points drawn at random
+    (``random``). Intermediate tables of the run are removed at its end.
+    """
+    with intermediate_tables(spark):
+        train, test = build_matrices(spark, directory, options)
+        searches = {"weights": tune_class_weight, "random": tune_at_random}
+        report = searches[tune](train, options) if tune else None
+        fitted = train_model(train, options)
+        write_features(train, f"{output}/train_features")
+        write_scores(trees.score(fitted, test, history.CLIENT, LABEL), f"{output}/scores")
+        trees.importances(spark, fitted).write.parquet(f"{output}/importances")
     stored = read_csv(spark, f"{output}/scores", {history.CLIENT: "bigint", LABEL: "double"})
     return ScoringRun(fitted, stored, report)

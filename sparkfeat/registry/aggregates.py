@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkfeat.operators import joins
-from sparkfeat.operators.aggregate import Subset, aggregate, aggregate_all, two_level
+from sparkfeat.operators.aggregate import Subset, aggregate, aggregate_all, rates_long, two_level
 from sparkfeat.operators.encode import levels
 from sparkfeat.operators.ranking import median
 from sparkfeat.registry.base import (
@@ -152,6 +152,57 @@ def _(spark, sf):
     return aggregate(lines, "l_suppkey", {}, prefix="L", rates=found, count_as="n_lines")
 
 
+_MANY_LEVELS = {"size": [f"q{i}" for i in range(1, 51) if i != 13], "day": [f"d{i}" for i in range(60)]}
+_SIZE_AND_DAY = f"""
+SELECT l_suppkey, 'q' || CAST(CAST(quantity AS INTEGER) AS VARCHAR) AS size,
+       CASE WHEN l_orderkey % 11 <> 0 THEN 'd' || CAST(l_orderkey % 60 AS VARCHAR) END AS day
+FROM ({LINES_WITH_GAPS})"""
+
+
+@register(
+    "indicator_rates_two_wide",
+    "SELECT l_suppkey, "
+    + ", ".join(
+        f"avg(CASE WHEN {c} {f"= '{v}'" if v else 'IS NULL'} THEN 1 ELSE 0 END) AS L_{c}_{v or 'nan'}_MEAN"
+        for c, known in _MANY_LEVELS.items()
+        for v in [*known, None]
+    )
+    + f" FROM ({_SIZE_AND_DAY}) GROUP BY l_suppkey",
+)
+def _(spark, sf):
+    """Two columns with many levels share one count in long form."""
+    lines = lines_with_gaps(load_table(spark, sf, "lineitem")).select(
+        "l_suppkey",
+        F.concat(F.lit("q"), F.col("quantity").cast("int").cast("string")).alias("size"),
+        F.when(
+            F.col("l_orderkey") % 11 != 0,
+            F.concat(F.lit("d"), (F.col("l_orderkey") % 60).cast("string")),
+        ).alias("day"),
+    )
+    found = {c: [*known, None] for c, known in _MANY_LEVELS.items()}
+    return aggregate(lines, "l_suppkey", {}, prefix="L", rates=found)
+
+
+@register(
+    "indicator_rates_long",
+    """WITH lines AS (SELECT l_suppkey, CASE WHEN l_partkey % 10 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS part,
+                             l_returnflag AS flag FROM lineitem),
+            named AS (SELECT l_suppkey, 'part' AS "column", part AS level FROM lines
+                      UNION ALL SELECT l_suppkey, 'flag', flag FROM lines)
+       SELECT l_suppkey, "column", level, count(*) / n AS rate
+       FROM named JOIN (SELECT l_suppkey, count(*) AS n FROM lines GROUP BY 1) USING (l_suppkey)
+       GROUP BY l_suppkey, "column", level, n""",
+)
+def _(spark, sf):
+    """Thousands of levels, as rows."""
+    lines = load_table(spark, sf, "lineitem").select(
+        "l_suppkey",
+        F.when(F.col("l_partkey") % 10 != 0, F.col("l_partkey").cast("string")).alias("part"),
+        F.col("l_returnflag").alias("flag"),
+    )
+    return rates_long(lines, "l_suppkey", ["part", "flag"])
+
+
 _ROLLED = """
 SELECT l_orderkey AS o_orderkey, min(l_linenumber) AS l_linenumber_MIN,
        max(l_linenumber) AS l_linenumber_MAX, CAST(count(*) AS BIGINT) AS l_linenumber_SIZE,

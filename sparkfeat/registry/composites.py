@@ -6,12 +6,14 @@ instalments, events for card and point-of-sale months, customers for application
 
 from __future__ import annotations
 
+import re
 from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfeat.operators import model as M
+from sparkfeat.operators.expand import bin_labels
 from sparkfeat.operators.split import hash_split
 from sparkfeat.plans import application, history, scoring
 from sparkfeat.registry.base import inside, number_class, register, sql_class, sql_finite, sql_ratio
@@ -137,12 +139,12 @@ def role_sql(mapping) -> str:
     return f"SELECT {named} FROM {table}"
 
 
-def clipped_sql(source: str, columns: list[str], rest: list[str]) -> str:
-    """Three-sigma clip of the listed columns."""
+def clipped_sql(source: str, columns: list[str], rest: list[str], trigger: float = 3) -> str:
+    """Clip of the listed columns to three deviations, beyond a number of them."""
     stats = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in columns)
     clips = ", ".join(
-        f"CASE WHEN {c} - m_{c} > 3 * s_{c} THEN m_{c} + 3 * s_{c} "
-        f"WHEN m_{c} - {c} > 3 * s_{c} THEN m_{c} - 3 * s_{c} ELSE {c} END AS {c}"
+        f"CASE WHEN {c} - m_{c} > {trigger} * s_{c} THEN m_{c} + 3 * s_{c} "
+        f"WHEN m_{c} - {c} > {trigger} * s_{c} THEN m_{c} - 3 * s_{c} ELSE {c} END AS {c}"
         for c in columns
     )
     return f"SELECT {', '.join(rest)}, {clips} FROM ({source}), (SELECT {stats} FROM ({source}))"
@@ -227,7 +229,7 @@ _EVENTS = ["click", "error", "purchase", "signup", "view"]
 _BUREAU_SCALES = {"DAYS_CREDIT_VAR": 997.0, "AMT_CREDIT_MAX_OVERDUE_MEAN": 3}
 
 
-def _bureau_sql():
+def _bureau_sql(trigger: float = 3):
     clip = [c for c in BUREAU[2] if c.startswith("AMT_") and c != "AMT_CREDIT_SUM_OVERDUE"]
     rest = [c for c in BUREAU[2] if c not in clip]
     status = {"STATUS": ["F", "O"]}
@@ -241,7 +243,7 @@ def _bureau_sql():
     outputs += [
         f'round(avg("STATUS_{v}_MEAN"), 8) AS "BURO_STATUS_{v}_MEAN_MEAN"' for v in ("F", "O", "nan")
     ]
-    return f"""WITH credit AS ({clipped_sql(role_sql(BUREAU), clip, rest)}),
+    return f"""WITH credit AS ({clipped_sql(role_sql(BUREAU), clip, rest, trigger)}),
         rolled AS (SELECT SK_ID_BUREAU, {", ".join(rolled)} FROM ({role_sql(BALANCE)}) GROUP BY 1)
         SELECT SK_ID_CURR, {", ".join(outputs)}
         FROM credit LEFT JOIN rolled USING (SK_ID_BUREAU)
@@ -251,8 +253,7 @@ def _bureau_sql():
 @register("bureau_like", _bureau_sql())
 def _(spark, sf):
     out = history.bureau_features(role(spark, sf, BUREAU), role(spark, sf, BALANCE))
-    scales = {**_BUREAU_SCALES, **{f"STATUS_{v}_MEAN_MEAN": 8 for v in ("F", "O", "nan")}}
-    return comparable(out, ["BURO", *history.BUREAU_SUBSETS], scales)
+    return comparable(out, *_COMPARED["bureau"])
 
 
 _PREVIOUS_SCALES = {"APP_CREDIT_PERC_MEAN": 0.0097, "APP_CREDIT_PERC_VAR": 0.0097}
@@ -279,7 +280,7 @@ def _previous_sql():
 @register("previous_like", _previous_sql())
 def _(spark, sf):
     out = history.previous_features(role(spark, sf, PREVIOUS), approval_rate=True)
-    return comparable(out, ["PREV", *history.PREVIOUS_SUBSETS], _PREVIOUS_SCALES)
+    return comparable(out, *_COMPARED["previous"])
 
 
 def _pos_sql():
@@ -314,7 +315,7 @@ def _payment_sql():
 @register("installment_like", _payment_sql())
 def _(spark, sf):
     out = history.instalment_features(role(spark, sf, PAYMENTS))
-    return comparable(out, ["INSTAL"], _PAYMENT_SCALES)
+    return comparable(out, *_COMPARED["payments"])
 
 
 def _card_sql():
@@ -336,15 +337,31 @@ def _card_sql():
 @register("card_like", _card_sql())
 def _(spark, sf):
     out = history.card_features(role(spark, sf, CARDS))
-    scales = {"MONTHS_BALANCE_VAR": 7.0, "AMT_BALANCE_VAR": 999983.0}
-    scales |= {f"NAME_CONTRACT_STATUS_{v}_VAR": 0.7 for v in [*_EVENTS, "nan"]}
-    return comparable(out, ["CC"], scales)
+    return comparable(out, *_COMPARED["cards"])
+
+
+# Prefixes and scales under which the results of each history table are compared.
+_COMPARED = {
+    "bureau": (
+        ["BURO", *history.BUREAU_SUBSETS],
+        {**_BUREAU_SCALES, **{f"STATUS_{v}_MEAN_MEAN": 8 for v in ("F", "O", "nan")}},
+    ),
+    "previous": (["PREV", *history.PREVIOUS_SUBSETS], _PREVIOUS_SCALES),
+    "payments": (["INSTAL"], _PAYMENT_SCALES),
+    "cards": (
+        ["CC"],
+        {"MONTHS_BALANCE_VAR": 7.0, "AMT_BALANCE_VAR": 999983.0,
+         **{f"NAME_CONTRACT_STATUS_{v}_VAR": 0.7 for v in [*_EVENTS, "nan"]}},
+    ),
+}
 
 
 _RATIO_NAMES = [*application.RATIOS, *application.ONE_PLUS_RATIOS]
 
 
-def _application_sql():
+def _application_sql(source: str | None = None, fitted: str = "true", kept: str = "SK_ID_CURR"):
+    """Features of the rows of a source; statistics come from the rows that are ``fitted``."""
+    source = source or role_sql(APPLICATION)
     scores, documents = application.SCORES, [c for c in APPLICATION[2] if "FLAG_DOC" in c]
     outputs = []
     for name, (a, b) in application.RATIOS.items():
@@ -374,13 +391,15 @@ def _application_sql():
     doc_mean = f"(({' + '.join(documents)}) / 5e0)"
     m2, m4 = (" + ".join(f"power({c} - {doc_mean}, {p})" for c in documents) for p in (2, 4))
     return f"""
-    WITH app AS (SELECT * REPLACE (nullif(DAYS_EMPLOYED, 365243) AS DAYS_EMPLOYED) FROM ({role_sql(APPLICATION)})),
+    WITH app AS (SELECT * REPLACE (nullif(DAYS_EMPLOYED, 365243) AS DAYS_EMPLOYED) FROM ({source})),
     counted AS (SELECT *, {n} AS n, {total} AS total, {m2} AS m2, {m4} AS m4 FROM app),
     averaged AS (SELECT *, CASE WHEN n > 0 THEN total / n END AS score_mean FROM counted),
     spread AS (SELECT *, CASE WHEN n >= 2 THEN sqrt(({squares}) / (n - 1)) END AS score_std FROM averaged),
-    wide AS (SELECT *, avg(score_std) OVER () AS avg_std,
-                    median(AMT_INCOME_TOTAL) OVER (PARTITION BY ORGANIZATION_TYPE) AS income FROM spread)
-    SELECT SK_ID_CURR, {", ".join(outputs)} FROM wide WHERE CODE_GENDER IS DISTINCT FROM 'XNA'"""
+    organizations AS (SELECT ORGANIZATION_TYPE, median(AMT_INCOME_TOTAL) AS income
+                      FROM spread WHERE {fitted} GROUP BY 1),
+    wide AS (SELECT * FROM spread LEFT JOIN organizations USING (ORGANIZATION_TYPE),
+                           (SELECT avg(score_std) AS avg_std FROM spread WHERE {fitted}))
+    SELECT {kept}, {", ".join(outputs)} FROM wide WHERE CODE_GENDER IS DISTINCT FROM 'XNA'"""
 
 
 @register("application_like", _application_sql())
@@ -475,15 +494,123 @@ def _(spark, sf):
     )
 
 
-@register("score_like")
-def _(spark, sf):
-    """From role tables to one score per client of the table to be scored."""
-    train, test = _halves(spark, sf)
-    options = scoring.Options(trees=5, parameters={"maxDepth": 3, "minInstancesPerNode": 5})
-    features = [
-        history.pos_features(role(spark, sf, POS)),
-        history.previous_features(role(spark, sf, PREVIOUS)),
+_IS_CLEAN = "AMT_REQ_CREDIT_BUREAU_QRT IS DISTINCT FROM 261 AND OBS_30_CNT_SOCIAL_CIRCLE < 300"
+# The level XNA is left out: its rows are dropped, so its column is 0 where both sides had it.
+_CATEGORIES = {
+    "FLAG_OWN_CAR": ["N", "Y"],
+    "CODE_GENDER": ["F", "M"],
+    "ORGANIZATION_TYPE": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+}
+
+
+def _quoted_names(sql: str) -> list[str]:
+    """Names of the outputs of the last SELECT of clients, as far as they are quoted."""
+    return re.findall(r'AS "([^"]+)"', sql[sql.rindex("SELECT SK_ID_CURR") :])
+
+
+def _full_matrix_sql(options: scoring.Options) -> str:
+    """Every column of both matrices in SQL: applications, encoding and five histories."""
+    polynomial = options.age_polynomials
+    previous = _previous_sql()
+    gone = set() if options.approval_rate else {"TOTAL_PREV_COUNT", "APPROVED_COUNT", "APPROVAL_PERCENT"}
+    histories = [_bureau_sql(options.clip_trigger), previous, _pos_sql(), _payment_sql(), _card_sql()]
+    source, fitted = f"SELECT * FROM ({_MARKED})", f"is_train AND {_IS_CLEAN}"
+    age = _age_sql()
+    if polynomial:
+        source = f"SELECT * REPLACE (abs(DAYS_BIRTH) / 365 AS DAYS_BIRTH) FROM ({source})"
+    raw = [c for c in APPLICATION[2] if c not in ("SK_ID_CURR", "TARGET", *_CATEGORIES)]
+    kept = "SK_ID_CURR, is_train, TARGET, " + ", ".join([*raw, *_CATEGORIES])
+    features = _application_sql(source, fitted, kept)
+    names = [*raw, *_quoted_names(features)]
+    for sql in histories:
+        names += [n for n in _quoted_names(sql) if n not in gone]
+    dummies = [(c, v) for c, known in _CATEGORIES.items() for v in known]
+    terms = []
+    if polynomial:
+        terms = [n for n in _quoted_names(age) if n != "BIRTH_YEARS_BINNED"]
+        dummies += [("BIRTH_YEARS_BINNED", v) for v in bin_labels(20.0, 70.0, 10)]
+
+    def plain(name):
+        return re.sub(r"\W", "_", name)
+
+    outputs = [f'coalesce("{n}", 0) AS "{plain(n)}"' for n in [*names, *terms]]
+    outputs += [
+        f"""CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS "{plain(f'{c}_{v}')}\"""" for c, v in dummies
     ]
-    train, test = scoring.application_matrices(train, test, options)
-    train, test = scoring.model_matrices(train, test, features, options)
+    joins = "".join(f" LEFT JOIN ({sql}) USING (SK_ID_CURR)" for sql in histories)
+    if polynomial:
+        wanted = ", ".join(f'"{n}"' for n in ["BIRTH_YEARS_BINNED", *terms])
+        joins += f" LEFT JOIN (SELECT SK_ID_CURR, {wanted} FROM ({age})) USING (SK_ID_CURR)"
+    return f"""SELECT SK_ID_CURR, is_train, CASE WHEN is_train THEN "TARGET" END AS "TARGET",
+        {", ".join(outputs)} FROM ({features}) {joins} WHERE NOT is_train OR ({_IS_CLEAN})"""
+
+
+def _history_roles(spark, sf) -> dict[str, DataFrame]:
+    return {
+        "bureau": role(spark, sf, BUREAU),
+        "bureau_balance": role(spark, sf, BALANCE),
+        "previous_application": role(spark, sf, PREVIOUS),
+        "pos_cash_balance": role(spark, sf, POS),
+        "installments_payments": role(spark, sf, PAYMENTS),
+        "credit_card_balance": role(spark, sf, CARDS),
+    }
+
+
+def _full_matrices(spark, sf, options, compared: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both matrices from all tables; ``compared`` rounds what is no exact sum."""
+    train, test = scoring.application_matrices(*_halves(spark, sf), options)
+    features = scoring.client_features(_history_roles(spark, sf), options)
+    if compared:
+        bureau, previous, pos, payments, cards = features
+        features = [
+            comparable(bureau, *_COMPARED["bureau"]), comparable(previous, *_COMPARED["previous"]),
+            pos, comparable(payments, *_COMPARED["payments"]), comparable(cards, *_COMPARED["cards"]),
+        ]
+    return scoring.model_matrices(train, test, features, options)
+
+
+def _full_matrix(spark, sf, options) -> DataFrame:
+    left, right = _full_matrices(spark, sf, options, compared=True)
+    both = left.withColumn("is_train", F.lit(True)).unionByName(
+        right.withColumn("is_train", F.lit(False)), allowMissingColumns=True
+    )
+    return both.withColumns(
+        {c: F.round(c, 6) for c in ("NEW_SCORES_STD", "NEW_DOC_IND_KURT")}
+    ).drop("CODE_GENDER_XNA")
+
+
+@register("matrix_approval", _full_matrix_sql(scoring.VARIANTS["approval"]))
+def _(spark, sf):
+    """All columns of both matrices, from applications and five histories, with approval rates."""
+    return _full_matrix(spark, sf, scoring.VARIANTS["approval"])
+
+
+@register("matrix_polynomial", _full_matrix_sql(scoring.VARIANTS["polynomial"]))
+def _(spark, sf):
+    """The same without these rates, with age bins, polynomials and the wider clip trigger."""
+    return _full_matrix(spark, sf, scoring.VARIANTS["polynomial"])
+
+
+def _client_scores(spark, sf) -> DataFrame:
+    # The role of the label follows from a column: its loss falls for ever, below 1 % is the end.
+    small = {"maxDepth": 3, "minInstancesPerNode": 5, "validationTol": 0.01}
+    options = scoring.Options(parameters=small)
+    train, test = _full_matrices(spark, sf, options)
     return M.score(scoring.train_model(train, options), test, "SK_ID_CURR")
+
+
+@register("score_like")
+def _(spark, sf):
+    """From role tables, five histories among them, to one score per client to be scored."""
+    return _client_scores(spark, sf)
+
+
+@register(
+    "score_like_facts",
+    f"""SELECT SK_ID_CURR, true AS is_probability FROM ({_MARKED})
+        WHERE NOT is_train AND CODE_GENDER IS DISTINCT FROM 'XNA'""",
+)
+def _(spark, sf):
+    """What SQL can say about the scores: each client to be scored has one, a probability."""
+    scores = _client_scores(spark, sf)
+    return scores.select("SK_ID_CURR", F.col("TARGET").between(0, 1).alias("is_probability"))

@@ -8,19 +8,30 @@ from pyspark.sql import functions as F
 from sparkfeat.operators import model as M
 from sparkfeat.operators.columns import fill_final, plain_names, split_label
 from sparkfeat.operators.encode import levels, one_hot
-from sparkfeat.operators.split import k_fold, stratified_split
+from sparkfeat.operators.split import SEED, k_fold, stratified_split
 from sparkfeat.registry.base import register
 from sparkfeat.sources.store import materialize
 from sparkfeat.sources.tables import load_table
 
-# Small trees: the labelled documents are few.
+# Small trees: the labelled documents are few. Their number is bounded by validation alone.
 SMALL = {"maxDepth": 3, "minInstancesPerNode": 5}
-TREES = 5
-
-
-def document_features(spark: SparkSession, sf: str) -> DataFrame:
-    """One numeric row per document."""
-    documents = load_table(spark, sf, "documents").select(
+# Trees that are fitted to a planted rule end at an improvement below a tenth.
+PLANTED = {"maxDepth": 3, "minInstancesPerNode": 1, "stepSize": 0.5, "validationTol": 0.1,
+           "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+
+
+def document_features(
+    spark: SparkSession, sf: str, wanted: DataFrame | None = None
+) -> DataFrame:
+    """One numeric row per document, or per document that ``wanted`` holds.
+
+    The category levels are those of all documents.
+    """
+    table = load_table(spark, sf, "documents")
+    found = levels(table, ["lang", "source"])
+    if wanted is not None:
+        table = table.join(wanted.select("doc_id"), "doc_id", "left_semi")
+    documents = table.select(
         "doc_id",
         "n_chars",
         (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("n_blanks"),
@@ -28,14 +39,14 @@ def document_features(spark: SparkSession, sf: str) -> DataFrame:
         "lang",
         "source",
     )
-    encoded, _ = one_hot(documents, levels(documents, ["lang", "source"]), null_level=False)
+    encoded, _ = one_hot(documents, found, null_level=False)
     return encoded
 
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
     """One numeric row per labelled document, without missing values."""
-    encoded = document_features(spark, sf)
-    joined = load_table(spark, sf, "labels").join(encoded, "doc_id", "left")
+    labels = load_table(spark, sf, "labels")
+    joined = labels.join(document_features(spark, sf, labels), "doc_id", "left")
     return plain_names(fill_final(joined))
 
 
@@ -46,14 +57,15 @@ def every_document(spark: SparkSession, sf: str) -> DataFrame:
     return plain_names(fill_final(joined))
 
 
-def _trained(spark, sf, **options):
-    table = materialize(labelled_documents(spark, sf), "documents")
-    names, label = split_label(table, "quality", "doc_id")
+def _training_table(spark, sf) -> DataFrame:
+    return materialize(labelled_documents(spark, sf), "documents")
+
+
+def _trained(table: DataFrame, label_name: str = "quality", **options):
+    names, label = split_label(table, label_name, "doc_id")
     marked = stratified_split(table, "doc_id", label, 0.2, into="is_validation")
-    pipeline = M.boosted_trees(
-        names, label, validation="is_validation", **SMALL, **options
-    )
-    return table, M.train(marked, pipeline)
+    pipeline = M.boosted_trees(names, label, validation="is_validation", **{**SMALL, **options})
+    return M.train(marked, pipeline)
 
 
 @register(
@@ -71,58 +83,178 @@ def _(spark, sf):
     return spark.createDataFrame([(round(M.auc(scored, "n_chars", "quality"), 9),), ], "auc double")
 
 
+def _scores(spark, sf) -> DataFrame:
+    fitted = _trained(_training_table(spark, sf))
+    return M.score(fitted, every_document(spark, sf), "doc_id", "score")
+
+
 @register("gbt_scores")
 def _(spark, sf):
     """Scores of all documents, learned from the labelled ones."""
-    _, fitted = _trained(spark, sf)
-    return M.score(fitted, every_document(spark, sf), "doc_id", "score")
+    return _scores(spark, sf)
+
+
+@register("gbt_score_facts", "SELECT doc_id, true AS is_probability FROM documents")
+def _(spark, sf):
+    """What SQL can say about the scores: every document has one, and it is a probability."""
+    return _scores(spark, sf).select("doc_id", F.col("score").between(0, 1).alias("is_probability"))
+
+
+def _importances(spark, sf) -> DataFrame:
+    return M.importances(spark, _trained(_training_table(spark, sf)))
 
 
 @register("importances")
 def _(spark, sf):
-    _, fitted = _trained(spark, sf)
-    return M.top_k(M.importances(spark, fitted), "importance", "feature", 20)
+    return M.top_k(_importances(spark, sf), "importance", "feature", 20)
+
+
+@register(
+    "importance_facts",
+    """SELECT CAST(3 + 1 + count(DISTINCT lang) + count(DISTINCT source) AS BIGINT) AS features,
+              true AS are_shares, 1.0::DOUBLE AS total FROM documents""",
+)
+def _(spark, sf):
+    """Every feature has an importance, and all of them add up to 1."""
+    return _importances(spark, sf).agg(
+        F.count(F.lit(1)).alias("features"),
+        F.bool_and(F.col("importance").between(0, 1)).alias("are_shares"),
+        F.round(F.sum("importance"), 9).alias("total"),
+    )
 
 
 @register("unimportant_features")
 def _(spark, sf):
     """Features that get no importance in either of two trainings."""
-    tables = [M.importances(spark, _trained(spark, sf, seed=s)[1]) for s in (314, 315)]
+    table = _training_table(spark, sf)
+    tables = [M.importances(spark, _trained(table, seed=s)) for s in (314, 315)]
     names = M.unimportant(tables, times=2)
     return tables[0].where(F.col("feature").isin(names)).select("feature")
 
 
-def _folds(spark, sf, weight=None):
+# --- a planted rule that trees must find ----------------------------------------------------
+
+_PLANTED_RULE = "coalesce(lang = 'en' OR (lang = 'de' AND source >= 'src2'), false)"
+
+
+def _planted_table(spark, sf) -> DataFrame:
+    """Every document with the answer of a rule, what it looks at, a constant and a hash."""
+    rows = load_table(spark, sf, "documents").selectExpr(
+        "doc_id",
+        f"CAST({_PLANTED_RULE} AS INT) AS answer",
+        "CAST(coalesce(lang = 'en', false) AS INT) AS is_en",
+        "CAST(coalesce(lang = 'de', false) AS INT) AS is_de",
+        "CAST(coalesce(source >= 'src2', false) AS INT) AS is_late",
+        "5 AS five",
+        "CAST(pmod(xxhash64(doc_id), 2) AS INT) AS coin",
+    )
+    return materialize(rows, "planted")
+
+
+@register(
+    "gbt_planted",
+    f"SELECT doc_id, {_PLANTED_RULE} AS says_yes FROM documents",
+)
+def _(spark, sf):
+    """Boosted trees reproduce a rule over three features on every document."""
+    table = _planted_table(spark, sf)
+    scores = M.score(_trained(table, "answer", **PLANTED), table, "doc_id", "score")
+    return scores.select("doc_id", (F.col("score") > 0.5).alias("says_yes"))
+
+
+@register(
+    "unimportant_planted",
+    "SELECT 'five' AS feature",
+)
+def _(spark, sf):
+    """A constant column is what two trainings on a planted rule agree to drop; a coin may stay."""
+    table = _planted_table(spark, sf)
+    tables = [
+        M.importances(spark, _trained(table, "answer", **PLANTED, seed=s)) for s in (314, 315)
+    ]
+    names = [n for n in M.unimportant(tables, times=2) if n != "coin"]
+    return tables[0].where(F.col("feature").isin(names)).select("feature")
+
+
+# --- search ---------------------------------------------------------------------------------
+
+
+def _folds(spark, sf):
+    """Stored labelled rows with folds; a fifth of the rows decides when a training stops.
+
+    Folds come from another seed than that fifth, so that every fold holds some of it.
+    """
     table = labelled_documents(spark, sf)
     names, label = split_label(table, "quality", "doc_id")
-    folds = k_fold(table, "doc_id", label, 3)
-    if weight is not None:
-        folds = folds.withColumn("weight", M.class_weight(label, weight))
-    return materialize(folds, "folds"), names, label
+    marked = stratified_split(table, "doc_id", label, 0.2, into="is_validation")
+    return materialize(k_fold(marked, "doc_id", label, 3, seed=SEED + 1), "folds"), names, label
 
 
-@register("cv_report")
-def _(spark, sf):
-    """Class weights by search: one row a weight, three folds."""
+def _search_trees(names, label, **options):
+    return M.boosted_trees(
+        names, label, trees=M.SEARCH_TREES, validation="is_validation", **SMALL, **options
+    )
+
+
+def _weight_report(spark, sf) -> DataFrame:
     table, names, label = _folds(spark, sf)
     reports = []
     for point, weight in enumerate((1.0, M.CLASS_WEIGHT)):
         weighted = table.withColumn("weight", M.class_weight(label, weight))
-        pipeline = M.boosted_trees(names, label, trees=TREES, weight="weight", **SMALL)
-        found = M.search(weighted, pipeline, [{}], label=label)
+        found = M.search(weighted, _search_trees(names, label, weight="weight"), [{}], label=label)
         fixed = {"classWeight": weight}
         reports.append(M.search_report(found, weighted, label=label, fixed=fixed, first=point))
     return M.last_k(reports[0].unionByName(reports[1]), "mean_test", "point")
 
 
-@register("random_search")
-def _(spark, sf):
+def _random_report(spark, sf) -> DataFrame:
     table, names, label = _folds(spark, sf)
-    pipeline = M.boosted_trees(names, label, trees=TREES, **SMALL)
+    pipeline = _search_trees(names, label)
     found = M.search(table, pipeline, M.random_points(pipeline, M.SEARCH_SPACE), label=label)
     return M.last_k(M.search_report(found, table, label=label), "mean_test", "point")
 
 
+def _report_facts(report: DataFrame) -> DataFrame:
+    """The points of a report, and whether what was measured can be an AUC and a deviation."""
+    sound = (
+        F.col("mean_test").between(0, 1)
+        & F.col("mean_train").between(0, 1)
+        & F.col("std_test").between(0, 1)
+    )
+    return report.select("parameters", sound.alias("is_sound"))
+
+
+@register("cv_report")
+def _(spark, sf):
+    """Class weights by search: one row a weight, three folds."""
+    return _weight_report(spark, sf)
+
+
+@register(
+    "cv_report_facts",
+    """SELECT 'classWeight=' || w AS parameters, count(*) > 0 AS is_sound
+       FROM labels, (VALUES ('1.0'), ('12.0')) AS t(w) GROUP BY w""",
+)
+def _(spark, sf):
+    """One row a weight, with figures that can be an AUC."""
+    return _report_facts(_weight_report(spark, sf))
+
+
+@register("random_search")
+def _(spark, sf):
+    return _random_report(spark, sf)
+
+
+@register(
+    "random_search_facts",
+    """SELECT 'subsamplingRate=' || r AS parameters, count(*) > 0 AS is_sound
+       FROM labels, (VALUES ('0.8'), ('0.85')) AS t(r) GROUP BY r""",
+)
+def _(spark, sf):
+    """Two points of two possible ones: each is drawn once."""
+    return _report_facts(_random_report(spark, sf))
+
+
 @register(
     "class_weight",
     "SELECT doc_id, quality, CASE WHEN quality = 1 THEN 12.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM labels",

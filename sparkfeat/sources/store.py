@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_written: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -21,7 +24,8 @@ def scratch_dir(spark: SparkSession) -> str:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
@@ -39,9 +43,26 @@ def materialize(df: DataFrame, label: str = "table", partition_by: str | None =
     path = scratch_path(spark, label)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``materialize`` writes inside the block when it ends.
+
+    For whole runs whose results are written elsewhere; a table returned from the block is gone.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for name in _written[before:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _written[before:]
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Give iterative training a checkpoint folder unless the cluster has set one."""
     if spark.sparkContext.getCheckpointDir() is None:

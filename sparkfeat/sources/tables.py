@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkfeat.functions.missing import as_column
 from sparkfeat.sources.schemas import TABLE_FILES, known_types
+from sparkfeat.sources.store import materialize
 
 # The texts a CSV field may hold for "missing".
 NA_TOKENS = [
@@ -60,6 +61,17 @@ def infer_types(texts: DataFrame, columns: list[str]) -> dict[str, str]:
     return kinds
 
 
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    """All fields of a CSV file with a header row as text, tokens for "missing" as NULL."""
+    return blank_na_tokens(
+        spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, escape='"')
+    )
+
+
+def _typed(texts: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    return texts.select(*[as_column(c).cast(types[c]).alias(c) for c in texts.columns])
+
+
 def read_csv(
     spark: SparkSession, path: str, types: Mapping[str, str] | None = None
 ) -> DataFrame:
@@ -68,13 +80,24 @@ def read_csv(
     Fields are read as text, missing-value tokens become NULL, and the cast then raises on
     anything that does not fit the column's type. Only unlisted columns cost an extra pass.
     """
-    types = dict(types or {})
-    texts = blank_na_tokens(
-        spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, escape='"')
-    )
+    texts, types = _texts(spark, path), dict(types or {})
+    types.update(infer_types(texts, [c for c in texts.columns if c not in types]))
+    return _typed(texts, types)
+
+
+def convert_csv(
+    spark: SparkSession, path: str, types: Mapping[str, str] | None = None, label: str = "csv"
+) -> DataFrame:
+    """The table that ``read_csv`` gives, with its text parsed once and stored as parquet.
+
+    Listed columns are stored in their type. Unlisted ones are stored as text: their types come
+    from one scan of these columns alone, and the cast is part of the later column scans.
+    """
+    texts, types = _texts(spark, path), dict(types or {})
     unlisted = [c for c in texts.columns if c not in types]
-    types.update(infer_types(texts, unlisted))
-    return texts.select(*[as_column(c).cast(types[c]).alias(c) for c in texts.columns])
+    first = {c: types.get(c, "string") for c in texts.columns}
+    stored = materialize(_typed(texts, first), label)
+    return _typed(stored, {**first, **infer_types(stored, unlisted)})
 
 
 def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -83,10 +106,8 @@ def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def load_loan_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One of the eight loan-history CSV tables with its known column types."""
-    path = f"{directory}/{TABLE_FILES[name]}"
-    header = spark.read.csv(path, header=True, inferSchema=False).columns
-    return read_csv(spark, path, known_types(header))
+    """One of the eight loan-history CSV tables, converted once; every later pass reads columns."""
+    return convert_csv(spark, f"{directory}/{TABLE_FILES[name]}", known_types(name), name)
 
 
 def write_scores(scores: DataFrame, path: str, fmt: str = "csv") -> None:

@@ -91,3 +91,14 @@ def test_wide_levels_are_counted_in_long_form(spark, small):
     )
     out = aggregate(lines, "l_suppkey", {}, rates=levels(lines, ["q"]))
     assert "pivotfirst" in plan(out)
+
+
+def test_wide_columns_share_one_count(spark, small):
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").select(
+        "l_suppkey",
+        F.col("l_quantity").cast("string").alias("q"),
+        (F.col("l_orderkey") % 60).cast("string").alias("d"),
+        (F.col("l_partkey") % 70).cast("string").alias("p"),
+    )
+    out = aggregate(lines, "l_suppkey", {}, rates=levels(lines, ["q", "d", "p"]))
+    assert plan(out).count("FileScan") == 2

@@ -190,3 +190,35 @@ def test_assembly_keeps_rows_and_refuses_overlaps(spark):
         joins.assemble(entities, "k", [feature, feature])
     with pytest.raises(ValueError, match="shared"):
         joins.join_shared(entities, spark.range(1))
+
+
+def test_text_of_a_table_is_parsed_once(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("id,listed,free,word\n1,2.5,7,x\n2,NA,nan,NULL\n3,4,9,y\n")
+    types = {"id": "bigint", "listed": "double"}
+    got = tables.convert_csv(spark, str(path), types)
+    assert got.schema == tables.read_csv(spark, str(path), types).schema
+    assert got.collect() == tables.read_csv(spark, str(path), types).collect()
+    assert "csv" not in got._jdf.queryExecution().executedPlan().toString().lower().split("location")[0]
+    assert [f for f in got.inputFiles() if f.endswith(".csv")] == []
+
+
+def test_columns_of_every_table_have_one_type():
+    from sparkfeat.sources.schemas import TABLE_FILES, TABLE_TYPES, known_types
+
+    assert set(TABLE_TYPES) == set(TABLE_FILES)
+    for table, kinds in TABLE_TYPES.items():
+        assert len(known_types(table)) == sum(len(names.split()) for names in kinds.values())
+
+
+def test_intermediate_tables_are_removed(spark):
+    from pathlib import Path
+
+    from sparkfeat.sources.store import intermediate_tables, materialize
+
+    outside = materialize(spark.range(3).toDF("x"))
+    with intermediate_tables(spark):
+        inside = materialize(spark.range(4).toDF("x"))
+        folder = Path(inside.inputFiles()[0].removeprefix("file://")).parent
+        assert inside.count() == 4 and folder.exists()
+    assert not folder.exists() and outside.count() == 3

@@ -253,7 +253,7 @@ def matrices(spark, data):
     folder, _ = data
     options = scoring.Options(
         clip_trigger=3.5, age_polynomials=True, approval_rate=True, narrow_integers=True,
-        unwanted=["FLAG_MOBIL", "POS_COUNT", "never_created"], trees=3, parameters=SMALL_TREES,
+        unwanted=["FLAG_MOBIL", "POS_COUNT", "never_created"], trees=3, search_trees=3, parameters=SMALL_TREES,
     )
     return scoring.build_matrices(spark, folder, options), options
 
@@ -282,6 +282,32 @@ def test_reports(matrices):
     report = scoring.tune_class_weight(train, options, weights=(1.0, 12.0)).collect()
     assert len(report) == 2 and report[0].mean_test <= report[1].mean_test
     assert all(0 <= r.mean_train <= 1 for r in report)
+    assert {r.parameters for r in report} == {"classWeight=1.0", "classWeight=12.0"}
+
+
+def test_report_of_points_drawn_at_random(matrices):
+    (train, _), options = matrices
+    report = scoring.tune_at_random(train, options).collect()
+    assert {r.parameters for r in report} == {"subsamplingRate=0.8", "subsamplingRate=0.85"}
+    assert all(0 <= r.mean_test <= 1 for r in report)
+
+
+def test_reported_auc_is_that_of_ranks(matrices):
+    from sparkfeat.operators import model as trees
+
+    (train, _), options = matrices
+    folds = scoring._search_folds(train, options)
+    names = [c for c in train.columns if c not in ("SK_ID_CURR", "TARGET")]
+    pipeline = trees.boosted_trees(names, "TARGET", trees=3, validation="is_validation", **SMALL_TREES)
+    found = trees.search(folds, pipeline, [{}], label="TARGET")
+    areas = []
+    for n, models in enumerate(found.subModels):
+        held = folds.where(f"fold = {n}").withColumn("label", folds.TARGET)
+        scored = trees.score(models[0], held, "SK_ID_CURR", "s").join(held, "SK_ID_CURR").toPandas()
+        ranks, yes = scored.s.rank(), scored.label == 1
+        p, q = yes.sum(), (~yes).sum()
+        areas.append((ranks[yes].sum() - p * (p + 1) / 2) / (p * q))
+    assert found.avgMetrics[0] == pytest.approx(np.mean(areas))
 
 
 def test_scores_are_written_for_every_client(spark, data, matrices, tmp_path):
@@ -289,7 +315,7 @@ def test_scores_are_written_for_every_client(spark, data, matrices, tmp_path):
     (train, _), _ = matrices
     out = str(tmp_path / "run")
     run = scoring.score_clients(
-        spark, folder, out, scoring.Options(trees=3, parameters=SMALL_TREES)
+        spark, folder, out, scoring.Options(trees=3, search_trees=3, parameters=SMALL_TREES)
     )
     rows = run.scores.collect()
     tested = tables["application_test"]
@@ -304,6 +330,6 @@ def test_command_line():
     from sparkfeat.__main__ import arguments
 
     args = arguments(["in", "out", "--variant", "polynomial", "--trees", "9", "--tune"])
-    assert (args.input, args.variant, args.trees, args.tune) == ("in", "polynomial", 9, True)
+    assert (args.input, args.variant, args.trees, args.tune) == ("in", "polynomial", 9, "weights")
     assert scoring.VARIANTS["polynomial"].clip_trigger == 3.5
     assert scoring.VARIANTS["polynomial"].trees == 750
