@@ -269,8 +269,10 @@ def two_level(
     """Aggregate children per parent and left-join the result to the parents.
 
     Returns the parents with the new columns, and their names. Parents without children hold
-    NULL there, which the next aggregation level skips.
+    NULL there, which the next aggregation level skips. Parents without a key do not move.
     """
     rolled = aggregate(children, parent_key, child_spec, rates=child_rates)
-    added = [c for c in rolled.columns if c != parent_key]
-    return parents.join(rolled, parent_key, "left"), added
+    added = {f.name: F.lit(None).cast(f.dataType) for f in rolled.schema if f.name != parent_key}
+    named = parents.where(as_column(parent_key).isNotNull()).join(rolled, parent_key, "left")
+    nameless = parents.where(as_column(parent_key).isNull()).withColumns(added)
+    return named.unionByName(nameless), list(added)

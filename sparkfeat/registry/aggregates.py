@@ -12,6 +12,7 @@ from sparkfeat.registry.base import (
     ORDERS_WITH_GAPS,
     cents,
     lines_with_gaps,
+    number_class,
     orders_with_gaps,
     register,
     sql_cents,
@@ -152,6 +153,38 @@ def _(spark, sf):
     return aggregate(lines, "l_suppkey", {}, prefix="L", rates=found, count_as="n_lines")
 
 
+@register(
+    "agg_infinities",
+    f"""WITH v AS (SELECT l_orderkey, CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN 'infinity'::DOUBLE
+                                           WHEN l_linenumber = 2 AND l_orderkey % 5 = 0 THEN '-infinity'::DOUBLE
+                                           WHEN l_linenumber <> 3 THEN l_quantity END AS x FROM lineitem),
+            g AS (SELECT l_orderkey, count(x) AS n, count(*) FILTER (WHERE isinf(x) AND x > 0) AS up,
+                         count(*) FILTER (WHERE isinf(x) AND x < 0) AS down FROM v GROUP BY l_orderkey)
+        SELECT l_orderkey,
+               CASE WHEN n = 0 THEN 'missing' WHEN down > 0 THEN '-inf' WHEN up = n THEN '+inf'
+                    ELSE 'finite' END AS x_MIN,
+               CASE WHEN n = 0 THEN 'missing' WHEN up > 0 THEN '+inf' WHEN down = n THEN '-inf'
+                    ELSE 'finite' END AS x_MAX,
+               CASE WHEN n = 0 OR (up > 0 AND down > 0) THEN 'missing' WHEN up > 0 THEN '+inf'
+                    WHEN down > 0 THEN '-inf' ELSE 'finite' END AS x_MEAN,
+               CASE WHEN up > 0 AND down > 0 THEN 'missing' WHEN up > 0 THEN '+inf'
+                    WHEN down > 0 THEN '-inf' ELSE 'finite' END AS x_SUM,
+               CASE WHEN n < 2 OR up + down > 0 THEN 'missing' ELSE 'finite' END AS x_VAR
+        FROM g""",
+)
+def _(spark, sf):
+    """Groups with infinities of one sign, of both, and of none, as the class of each result."""
+    number, key = F.col("l_linenumber"), F.col("l_orderkey")
+    value = (
+        F.when((number == 1) & (key % 3 == 0), F.lit(float("inf")))
+        .when((number == 2) & (key % 5 == 0), F.lit(float("-inf")))
+        .when(number != 3, F.col("l_quantity"))
+    )
+    lines = load_table(spark, sf, "lineitem").select("l_orderkey", value.alias("x"))
+    out = aggregate(lines, "l_orderkey", {"x": "min max mean sum var"})
+    return out.withColumns({c: number_class(F.col(c)) for c in out.columns if c != "l_orderkey"})
+
+
 _MANY_LEVELS = {"size": [f"q{i}" for i in range(1, 51) if i != 13], "day": [f"d{i}" for i in range(60)]}
 _SIZE_AND_DAY = f"""
 SELECT l_suppkey, 'q' || CAST(CAST(quantity AS INTEGER) AS VARCHAR) AS size,

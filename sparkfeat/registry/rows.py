@@ -138,10 +138,19 @@ register("sigma_clip_3", _clip_sql("3.0::DOUBLE"))(_clip(3.0))
 register("sigma_clip_35", _clip_sql("3.5::DOUBLE"))(_clip(3.5))
 
 
+_RANGES = " UNION ALL ".join(
+    f"SELECT {i} AS place, '{c}' AS name, min({c}) AS low, max({c}) AS high FROM lineitem"
+    for i, c in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+)
+
+
 @register(
     "clip_columns",
-    """SELECT sum(CASE WHEN l_extendedprice > 0 THEN 1 ELSE 0 END)::BIGINT AS row_count,
-              'l_extendedprice' AS clipped FROM lineitem""",
+    f"""SELECT CAST(count(*) AS BIGINT) AS row_count, coalesce(
+               (SELECT string_agg(name, ',' ORDER BY place) FROM ({_RANGES})
+                WHERE NOT (low > -65504 AND high < 65504)
+                  AND low > -3.4028234663852886e38 AND high < 3.4028234663852886e38), '') AS clipped
+        FROM lineitem""",
 )
 def _(spark, sf):
     """Only float columns with a range beyond 16 bits are clipped; keys and small floats stay."""

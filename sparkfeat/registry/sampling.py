@@ -121,3 +121,26 @@ def _(spark, sf):
         rows, ["o_orderpriority"], "wide", lambda n: [F.floor((n + 1) / 2)]
     )
     return found.select("o_orderpriority", "value")
+
+
+@register(
+    "split_by_own_hash",
+    """SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n_rows,
+              CAST(count(DISTINCT o_orderkey) AS BIGINT) AS n_keys,
+              CAST(floor(count(*) * 0.2::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS n_test,
+              CAST(floor(count(*) / 3.0::DOUBLE) AS BIGINT) AS fold_0,
+              CAST(floor(count(*) * 2 / 3.0::DOUBLE) - floor(count(*) / 3.0::DOUBLE) AS BIGINT) AS fold_1,
+              CAST(count(*) - floor(count(*) * 2 / 3.0::DOUBLE) AS BIGINT) AS fold_2
+       FROM orders GROUP BY o_orderstatus""",
+)
+def _(spark, sf):
+    """Sizes of the parts that the plans' own hash makes; every row is in one fold, once."""
+    orders = load_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    marked = split.stratified_split(orders, "o_orderkey", "o_orderstatus", 0.2)
+    folded = split.k_fold(marked, "o_orderkey", "o_orderstatus", 3, seed=split.SEED + 1)
+    return folded.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("o_orderkey").alias("n_keys"),
+        F.count_if("is_test").alias("n_test"),
+        *[F.count_if(F.col("fold") == i).alias(f"fold_{i}") for i in range(3)],
+    )

@@ -167,7 +167,12 @@ def _(spark, sf):
 
 @register(
     "row_guard",
-    """SELECT CAST(count(*) AS BIGINT) AS row_count, 7 AS column_count FROM customer""",
+    """SELECT CAST(count(*) AS BIGINT) AS row_count,
+              (SELECT CAST(count(*) AS INTEGER) FROM (
+                 DESCRIBE SELECT customer.*, n_orders, largest_order FROM customer LEFT JOIN (
+                   SELECT o_custkey, count(*) AS n_orders, max(o_totalprice) AS largest_order
+                   FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey)) AS column_count
+       FROM customer""",
 )
 def _(spark, sf):
     customers = load_table(spark, sf, "customer")

@@ -104,3 +104,28 @@ def test_colliding_names_raise(spark):
 def test_unknown_aggregate_raises(spark):
     with pytest.raises(ValueError, match="unknown aggregate"):
         A.aggregate(spark.range(1), "id", {"id": "mode"})
+
+
+def test_parents_without_a_key_stay(spark):
+    from sparkfeat.operators.aggregate import two_level
+
+    children = spark.createDataFrame([(1, 2.0), (1, 4.0), (None, 9.0)], "k int, v double")
+    parents = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "d")], "k int, name string")
+    out, added = two_level(children, parents, "k", {"v": "mean size"})
+    assert added == ["v_MEAN", "v_SIZE"]
+    got = {r.name: (r.k, r.v_MEAN, r.v_SIZE) for r in out.collect()}
+    assert got == {
+        "a": (1, 3.0, 2), "b": (2, None, None), "c": (None, None, None), "d": (None, None, None),
+    }
+
+
+def test_rates_as_rows(spark):
+    from sparkfeat.operators.aggregate import rates_long
+
+    rows = [(1, "a"), (1, "a"), (1, None), (2, "b"), (None, "a")]
+    got = rates_long(spark.createDataFrame(rows, "k int, c string"), "k", ["c"]).collect()
+    assert {(r.k, r.level): r.rate for r in got} == {
+        (1, "a"): 2 / 3, (1, None): 1 / 3, (2, "b"): 1.0,
+    }
+    empty = spark.createDataFrame([], "k int, c string")
+    assert rates_long(empty, "k", ["c"]).collect() == []
