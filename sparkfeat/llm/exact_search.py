@@ -108,7 +108,7 @@ def best_of_block(query_ids, queries, ids, values, k: int):
     The scores grow by one block of dimensions at a time over all surviving candidates. What is
     left can add at most the product of the remaining norms; a candidate that cannot reach the
     k-th best lower bound of any query is dropped from the columns, and at the end only entries
-    that still can win are ranked.
+    that still can win are ranked. Rows with the query's own id, however many, set no bound.
     """
     dims = max(len(queries), len(values))
     queries = np.pad(queries, ((0, dims - len(queries)), (0, 0)))
@@ -119,20 +119,21 @@ def best_of_block(query_ids, queries, ids, values, k: int):
     q, c = queries.T.astype(np.float64), values.astype(np.float64)
     q_left, c_left = remaining(queries), remaining(values)
     scores = np.zeros((len(query_ids), len(ids)))
+    own = query_ids[:, None] == ids[None, :]
     alive = np.arange(len(ids))
     for step, d in enumerate(range(0, dims, DIMENSIONS)):
         scores += q[:, d : d + DIMENSIONS] @ c[d : d + DIMENSIONS]
         slack = np.outer(q_left[step + 1], c_left[step + 1])
         slack += 1.0 * (d + DIMENSIONS < dims)
-        if len(alive) > k + 1:
-            lower = scores - slack
-            # the k + 1 best, as one of them may be the query itself
-            bound = np.partition(lower, len(alive) - k - 1, axis=1)[:, len(alive) - k - 1]
+        if len(alive) > k:
+            lower = np.where(own, -np.inf, scores - slack)
+            bound = np.partition(lower, len(alive) - k, axis=1)[:, len(alive) - k]
             keep = ((scores + slack) >= bound[:, None]).any(axis=0)
             if not keep.all():
-                alive, scores, c, c_left = alive[keep], scores[:, keep], c[:, keep], c_left[:, keep]
+                alive, scores, own = alive[keep], scores[:, keep], own[:, keep]
+                c, c_left = c[:, keep], c_left[:, keep]
     names = ids[alive]
-    scores = np.where(query_ids[:, None] == names[None, :], -np.inf, scores)
+    scores = np.where(own, -np.inf, scores)
     if len(alive) > k:
         bound = np.partition(scores, len(alive) - k, axis=1)[:, len(alive) - k]
         at, which = np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))

@@ -199,6 +199,20 @@ def test_pruning_keeps_the_best():
         assert [(-s, n) for s, n in every] == list(zip(scores[at == i].tolist(), names[at == i].tolist()))
 
 
+def test_repeated_query_rows_take_no_place():
+    random = np.random.default_rng(2)
+    for times in range(2, 8):
+        unit = random.normal(size=(64, 3000))
+        unit = np.floor(256 * unit / np.linalg.norm(unit, axis=0)).astype(np.int64)
+        ids = np.concatenate([np.arange(3000), np.repeat(np.arange(8), times - 1)])
+        at, names, scores = best_of_block(np.arange(8), unit[:, :8], ids, unit[:, ids], 5)
+        for i in range(8):
+            every = sorted((-int(s), n) for s, n in zip(unit[:, i] @ unit, range(3000)) if n != i)
+            # other queries are candidates as often as they are repeated
+            every = sorted(e for e in every for _ in range(times if e[1] < 8 else 1))[:5]
+            assert [(-s, n) for s, n in every] == list(zip(scores[at == i].tolist(), names[at == i].tolist()))
+
+
 def test_empty_tables_and_other_columns(empty, wide, docs, labels):
     runs = (
         scan_secrets, redact_secrets, lambda d: shard_documents(d, 24), lambda d: judge(d, labels),
