@@ -83,8 +83,9 @@ def mixed(text: str, span: Span) -> bool:
     return bool(re.search("[A-Z]", part) and re.search("[a-z]", part) and re.search("[0-9]", part))
 
 
-def near(span: Span, others: list[Span], scopes: list[int], reach: int) -> Span | None:
-    """The first of the sorted, non-overlapping others within reach and in the same scope."""
+def near(span: Span, others: list[Span], scopes: list[int], reach: int) -> list[Span]:
+    """All of the sorted, non-overlapping others within reach and in the same scope."""
+    found = []
     i = bisect_left(others, span.start - reach, key=lambda o: o.end)
     while i < len(others) and others[i].start <= span.end + reach:
         other = others[i]
@@ -93,13 +94,15 @@ def near(span: Span, others: list[Span], scopes: list[int], reach: int) -> Span
         )
         overlap = other.start < span.end and span.start < other.end
         if not apart and not overlap:
-            return other
+            found.append(other)
         i += 1
-    return None
+    return found
 
 
-def find(text: str, kinds: list[str], reach: int = REACH) -> tuple[list[Span], list[tuple[Span, Span]]]:
-    """All reported spans by start and kind, and the links between parts.
+def find(
+    text: str, kinds: list[str], reach: int = REACH
+) -> tuple[list[Span], list[tuple[Span, list[Span]]]]:
+    """All reported spans by start and kind, and for every part and role it links to all partners.
 
     The intervals of the parts, widened by ``reach``, are joined by a sweep over sorted
     intervals. A weak candidate (user name, code, endpoint) is reported only if parts of all
@@ -122,17 +125,16 @@ def find(text: str, kinds: list[str], reach: int = REACH) -> tuple[list[Span], l
     spans, links = list(strong), []
 
     def partners(span: Span, role: str) -> list[Span]:
-        nearest = (near(span, by_kind[k], scopes, reach) for k in KINDS if ROLE[k] == role)
-        return [p for p in nearest if p is not None]
+        return sorted(p for k in KINDS if ROLE[k] == role for p in near(span, by_kind[k], scopes, reach))
 
     for kind, roles in NEEDS.items():
         for span in weak[kind]:
             parts = [partners(span, role) for role in roles]
             if all(parts):
                 spans.append(span)
-                links += [(span, p[0]) for p in parts]
+                links += [(span, p) for p in parts]
     for span in by_kind["access"]:
-        links += [(span, p) for p in partners(span, "secret")[:1]]
+        links += [(span, p) for p in [partners(span, "secret")] if p]
     return sorted(spans), sorted(links)
 
 
@@ -162,7 +164,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Per row the counts of the base kinds, the SHA-256 of their spans, all ``spans`` as
     ``kind:start:end`` (code points, end exclusive; by start, then kind) and ``links`` as
-    ``kind:start>kind:start``. A missing text counts as empty; a missing doc_id stays missing;
+    ``kind:start>kind:start``, one for every pair of a part and a partner. A missing text counts as empty; a missing doc_id stays missing;
     repeated rows are repeated; an empty table gives no rows. All parts of a scope are in one
     text, so nothing is shuffled.
     """
@@ -176,7 +178,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             rows["sha"].append(hashlib.sha256(joined(base).encode()).hexdigest())
             rows["spans"].append(joined(spans))
             rows["links"].append(
-                ",".join(f"{a.kind}:{a.start}>{b.kind}:{b.start}" for a, b in links)
+                ",".join(f"{a.kind}:{a.start}>{b.kind}:{b.start}" for a, p in links for b in p)
             )
         kinds = [pa.int64()] * 3 + [pa.string()] * 3
         return pa.record_batch(

@@ -56,6 +56,50 @@ def test_weak_parts_need_their_complement():
     assert "hunter22" not in hide(SECRET, spans) and joined([]) == ""
 
 
+def random_credentials(n):
+    """Texts with many credentials in and out of reach, with blank lines between some."""
+    random = np.random.default_rng(3)
+    parts = (
+        "user: bob{}", "password = hunter{}x", "AKIAABCDEFGHIJKLMNO{}", "0123456789abcdef012345678{}",
+        "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hJ6kL9{}", "https://db{}.example.com/x", "words " * 12, "\n\n",
+    )
+    return [
+        " ".join(parts[p].format(random.integers(10)) for p in random.integers(0, 8, 40))
+        for _ in range(n)
+    ]
+
+
+def brute_links(text):
+    """Every pair of parts: a role that is needed, at most 200 apart, no overlap, no blank line."""
+    patterns = {
+        "assign": r"password = \w+", "access": r"AKIA\w{16}", "hex": r"\b[0-9a-f]{26}\b",
+        "user": r"user: \w+", "code": r"\baB3d\w{36}", "endpoint": r"https:\S+",
+    }
+    secret, name = ("assign", "hex", "code"), ("access", "user")
+    needs = {"access": [secret], "user": [secret], "code": [name], "endpoint": [name, secret]}
+    parts = [(m.start(), m.end(), k) for k, p in patterns.items() for m in re.finditer(p, text)]
+    pairs = set()
+    for start, end, kind in parts:
+        close = [
+            (s, k)
+            for s, e, k in parts
+            if (end <= s <= end + 200 and "\n\n" not in text[end:s])
+            or (e <= start <= e + 200 and "\n\n" not in text[e:start])
+        ]
+        if all(any(k in role for _, k in close) for role in needs.get(kind, ())):
+            pairs |= {(kind, start, k, s) for role in needs.get(kind, ()) for s, k in close if k in role}
+    return pairs
+
+
+def test_links_are_all_pairs_in_scope(spark):
+    texts = random_credentials(40)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in scan_secrets(table).collect():
+        pairs = [tuple(re.split("[:>]", x)) for x in r.links.split(",") if x]
+        got = [(a, int(i), b, int(j)) for a, i, b, j in pairs]
+        assert len(got) == len(set(got)) and set(got) == brute_links(texts[r.doc_id])
+
+
 def test_hidden_secrets(docs):
     rows = {r.doc_id: r for r in redact_secrets(docs).collect()}
     assert redact_secrets(docs).schema == docs.schema and "AKIA" not in rows[10].text
