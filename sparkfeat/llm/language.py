@@ -22,6 +22,8 @@ LENGTHS, BITS, RIDGE = (1, 2, 3, 4), 17, 1e-3
 #: Bytes of text and rows that are scored in one matrix product.
 TEXT_BYTES, ROWS = 2 << 20, 512
 UNKNOWN = "und"
+#: What a text needs to have a language.
+LETTER = r"\p{L}"
 #: Documents of this remainder of the checksum by FOLDS are held out.
 FOLDS, HELD_OUT = 4, 2
 
@@ -76,7 +78,7 @@ class Model(NamedTuple):
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of every text; the scores of a batch are one matrix product."""
         names, scores = [], np.zeros(len(texts))
-        lettered = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
+        lettered = pc.match_substring_regex(texts, LETTER).to_numpy(zero_copy_only=False)
         for i in range(0, len(texts), ROWS):
             held = presence(texts.slice(i, ROWS), self.columns, len(self.weights))
             norm = np.sqrt(np.maximum(held.sum(axis=1), 1))[:, None]
@@ -219,7 +221,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """The rows whose text has a language with a score of ``least`` or more."""
-    found = apply(wrapped(docs), fit(docs))
+    """The rows whose text has a language with a score of ``least`` or more.
+
+    If no row teaches a language, texts cannot be told apart, and all that have a letter stay.
+    """
+    rows, model = wrapped(docs), fit(docs)
+    if model is None:
+        return unwrapped(rows.where(F.col("text").rlike(LETTER)), docs.columns)
+    found = apply(rows, model)
     keep = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
     return unwrapped(found.where(keep), docs.columns)

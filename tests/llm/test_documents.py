@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 import corpus_pipeline
@@ -179,6 +180,15 @@ def test_languages(spark, docs, small):
     assert fit(unlabelled) is None and {r.lang_pred for r in identify(unlabelled).collect()} == {"und"}
 
 
+def test_without_a_language_only_texts_without_letters_go(docs):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    only_held_out = docs.where("crc32(CAST(coalesce(CAST(doc_id AS STRING), '') AS BINARY)) % 4 = 2")
+    for rows in (unlabelled, only_held_out):
+        want = [r for r in rows.collect() if re.search(r"[^\W\d_]", r.text or "")]
+        kept = keep_known(rows)
+        assert want and kept.schema == rows.schema and sorted(map(str, kept.collect())) == sorted(map(str, want))
+
+
 def grams(text):
     words = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
     if len(words) < 5:
