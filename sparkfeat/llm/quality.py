@@ -178,11 +178,36 @@ def choose(good: np.ndarray, bad: np.ndarray, risk: float, error: float) -> int:
     return best
 
 
+def needed(strata: int) -> int:
+    """Fewest good documents with which a cutoff can pass, if so many strata are tested."""
+    error = (1 - CONFIDENCE) / (strata * len(CUTOFFS))
+    return math.ceil(math.log(error) / math.log1p(-FALSE_REJECTIONS / len(CUTOFFS)))
+
+
+def pooling(sizes: dict[int, int]) -> tuple[int, int]:
+    """From how many good documents on a stratum stands alone, and how many strata are tested.
+
+    ``sizes`` has the number of strata for every number of good documents. The smaller strata
+    are one more together, if they are enough for a cutoff. The fewest are pooled with which
+    all others can pass.
+    """
+    for least in sorted(sizes):
+        alone = sum(n for size, n in sizes.items() if size >= least)
+        rest = sum(size * n for size, n in sizes.items() if size < least)
+        tested = alone + (rest >= needed(alone + 1))
+        if least >= needed(tested):
+            return least, tested
+    return max(sizes, default=0) + 1, 1
+
+
 def calibrate(counted: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a stratum with the cutoff of every rule (infinite where none is safe).
 
-    Only labelled documents that pass the base rules count. The allowed error is divided by the
-    number of strata and rules, the allowed rate of false rejections by the number of rules.
+    Only labelled documents that pass the base rules count. Strata with too few good ones for
+    any cutoff are pooled; their cutoffs and the bound are those of the pool as a whole. The
+    pool follows from the numbers of good documents alone, so it does not weaken the bound. The
+    allowed error is divided by the number of strata and rules, the allowed rate of false
+    rejections by the number of rules.
     """
     told = labels.select(
         F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_good")
@@ -203,22 +228,30 @@ def calibrate(counted: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.sum("count").alias("n")),
         "quality-levels",
     )
-    strata = max(1, table.select("_stratum").distinct().count())
+    good = (
+        table.where((F.col("rule") == next(iter(CUTOFFS))) & (F.col("_good") == 1))
+        .groupBy("_stratum")
+        .agg(F.sum("n").alias("size"))
+    )
+    # distinct sizes: no more than the root of twice the number of labels
+    least, strata = pooling({r["size"]: r["count"] for r in good.groupBy("size").count().collect()})
     error, risk = (1 - CONFIDENCE) / (strata * len(CUTOFFS)), FALSE_REJECTIONS / len(CUTOFFS)
 
     def cutoffs(rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"_stratum": [rows["_stratum"].iloc[0]]}
+        out = {"_stratum": rows["_stratum"].unique()}
         for rule, steps in CUTOFFS.items():
             mine = rows[rows["rule"] == rule]
             by = [np.zeros(len(steps) + 1, np.int64) for _ in range(2)]
             for value, lvl, n in zip(mine["_good"], mine["level"], mine["n"]):
                 by[int(value == 1)][lvl] += n
             chosen = choose(by[1], by[0], risk, error)
-            out[f"_{rule}"] = [steps[chosen] if chosen >= 0 else math.inf]
+            out[f"_{rule}"] = steps[chosen] if chosen >= 0 else math.inf
         return pd.DataFrame(out)
 
     schema = "_stratum string, " + ", ".join(f"_{rule} double" for rule in CUTOFFS)
-    return materialize(table.groupBy("_stratum").applyInPandas(cutoffs, schema), "quality-cutoffs")
+    alone = F.when(F.col("size") >= least, F.col("_stratum")).alias("alone")
+    groups = table.join(good.select("_stratum", alone), "_stratum").groupBy("alone")
+    return materialize(groups.applyInPandas(cutoffs, schema), "quality-cutoffs")
 
 
 def stratum_of(column: str) -> Column:
@@ -236,8 +269,9 @@ def kept() -> Column:
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` of every row, by base rules and calibrated cutoffs.
 
-    Strata are the values of ``stratum``, missing ones a stratum of their own. A stratum without
-    enough labelled documents has no cutoffs and rejects nothing beyond the base rules. A
+    Strata are the values of ``stratum``, missing ones a stratum of their own. Strata without
+    enough good labelled documents share the cutoffs of their pool. If that has too few as well,
+    or a stratum has none at all, nothing is rejected there beyond the base rules. A
     missing or empty text has no words and fails; missing labels or doc_ids tell nothing, equal
     label rows count once; repeated documents are repeated; empty tables give no rows.
     """

@@ -166,6 +166,60 @@ def test_cutoffs_bound_false_rejections():
     assert choose(np.array([0, 0, 0, 0]), bad, 0.02, 0.01) == -1
 
 
+def marked_documents(good, bad):
+    """Documents and labels: the bad ones hold a symbol in every fourth word, good ones none.
+
+    ``good`` and ``bad`` have the numbers of a language.
+    """
+    rows, told = [], []
+    for quality, numbers in ((1, good), (0, bad)):
+        for lang, n in numbers.items():
+            for _ in range(n):
+                words = [f"w{len(rows)}x{i}" + "#" * (not quality and i % 4 == 0) for i in range(40)]
+                told.append((len(rows), quality))
+                rows.append((len(rows), " ".join(words), lang))
+    return rows, told
+
+
+def plain_kept(rows, told):
+    """The doc_ids that stay, by the symbols of a word alone, as no other measure varies."""
+    by_id, good, bad = dict(told), Counter(), Counter()
+    share = {d: len(re.findall(r"[#*$%&|<>]", t)) / len(t.split()) for d, t, _ in rows}
+    for d, _, lang in rows:
+        (good if by_id.get(d) == 1 else bad)[lang] += d in by_id
+    fewest = lambda strata: next(n for n in range(1, 999) if 0.98**n <= 0.05 / (4 * strata))
+    alone, tested = set(), 1
+    for n in range(len(good), -1, -1):
+        largest = {lang for lang, _ in good.most_common(n)}
+        rest = sum(v for k, v in good.items() if k not in largest)
+        strata = n + (rest >= fewest(n + 1))
+        if all(good[x] >= fewest(strata) for x in largest):
+            alone, tested = largest, max(1, strata)
+            break
+    groups = [{x} for x in alone] + [{x for x in good if x not in alone and good[x]}]
+    acts = {x for g in groups if sum(good[x] for x in g) >= fewest(tested) and any(bad[x] for x in g) for x in g}
+    # the most lenient cutoff below 0.25 is 0.2, and no good document is above it
+    return {d for d, _, lang in rows if lang not in acts or share[d] <= 0.2}
+
+
+def test_small_strata_are_judged_together(spark):
+    cases = (
+        ({"en": 60, "de": 60, "fr": 60, None: 60}, {"en": 5, "de": 5, None: 5, "xx": 5}),
+        ({"en": 300, "de": 150, "fr": 130}, {"en": 5, "de": 5, "fr": 5, "xx": 5}),
+        ({"en": 300, "de": 20}, {"en": 5, "de": 5}),
+        ({"en": 50, "de": 50}, {"en": 5, "de": 5}),
+    )
+    rejected = []
+    for good, bad in cases:
+        rows, told = marked_documents(good, bad)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        labels = spark.createDataFrame(told, "doc_id long, quality int")
+        kept = {r.doc_id for r in judge(docs, labels).collect() if r.kept}
+        assert kept == plain_kept(rows, told) == {r.doc_id for r in keep_good(docs, labels).collect()}
+        rejected.append(len(rows) - len(kept))
+    assert rejected == [15, 15, 5, 0]
+
+
 def test_languages(spark, docs, small):
     table = spark.read.parquet(f"{small}/documents.parquet")
     rows = identify(table).join(table.select("doc_id", "lang"), "doc_id").collect()
