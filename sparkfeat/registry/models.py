@@ -138,7 +138,7 @@ _PLANTED_RULE = "coalesce(lang = 'en' OR (lang = 'de' AND source >= 'src2'), fal
 
 
 def _planted_table(spark, sf) -> DataFrame:
-    """Every document with the answer of a rule, what it looks at, a constant and a hash."""
+    """Every document with the answer of a rule, what it looks at and a constant."""
     rows = load_table(spark, sf, "documents").selectExpr(
         "doc_id",
         f"CAST({_PLANTED_RULE} AS INT) AS answer",
@@ -146,7 +146,6 @@ def _planted_table(spark, sf) -> DataFrame:
         "CAST(coalesce(lang = 'de', false) AS INT) AS is_de",
         "CAST(coalesce(source >= 'src2', false) AS INT) AS is_late",
         "5 AS five",
-        "CAST(pmod(xxhash64(doc_id), 2) AS INT) AS coin",
     )
     return materialize(rows, "planted")
 
@@ -167,12 +166,12 @@ def _(spark, sf):
     "SELECT 'five' AS feature",
 )
 def _(spark, sf):
-    """A constant column is what two trainings on a planted rule agree to drop; a coin may stay."""
+    """A constant column is what two trainings on a planted rule agree to drop."""
     table = _planted_table(spark, sf)
     tables = [
         M.importances(spark, _trained(table, "answer", **PLANTED, seed=s)) for s in (314, 315)
     ]
-    names = [n for n in M.unimportant(tables, times=2) if n != "coin"]
+    names = M.unimportant(tables, times=2)
     return tables[0].where(F.col("feature").isin(names)).select("feature")
 
 

@@ -333,3 +333,12 @@ def test_command_line():
     assert (args.input, args.variant, args.trees, args.tune) == ("in", "polynomial", 9, "weights")
     assert scoring.VARIANTS["polynomial"].clip_trigger == 3.5
     assert scoring.VARIANTS["polynomial"].trees == 750
+
+
+def test_planted_answer_is_not_narrowed(spark, small, monkeypatch):
+    from sparkfeat.operators import model
+    from sparkfeat.registry import QUERIES, models
+
+    every = {*models._planted_table(spark, small).columns} - {"doc_id", "answer"}
+    monkeypatch.setattr(model, "unimportant", lambda tables, times: sorted(every))
+    assert {r.feature for r in QUERIES["unimportant_planted"](spark, small).collect()} == every
