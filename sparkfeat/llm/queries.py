@@ -16,6 +16,7 @@ from sparkfeat.llm.piece_sampling import encode_sampled
 from sparkfeat.llm.quality import judge
 from sparkfeat.llm.secrets import scan_secrets
 from sparkfeat.llm.sharding import shard_documents
+from sparkfeat.llm.spelling import spelling_variants
 from sparkfeat.llm.token_counts import count_tokens
 from sparkfeat.llm.window_packing import pack_windows
 
@@ -112,3 +113,9 @@ def op9_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and links of all documents."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
