@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkfeat.llm.batches import read_table
 from sparkfeat.llm.bin_packing import pack_token_ids
+from sparkfeat.llm.conversations import audits, damaged
 from sparkfeat.llm.exact_search import top_k
 from sparkfeat.llm.jaccard_join import near_duplicates
 from sparkfeat.llm.language import identify
@@ -119,3 +120,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their near words, forms and roots."""
     return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with faults put in by rule: their cheapest repairs."""
+    return audits(damaged(read_table(spark, sf_dir, "conversations")))
