@@ -19,6 +19,7 @@ from sparkfeat.llm.secrets import scan_secrets
 from sparkfeat.llm.sharding import shard_documents
 from sparkfeat.llm.spelling import spelling_variants
 from sparkfeat.llm.token_counts import count_tokens
+from sparkfeat.llm.warc import round_trip
 from sparkfeat.llm.window_packing import pack_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +127,24 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations with faults put in by rule: their cheapest repairs."""
     return audits(damaged(read_table(spark, sf_dir, "conversations")))
+
+
+@query
+def op13_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    return round_trip(spark, read_table(spark, sf_dir, "pages")).drop("url")
+
+
+ORACLES["op13_warc_reader"] = """
+WITH rows AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), known AS (
+    SELECT *, octet_length(payload) AS size, max(page_id) OVER (PARTITION BY payload) AS last FROM rows
+), marked AS (
+    SELECT *, size >= 1000 AND last IS NOT NULL AND page_id IS DISTINCT FROM last AS again FROM known
+)
+SELECT page_id, size AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN last END AS refers_to
+FROM marked
+"""
