@@ -71,24 +71,13 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str | Sequence[str], co
     return joined.unionByName(keyless)
 
 
-def _fits_broadcast(table: DataFrame) -> bool:
-    """Whether Spark broadcasts the stored table by itself, from its bytes and the setting."""
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return size <= limit
+def lookup(rows: DataFrame, table: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """Left-join a lookup table with unique keys.
 
-
-def lookup(
-    rows: DataFrame, table: DataFrame, key: str | Sequence[str], stored: bool = False
-) -> DataFrame:
-    """Left-join a lookup table with unique keys. The table is stored, unless it already is; its
-    size in bytes decides between Spark's own broadcast and a shuffle with hot keys split."""
-    keys = [key] if isinstance(key, str) else list(key)
-    table = table if stored else materialize(table, "lookup")
-    if _fits_broadcast(table):
-        return rows.join(table, keys, "left")
-    weights = _without_nulls(rows, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    return join_counted(rows, weights.join(table, keys, "left"), keys, "__rows").drop("__rows")
+    Spark chooses the join from the table's size, and splits the rows of a hot key between tasks
+    where it meets them in a sorted join.
+    """
+    return rows.join(table, [key] if isinstance(key, str) else list(key), "left")
 
 
 def with_group_rate(

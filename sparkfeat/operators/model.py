@@ -5,20 +5,22 @@ from __future__ import annotations
 import random
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from operator import add
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.missing import as_column
+from sparkfeat.operators.evaluate import grouped_auc
 from sparkfeat.operators.split import SEED
-from sparkfeat.sources.store import use_checkpoints
+from sparkfeat.sources.store import intermediate_path, use_checkpoints
 
 # Parameters of the final model, under the names MLlib gives them.
 TREE_PARAMETERS = {
@@ -84,19 +86,22 @@ def score(model, df: DataFrame, key: str, into: str = "TARGET") -> DataFrame:
 def blend(tables: Sequence[DataFrame], key: str, score_name: str = "TARGET") -> DataFrame:
     """Mean of several score tables with one row per key each.
 
-    A key that some tables lack keeps the mean of the scores that it has.
+    A key that some tables lack keeps the mean of the scores that it has. All tables move once,
+    in one aggregate; the scores of a key are added in the order of the tables.
     """
-    named = [
-        t.select(as_column(key), as_column(score_name).alias(f"__score_{i}"))
-        for i, t in enumerate(tables)
-    ]
-    joined = reduce(lambda left, right: left.join(right, key, "full"), named)
-    scores = [F.col(f"__score_{i}") for i in range(len(named))]
+    rows = reduce(
+        DataFrame.unionAll,
+        [
+            t.select(as_column(key), F.lit(i).alias("__table"), as_column(score_name).alias("__score"))
+            for i, t in enumerate(tables)
+        ],
+    )
+    of_table = [F.max(F.when(F.col("__table") == i, F.col("__score"))) for i in range(len(tables))]
+    joined = rows.groupBy(as_column(key)).agg(*[c.alias(f"__{i}") for i, c in enumerate(of_table)])
+    scores = [F.col(f"__{i}") for i in range(len(tables))]
     total = reduce(add, [F.coalesce(s, F.lit(0.0)) for s in scores])
     present = reduce(add, [s.isNotNull().cast("double") for s in scores])
-    return joined.select(
-        as_column(key), F.when(present > 0, total / present).alias(score_name)
-    )
+    return joined.select(as_column(key), F.when(present > 0, total / present).alias(score_name))
 
 
 def auc(df: DataFrame, score_name: str, label: str) -> float:
@@ -117,96 +122,118 @@ def _auc_evaluator(raw: str, label: str) -> BinaryClassificationEvaluator:
 # --- parameter search -----------------------------------------------------------------------
 
 
-def _classifier(model: Pipeline) -> GBTClassifier:
-    return model.getStages()[-1]
+#: The name under which a point sets the weight of the positive class.
+WEIGHT = "classWeight"
 
 
-def parameter_grid(model: Pipeline, space: Mapping[str, Sequence]) -> list[dict]:
-    """All combinations of the listed values as MLlib parameter maps."""
+def parameter_grid(space: Mapping[str, Sequence]) -> list[dict]:
+    """All combinations of the listed values, each a point: names to values."""
     points: list[dict] = [{}]
     for name, values in space.items():
-        parameter = _classifier(model).getParam(name)
-        points = [{**p, parameter: v} for p in points for v in values]
+        points = [{**p, name: v} for p in points for v in values]
     return points
 
 
 def random_points(
-    model: Pipeline, space: Mapping[str, object], points: int = SEARCH_POINTS, seed: int = SEED
+    space: Mapping[str, object], points: int = SEARCH_POINTS, seed: int = SEED
 ) -> list[dict]:
-    """Parameter maps drawn from lists of values or from functions of a random generator.
+    """Points drawn from lists of values or from functions of a random generator.
 
     Of lists alone no point is drawn twice; there are then at most as many as combinations.
     """
     generator = random.Random(seed)
-    classifier = _classifier(model)
     if not any(callable(values) for values in space.values()):
-        every = parameter_grid(model, space)
+        every = parameter_grid(space)
         return generator.sample(every, min(points, len(every)))
 
     def draw(values):
         return values(generator) if callable(values) else generator.choice(list(values))
 
-    return [
-        {classifier.getParam(name): draw(values) for name, values in space.items()}
-        for _ in range(points)
-    ]
+    return [{name: draw(values) for name, values in space.items()} for _ in range(points)]
+
+
+def _fit_point(model: Pipeline, rows: DataFrame, point: Mapping, label: str) -> PipelineModel:
+    """The pipeline with a point's parameters, fitted to the rows."""
+    classifier = model.getStages()[-1]
+    parameters = {classifier.getParam(n): v for n, v in point.items() if n != WEIGHT}
+    if WEIGHT in point:
+        rows = rows.withColumn("__weight", class_weight(label, point[WEIGHT]))
+        parameters[classifier.getParam("weightCol")] = "__weight"
+    return model.fit(rows, parameters)
 
 
-def search(
+def cross_scores(
     df: DataFrame,
     model: Pipeline,
-    points: Sequence[dict],
+    points: Sequence[Mapping],
     *,
+    key: str,
     label: str,
     fold: str = "fold",
     folds: int = 3,
-    parallelism: int = 2,
-) -> CrossValidatorModel:
-    """Cross-validate every parameter point by AUC on given folds and refit the best one.
+    parallelism: int = 6,
+) -> DataFrame:
+    """Scores of all rows by every point and fold, as one stored table.
 
-    Pass a stored table: every fold and point reads it again.
+    Its rows are ``point``, ``fold``, ``held_out``, ``key``, ``label`` and ``score``: a model is
+    trained on the rows outside of its fold and scores them all, those of its fold as
+    ``held_out``. Each training writes its part of the table as soon as it ends, several run at
+    once, and none is repeated: reports, refits and checks read the table. Pass a stored table.
     """
-    use_checkpoints(df.sparkSession)
-    validator = CrossValidator(
-        estimator=model,
-        estimatorParamMaps=list(points),
-        evaluator=_auc_evaluator("rawPrediction", label),
-        numFolds=folds,
-        foldCol=fold,
-        parallelism=parallelism,
-        collectSubModels=True,
-        seed=SEED,
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    path = intermediate_path(spark, "cross-scores")
+
+    def run(task) -> None:
+        point, n = task
+        fitted = _fit_point(model, df.where(as_column(fold) != n), points[point], label)
+        scored = fitted.transform(df).select(
+            (as_column(fold) == n).alias("held_out"),
+            as_column(key).alias("key"),
+            as_column(label).alias("label"),
+            vector_to_array("probability")[1].alias("score"),
+        )
+        scored.write.parquet(f"{path}/point={point}/fold={n}")
+
+    tasks = [(p, n) for p in range(len(points)) for n in range(folds)]
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        pool.map(inheritable_thread_target(spark)(run), tasks, chunksize=1)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = (
+        f"held_out boolean, key {kinds[key]}, label {kinds[label]}, score double, point int, fold int"
     )
-    return validator.fit(df)
+    stored = spark.read.schema(schema).parquet(path)
+    return stored.select("point", "fold", "held_out", "key", "label", "score")
 
 
-def search_report(
-    found: CrossValidatorModel,
-    df: DataFrame,
-    *,
-    label: str,
-    fold: str = "fold",
-    fixed: Mapping[str, object] | None = None,
-    first: int = 0,
-) -> DataFrame:
-    """One row per parameter point: mean test, mean train and deviation of test AUC.
+def point_text(point: Mapping) -> str:
+    return ", ".join(f"{name}={value}" for name, value in sorted(point.items()))
+
 
-    ``fixed`` names what the whole search had in common, such as a class weight; points count
-    from ``first`` on.
+def search_report(scores: DataFrame, points: Sequence[Mapping]) -> DataFrame:
+    """One row per point of :func:`cross_scores`: mean test, mean train and deviation of test AUC.
+
+    All areas come from one pass over the table. The deviation is that of the folds themselves,
+    not an estimate for other folds.
     """
-    evaluator = _auc_evaluator("rawPrediction", label)
-    rows = []
-    for i, point in enumerate(found.getEstimatorParamMaps()):
-        train_auc = [
-            evaluator.evaluate(models[i].transform(df.where(F.col(fold) != n)))
-            for n, models in enumerate(found.subModels)
-        ]
-        named = {p.name: v for p, v in point.items()} | dict(fixed or {})
-        text = ", ".join(f"{name}={value}" for name, value in sorted(named.items()))
-        mean_train = sum(train_auc) / len(train_auc)
-        rows.append((first + i, text, float(found.avgMetrics[i]), mean_train, float(found.stdMetrics[i])))
-    schema = "point int, parameters string, mean_test double, mean_train double, std_test double"
-    return df.sparkSession.createDataFrame(rows, schema)
+    areas = grouped_auc(scores, ["point", "fold", "held_out"], "score", "label")
+    figures = areas.groupBy("point").agg(
+        F.avg(F.when(F.col("held_out"), F.col("auc"))).alias("mean_test"),
+        F.avg(F.when(~F.col("held_out"), F.col("auc"))).alias("mean_train"),
+        F.stddev_pop(F.when(F.col("held_out"), F.col("auc"))).alias("std_test"),
+    )
+    names = scores.sparkSession.createDataFrame(
+        [(i, point_text(p)) for i, p in enumerate(points)], "point int, parameters string"
+    )
+    joined = names.join(figures, "point", "left")
+    return joined.select("point", "parameters", "mean_test", "mean_train", "std_test")
+
+
+def refit_best(df: DataFrame, model: Pipeline, points: Sequence[Mapping], report: DataFrame, label: str):
+    """The best point of a report and its model, fitted to all rows; only for those who ask."""
+    best = report.orderBy(F.desc("mean_test"), "point").first()["point"]
+    use_checkpoints(df.sparkSession)
+    return points[best], _fit_point(model, df, points[best], label)
 
 
 # --- reports --------------------------------------------------------------------------------
@@ -223,6 +250,53 @@ def importances(
     )
 
 
+_SPLIT = "nodeData.split.featureIndex >= 0"
+_NODE = [
+    "treeID AS tree",
+    "nodeData.id AS node",
+    "nodeData.rawCount AS `rows`",
+    "nodeData.impurity",
+    "nodeData.prediction",
+    "nodeData.leftChild AS left_child",
+    "nodeData.rightChild AS right_child",
+    f"CASE WHEN {_SPLIT} THEN nodeData.split.featureIndex END AS feature_number",
+    f"CASE WHEN {_SPLIT} THEN nodeData.gain END AS gain",
+    f"CASE WHEN {_SPLIT} THEN try_element_at(nodeData.split.leftCategoriesOrThreshold, 1) END AS threshold",
+]
+
+
+def tree_nodes(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """The nodes of all trees as rows: ``tree``, ``node``, ``rows``, ``impurity``, ``prediction``,
+    children, and of inner nodes ``feature`` with ``feature_number``, ``gain`` and ``threshold``.
+
+    The model is stored as MLlib stores it; the nodes are read from there, so a forest of any
+    size goes through tasks. ``rows`` are those that reached the node in training.
+    """
+    path = intermediate_path(spark, "trees")
+    model.stages[-1].write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").selectExpr(*_NODE)
+    names = model.stages[0].getInputCols()
+    features = spark.createDataFrame(list(enumerate(names)), "feature_number int, feature string")
+    return nodes.join(features, "feature_number", "left")
+
+
+def split_importances(
+    spark: SparkSession, model: PipelineModel, nodes: DataFrame | None = None
+) -> DataFrame:
+    """How trees use every feature: ``splits``, the number of nodes that split by it, their total
+    ``gain`` and the training ``rows`` that passed them. Unused features have 0 in all three."""
+    nodes = tree_nodes(spark, model) if nodes is None else nodes
+    names = [(n,) for n in model.stages[0].getInputCols()]
+    used = nodes.where("feature IS NOT NULL").groupBy("feature").agg(
+        F.count(F.lit(1)).alias("splits"), F.sum("gain").alias("gain"), F.sum("rows").alias("rows")
+    )
+    every = spark.createDataFrame(names, "feature string").join(used, "feature", "left")
+    return every.select(
+        "feature",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("splits", "gain", "rows")],
+    )
+
+
 def unimportant(tables: Sequence[DataFrame], times: int = 2) -> list[str]:
     """Features without any importance in at least ``times`` of several trainings.
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -165,25 +164,8 @@ def tune_class_weight(
 
     A stratified share of the rows decides in each training when to stop, as in the final one.
     """
-    names, label = split_label(matrix, LABEL, history.CLIENT)
-    folds = _search_folds(matrix, options)
-    reports = []
-    for point, weight in enumerate(weights):
-        weighted = folds.withColumn("weight", trees.class_weight(label, weight))
-        pipeline = trees.boosted_trees(
-            names,
-            label,
-            trees=options.search_trees,
-            validation="is_validation",
-            weight="weight",
-            **options.parameters,
-        )
-        found = trees.search(weighted, pipeline, [{}], label=label)
-        fixed = {"classWeight": weight}
-        reports.append(
-            trees.search_report(found, weighted, label=label, fixed=fixed, first=point)
-        )
-    return trees.last_k(reduce(DataFrame.unionByName, reports), "mean_test", "parameters")
+    points = [{trees.WEIGHT: w} for w in weights]
+    return _searched(matrix, options, points)
 
 
 def tune_at_random(
@@ -193,14 +175,22 @@ def tune_at_random(
     points: int = trees.SEARCH_POINTS,
 ) -> DataFrame:
     """Cross-validated AUC of parameter points drawn from a space, one row a point."""
+    return _searched(matrix, options, trees.random_points(space, points))
+
+
+def search_scores(matrix: DataFrame, options: Options, points: Sequence[Mapping]) -> DataFrame:
+    """Scores of all rows of a stored matrix by every point and fold, see ``model.cross_scores``."""
     names, label = split_label(matrix, LABEL, history.CLIENT)
-    folds = _search_folds(matrix, options)
     pipeline = trees.boosted_trees(
         names, label, trees=options.search_trees, validation="is_validation", **options.parameters
     )
-    drawn = trees.random_points(pipeline, space, points)
-    found = trees.search(folds, pipeline, drawn, label=label)
-    return trees.last_k(trees.search_report(found, folds, label=label), "mean_test", "parameters")
+    folds = _search_folds(matrix, options)
+    return trees.cross_scores(folds, pipeline, points, key=history.CLIENT, label=label)
+
+
+def _searched(matrix: DataFrame, options: Options, points: Sequence[Mapping]) -> DataFrame:
+    report = trees.search_report(search_scores(matrix, options, points), points)
+    return trees.last_k(report, "mean_test", "parameters")
 
 
 @dataclass(frozen=True)
@@ -232,6 +222,9 @@ def score_clients(
         fitted = train_model(train, options)
         write_features(train, f"{output}/train_features")
         write_scores(trees.score(fitted, test, history.CLIENT, LABEL), f"{output}/scores")
-        trees.importances(spark, fitted).write.parquet(f"{output}/importances")
+        shares = trees.importances(spark, fitted)
+        shares.join(trees.split_importances(spark, fitted), "feature").write.parquet(
+            f"{output}/importances"
+        )
     stored = read_csv(spark, f"{output}/scores", {history.CLIENT: "bigint", LABEL: "double"})
     return ScoringRun(fitted, stored, report)

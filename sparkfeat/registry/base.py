@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkfeat.sources.tables import load_table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,6 +25,22 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+# What a query has trained, for the queries that state facts on it: nothing is trained twice.
+_kept: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, sf: str, tables, name: str, build, again: bool = False):
+    """The result of ``build``, made once for a session and the files of some of a folder's tables.
+
+    With ``again`` it is made anew, and what is kept is replaced.
+    """
+    files = [f for t in tables for f in sorted(load_table(spark, sf, t).inputFiles())]
+    key = (spark.sparkContext.applicationId, name, *files)
+    if again or key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
 def cents(column: str) -> Column:
     """Money as whole cents, so that sums and means do not depend on the order of rows."""
     return F.rint(F.col(column) * 100).cast("double")

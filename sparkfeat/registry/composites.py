@@ -16,7 +16,8 @@ from sparkfeat.operators import model as M
 from sparkfeat.operators.expand import bin_labels
 from sparkfeat.operators.split import hash_split
 from sparkfeat.plans import application, history, scoring
-from sparkfeat.registry.base import inside, number_class, register, sql_class, sql_finite, sql_ratio
+from sparkfeat.registry.base import inside, kept, number_class, register, sql_class, sql_finite, sql_ratio
+from sparkfeat.sources.store import materialize
 from sparkfeat.sources.tables import load_table
 
 _CLIENT = "CASE WHEN o_custkey % 97 <> 0 THEN o_custkey END"
@@ -591,18 +592,22 @@ def _(spark, sf):
     return _full_matrix(spark, sf, scoring.VARIANTS["polynomial"])
 
 
-def _client_scores(spark, sf) -> DataFrame:
+def _client_scores(spark, sf, again: bool) -> DataFrame:
     # The role of the label follows from a column: its loss falls for ever, below 1 % is the end.
     small = {"maxDepth": 3, "minInstancesPerNode": 5, "validationTol": 0.01}
     options = scoring.Options(parameters=small)
-    train, test = _full_matrices(spark, sf, options)
-    return M.score(scoring.train_model(train, options), test, "SK_ID_CURR")
+
+    def build():
+        train, test = _full_matrices(spark, sf, options)
+        return materialize(M.score(scoring.train_model(train, options), test, "SK_ID_CURR"), "scores")
+
+    return kept(spark, sf, ("customer", "orders", "lineitem", "events"), "client scores", build, again)
 
 
 @register("score_like")
 def _(spark, sf):
     """From role tables, five histories among them, to one score per client to be scored."""
-    return _client_scores(spark, sf)
+    return _client_scores(spark, sf, again=True)
 
 
 @register(
@@ -612,5 +617,21 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """What SQL can say about the scores: each client to be scored has one, a probability."""
-    scores = _client_scores(spark, sf)
+    scores = _client_scores(spark, sf, again=False)
     return scores.select("SK_ID_CURR", F.col("TARGET").between(0, 1).alias("is_probability"))
+
+
+@register(
+    "score_like_decisions",
+    f"""SELECT SK_ID_CURR, CASE WHEN abs(c_acctbal - 5000) > 1000 THEN c_acctbal > 5000 END AS says_yes
+        FROM ({_MARKED}) JOIN customer ON c_custkey = SK_ID_CURR
+        WHERE NOT is_train AND CODE_GENDER IS DISTINCT FROM 'XNA'""",
+)
+def _(spark, sf):
+    """The label follows from a column that the model is not told of: it is found on all clients
+    to be scored that are not near the border."""
+    balances = load_table(spark, sf, "customer").selectExpr(
+        "c_custkey AS SK_ID_CURR", "abs(c_acctbal - 5000) > 1000 AS is_clear"
+    )
+    scores = _client_scores(spark, sf, again=False).join(balances, "SK_ID_CURR")
+    return scores.select("SK_ID_CURR", F.when(F.col("is_clear"), F.col("TARGET") > 0.5).alias("says_yes"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from sparkfeat.operators import model as M
 from sparkfeat.operators.columns import fill_final, plain_names, split_label
 from sparkfeat.operators.encode import levels, one_hot
+from sparkfeat.operators.evaluate import grouped_auc
 from sparkfeat.operators.split import SEED, k_fold, stratified_split
-from sparkfeat.registry.base import register
+from sparkfeat.registry.base import kept, register
 from sparkfeat.sources.store import materialize
 from sparkfeat.sources.tables import load_table
 
@@ -83,30 +84,38 @@ def _(spark, sf):
     return spark.createDataFrame([(round(M.auc(scored, "n_chars", "quality"), 9),), ], "auc double")
 
 
-def _scores(spark, sf) -> DataFrame:
-    fitted = _trained(_training_table(spark, sf))
-    return M.score(fitted, every_document(spark, sf), "doc_id", "score")
+def _model(spark, sf, again: bool):
+    return kept(spark, sf, ("documents", "labels"), "model", lambda: _trained(_training_table(spark, sf)), again)
+
+
+def _scores(spark, sf, again: bool) -> DataFrame:
+    return M.score(_model(spark, sf, again), every_document(spark, sf), "doc_id", "score")
 
 
 @register("gbt_scores")
 def _(spark, sf):
     """Scores of all documents, learned from the labelled ones."""
-    return _scores(spark, sf)
+    return _scores(spark, sf, again=True)
 
 
 @register("gbt_score_facts", "SELECT doc_id, true AS is_probability FROM documents")
 def _(spark, sf):
     """What SQL can say about the scores: every document has one, and it is a probability."""
-    return _scores(spark, sf).select("doc_id", F.col("score").between(0, 1).alias("is_probability"))
+    return _scores(spark, sf, again=False).select(
+        "doc_id", F.col("score").between(0, 1).alias("is_probability")
+    )
 
 
-def _importances(spark, sf) -> DataFrame:
-    return M.importances(spark, _trained(_training_table(spark, sf)))
+@register("importances")
+def _(spark, sf):
+    return M.top_k(M.importances(spark, _model(spark, sf, again=True)), "importance", "feature", 20)
 
 
-@register("importances")
+@register("split_importances")
 def _(spark, sf):
-    return M.top_k(_importances(spark, sf), "importance", "feature", 20)
+    """How often the trees split by every feature, and what that gained."""
+    found = M.split_importances(spark, _model(spark, sf, again=True))
+    return M.top_k(found, "splits", "feature", 20)
 
 
 @register(
@@ -116,7 +125,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Every feature has an importance, and all of them add up to 1."""
-    return _importances(spark, sf).agg(
+    return M.importances(spark, _model(spark, sf, again=False)).agg(
         F.count(F.lit(1)).alias("features"),
         F.bool_and(F.col("importance").between(0, 1)).alias("are_shares"),
         F.round(F.sum("importance"), 9).alias("total"),
@@ -175,6 +184,62 @@ def _(spark, sf):
     return tables[0].where(F.col("feature").isin(names)).select("feature")
 
 
+def _one_tree(spark, sf) -> DataFrame:
+    """The nodes of one tree grown on every document of the planted table."""
+    table = _planted_table(spark, sf)
+    names, label = split_label(table, "answer", "doc_id")
+    model = M.train(table, M.boosted_trees(names, label, trees=1, **PLANTED))
+    return M.tree_nodes(spark, model)
+
+
+# A class is +1 or -1, and a split's gain is the variance it takes from them.
+_SPREAD = "avg(y * y) - avg(y) * avg(y)"
+
+
+@register(
+    "tree_root",
+    f"""WITH rows AS (SELECT CASE WHEN {_PLANTED_RULE} THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y,
+                             coalesce(lang = 'en', false) AS is_en, coalesce(lang = 'de', false) AS is_de,
+                             coalesce(source >= 'src2', false) AS is_late FROM documents),
+             sides AS (SELECT feature, side, count(*) AS n, {_SPREAD} AS spread FROM
+                       (SELECT y, unnest([{{'feature': 'is_en', 'side': is_en}}, {{'feature': 'is_de', 'side': is_de}},
+                                          {{'feature': 'is_late', 'side': is_late}}], recursive := true) FROM rows)
+                       GROUP BY feature, side),
+             gains AS (SELECT feature, (SELECT {_SPREAD} FROM rows) - sum(n * spread) / sum(n) AS gain,
+                              CAST(sum(n) AS BIGINT) AS "rows" FROM sides GROUP BY feature)
+        SELECT feature, round(gain, 9) AS gain, "rows" FROM gains ORDER BY gains.gain DESC LIMIT 1""",
+)
+def _(spark, sf):
+    """The first split of a tree: the feature that takes most variance, and how much."""
+    root = _one_tree(spark, sf).where("node = 0")
+    return root.select("feature", F.round("gain", 9).alias("gain"), "rows")
+
+
+@register(
+    "tree_node_facts",
+    f"""WITH cells AS (SELECT DISTINCT coalesce(lang = 'en', false) AS is_en, coalesce(lang = 'de', false) AS is_de,
+                              coalesce(source >= 'src2', false) AS is_late, {_PLANTED_RULE} AS answer FROM documents),
+             used AS (SELECT feature, bool_or(a.answer <> b.answer) AS used FROM cells a JOIN cells b ON true,
+                      (VALUES ('is_en'), ('is_de'), ('is_late')) AS f(feature)
+                      WHERE (a.is_en = b.is_en) = (feature <> 'is_en') AND (a.is_de = b.is_de) = (feature <> 'is_de')
+                        AND (a.is_late = b.is_late) = (feature <> 'is_late') GROUP BY feature)
+        SELECT f.feature, coalesce(used, false) AS is_used, coalesce(used, false) AS has_gain,
+               (SELECT count(*) FROM documents) AS root_rows
+        FROM (VALUES ('is_en'), ('is_de'), ('is_late'), ('five')) AS f(feature) LEFT JOIN used USING (feature)""",
+)
+def _(spark, sf):
+    """A tree on the planted rule splits by the features that the answer depends on, by no other."""
+    table = _planted_table(spark, sf)
+    names, label = split_label(table, "answer", "doc_id")
+    model = M.train(table, M.boosted_trees(names, label, trees=1, **PLANTED))
+    nodes = M.tree_nodes(spark, model)
+    root = nodes.where("node = 0").select(F.col("rows").alias("root_rows"))
+    found = M.split_importances(spark, model, nodes).crossJoin(F.broadcast(root))
+    return found.select(
+        "feature", (F.col("splits") > 0).alias("is_used"), (F.col("gain") > 0).alias("has_gain"), "root_rows"
+    )
+
+
 # --- search ---------------------------------------------------------------------------------
 
 
@@ -195,22 +260,25 @@ def _search_trees(names, label, **options):
     )
 
 
-def _weight_report(spark, sf) -> DataFrame:
-    table, names, label = _folds(spark, sf)
-    reports = []
-    for point, weight in enumerate((1.0, M.CLASS_WEIGHT)):
-        weighted = table.withColumn("weight", M.class_weight(label, weight))
-        found = M.search(weighted, _search_trees(names, label, weight="weight"), [{}], label=label)
-        fixed = {"classWeight": weight}
-        reports.append(M.search_report(found, weighted, label=label, fixed=fixed, first=point))
-    return M.last_k(reports[0].unionByName(reports[1]), "mean_test", "point")
+_WEIGHTS = [{M.WEIGHT: 1.0}, {M.WEIGHT: M.CLASS_WEIGHT}]
 
 
-def _random_report(spark, sf) -> DataFrame:
+def _search_scores(spark, sf, points) -> DataFrame:
     table, names, label = _folds(spark, sf)
-    pipeline = _search_trees(names, label)
-    found = M.search(table, pipeline, M.random_points(pipeline, M.SEARCH_SPACE), label=label)
-    return M.last_k(M.search_report(found, table, label=label), "mean_test", "point")
+    return M.cross_scores(table, _search_trees(names, label), points, key="doc_id", label=label)
+
+
+def _report(spark, sf, name: str, points, again: bool) -> DataFrame:
+    scores = kept(spark, sf, ("documents", "labels"), name, lambda: _search_scores(spark, sf, points), again)
+    return M.last_k(M.search_report(scores, points), "mean_test", "point")
+
+
+def _weight_report(spark, sf, again: bool) -> DataFrame:
+    return _report(spark, sf, "weights", _WEIGHTS, again)
+
+
+def _random_report(spark, sf, again: bool) -> DataFrame:
+    return _report(spark, sf, "random", M.random_points(M.SEARCH_SPACE), again)
 
 
 def _report_facts(report: DataFrame) -> DataFrame:
@@ -226,7 +294,7 @@ def _report_facts(report: DataFrame) -> DataFrame:
 @register("cv_report")
 def _(spark, sf):
     """Class weights by search: one row a weight, three folds."""
-    return _weight_report(spark, sf)
+    return _weight_report(spark, sf, again=True)
 
 
 @register(
@@ -236,12 +304,12 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """One row a weight, with figures that can be an AUC."""
-    return _report_facts(_weight_report(spark, sf))
+    return _report_facts(_weight_report(spark, sf, again=False))
 
 
 @register("random_search")
 def _(spark, sf):
-    return _random_report(spark, sf)
+    return _random_report(spark, sf, again=True)
 
 
 @register(
@@ -251,7 +319,77 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Two points of two possible ones: each is drawn once."""
-    return _report_facts(_random_report(spark, sf))
+    return _report_facts(_random_report(spark, sf, again=False))
+
+
+# A rule with every tenth answer turned over, and folds by number: what trees can learn is the rule,
+# so a decision by score is the rule, and its area in a fold follows from the turned answers.
+_NOISY = f"({_PLANTED_RULE}) <> (doc_id % 10 = 3)"
+
+
+@register(
+    "out_of_fold_planted",
+    f"""WITH rows AS (SELECT doc_id % 3 AS fold, {_PLANTED_RULE} AS says, {_NOISY} AS answer FROM documents),
+             parts AS (SELECT f.fold, rows.fold = f.fold AS held_out, says, answer
+                       FROM rows, (VALUES (0), (1), (2)) AS f(fold)),
+             rates AS (SELECT fold, held_out, count(*) FILTER (WHERE answer) AS positives,
+                              count(*) FILTER (WHERE NOT answer) AS negatives,
+                              count(*) FILTER (WHERE answer AND says) AS hits,
+                              count(*) FILTER (WHERE NOT answer AND says) AS alarms FROM parts GROUP BY ALL)
+        SELECT CAST(fold AS INTEGER) AS fold, held_out, positives, negatives,
+               round((hits * (negatives - alarms) + 0.5 * hits * alarms
+                      + 0.5 * (positives - hits) * (negatives - alarms)) / (positives * negatives), 9) AS auc
+        FROM rates""",
+)
+def _(spark, sf):
+    """Areas of decisions by cross-validated trees, of held-out and of training rows of every fold."""
+    rows = load_table(spark, sf, "documents").selectExpr(
+        "doc_id",
+        f"CAST({_NOISY} AS INT) AS answer",
+        "CAST(doc_id % 3 AS INT) AS fold",
+        "CAST(coalesce(lang = 'en', false) AS INT) AS is_en",
+        "CAST(coalesce(lang = 'de', false) AS INT) AS is_de",
+        "CAST(coalesce(source >= 'src2', false) AS INT) AS is_late",
+    )
+    options = {**PLANTED, "minInstancesPerNode": 5}
+    pipeline = M.boosted_trees(["is_en", "is_de", "is_late"], "answer", trees=1, **options)
+    table = materialize(rows, "noisy")
+    scores = M.cross_scores(table, pipeline, [{}], key="doc_id", label="answer")
+    decided = scores.withColumn("decision", (F.col("score") > 0.5).cast("int"))
+    areas = grouped_auc(decided, ["fold", "held_out"], "decision", "label")
+    return areas.withColumn("auc", F.round("auc", 9))
+
+
+@register(
+    "grouped_auc",
+    """WITH scored AS (SELECT m.model, doc_id % 4 AS part, quality,
+                              CASE m.model WHEN 'length' THEN n_chars WHEN 'source' THEN ascii(substr(source, 4))
+                                           ELSE 7 END AS score
+                       FROM labels JOIN documents USING (doc_id), (VALUES ('length'), ('source'), ('none')) AS m(model)),
+            ranked AS (SELECT *, rank() OVER (PARTITION BY model, part ORDER BY score)
+                              + (count(*) OVER (PARTITION BY model, part, score) - 1) / 2.0 AS r FROM scored),
+            sums AS (SELECT model, part, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality = 0) AS q,
+                            sum(r) FILTER (WHERE quality = 1) AS ranks FROM ranked GROUP BY model, part)
+       SELECT model, part, p AS positives, q AS negatives,
+              round(CASE WHEN p * q > 0 THEN (ranks - p * (p + 1) / 2.0) / (p * q) END, 9) AS auc FROM sums""",
+)
+def _(spark, sf):
+    """Areas of several scores on several parts of the rows, one of them with nothing but ties."""
+    documents = load_table(spark, sf, "documents").select("doc_id", "n_chars", "source")
+    joined = load_table(spark, sf, "labels").join(documents, "doc_id")
+    scores = F.inline(
+        F.array(
+            *[
+                F.struct(F.lit(name).alias("model"), score.cast("double").alias("score"))
+                for name, score in {
+                    "length": F.col("n_chars"), "source": F.ascii(F.substring("source", 4, 1)), "none": F.lit(7),
+                }.items()
+            ]
+        )
+    )
+    rows = joined.select((F.col("doc_id") % 4).alias("part"), "quality", scores)
+    areas = grouped_auc(rows, ["model", "part"], "score", "quality")
+    return areas.withColumn("auc", F.round("auc", 9))
 
 
 @register(

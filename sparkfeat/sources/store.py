@@ -37,13 +37,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def intermediate_path(spark: SparkSession, label: str) -> str:
+    """A path for something that :func:`intermediate_tables` removes."""
+    path = scratch_path(spark, label)
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back; for results that several later jobs scan."""
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = intermediate_path(spark, label)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,14 +7,16 @@ from check import compare, connect
 from sparkfeat.registry import ORACLES, QUERIES
 
 TRAINING = {
-    "gbt_scores", "importances", "unimportant_features", "cv_report", "random_search", "score_like",
+    "gbt_scores", "importances", "split_importances", "unimportant_features", "cv_report",
+    "random_search", "score_like",
 }
 
 
 # Facts about trained models; their plans end in the same scoring step.
 FACTS = {
     "gbt_score_facts", "gbt_planted", "importance_facts", "unimportant_planted", "cv_report_facts",
-    "random_search_facts", "score_like_facts",
+    "random_search_facts", "score_like_facts", "score_like_decisions", "out_of_fold_planted",
+    "tree_root", "tree_node_facts",
 }
 
 

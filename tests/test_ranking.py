@@ -72,7 +72,7 @@ def test_a_large_group_spans_many_parts(spark):
     setting = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(setting, "false")  # parts this small would be put together again
     try:
-        ranked = ranking._sorted_parts(df.withColumnRenamed("x", "value"), ["g"])
+        ranked = ranking._in_parts(df.withColumnRenamed("x", "value"), ["g"], [F.count(F.lit(1)).alias("weight")])
         sizes = [r["count"] for r in ranked.groupBy("part").count().collect()]
         assert len(sizes) > 1 and max(sizes) < 15_000
         assert median(df, ["g"], "x").first()["median"] == df.agg(F.median("x")).first()[0]

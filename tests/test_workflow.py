@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparkfeat.plans import history, scoring
 from sparkfeat.sources.tables import load_loan_table
@@ -299,15 +300,85 @@ def test_reported_auc_is_that_of_ranks(matrices):
     folds = scoring._search_folds(train, options)
     names = [c for c in train.columns if c not in ("SK_ID_CURR", "TARGET")]
     pipeline = trees.boosted_trees(names, "TARGET", trees=3, validation="is_validation", **SMALL_TREES)
-    found = trees.search(folds, pipeline, [{}], label="TARGET")
-    areas = []
-    for n, models in enumerate(found.subModels):
-        held = folds.where(f"fold = {n}").withColumn("label", folds.TARGET)
-        scored = trees.score(models[0], held, "SK_ID_CURR", "s").join(held, "SK_ID_CURR").toPandas()
-        ranks, yes = scored.s.rank(), scored.label == 1
+    points = [{}, {"classWeight": 12.0, "maxDepth": 1}]
+    scores = trees.cross_scores(folds, pipeline, points, key="SK_ID_CURR", label="TARGET")
+    rows = scores.toPandas()
+    assert len(rows) == 2 * 3 * folds.count() and rows.held_out.mean() == pytest.approx(1 / 3)
+    held = rows[rows.held_out].merge(folds.select("SK_ID_CURR", "fold").toPandas(), left_on="key", right_on="SK_ID_CURR")
+    assert (held.fold_x == held.fold_y).all() and held.groupby("point").SK_ID_CURR.nunique().eq(folds.count()).all()
+    model = trees.train(folds.where("fold <> 1"), pipeline)
+    again = trees.score(model, folds, "SK_ID_CURR", "s").toPandas().set_index("SK_ID_CURR").s
+    mine = rows[(rows.point == 0) & (rows.fold == 1)].set_index("key").score
+    assert again.sort_index().to_list() == pytest.approx(mine.sort_index().to_list())
+
+    def area(part):
+        ranks, yes = part.score.rank(), part.label == 1
         p, q = yes.sum(), (~yes).sum()
-        areas.append((ranks[yes].sum() - p * (p + 1) / 2) / (p * q))
-    assert found.avgMetrics[0] == pytest.approx(np.mean(areas))
+        return (ranks[yes].sum() - p * (p + 1) / 2) / (p * q)
+
+    areas = rows.groupby(["point", "held_out", "fold"]).apply(area, include_groups=False)
+    for r in trees.search_report(scores, points).collect():
+        assert r.mean_test == pytest.approx(areas[r.point, True].mean())
+        assert r.mean_train == pytest.approx(areas[r.point, False].mean())
+        assert r.std_test == pytest.approx(areas[r.point, True].std(ddof=0))
+    assert r.parameters == "classWeight=12.0, maxDepth=1"
+
+
+def test_report_equals_sql_over_the_stored_scores(spark, matrices):
+    import duckdb
+
+    from sparkfeat.operators import model as trees
+
+    (train, _), options = matrices
+    points = [{"subsamplingRate": 0.8}, {"subsamplingRate": 1.0}]
+    scores = scoring.search_scores(train, options, points)
+    stored = scores.toPandas()  # noqa: F841  (read by the SQL below)
+    want = duckdb.sql(
+        """WITH ranked AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY point, fold, held_out, score) - 1) / 2.0 AS r
+                           FROM stored WINDOW w AS (PARTITION BY point, fold, held_out ORDER BY score)),
+                areas AS (SELECT point, fold, held_out,
+                                 (sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2)
+                                 / (sum(label) * (count(*) - sum(label))) AS auc FROM ranked GROUP BY ALL)
+           SELECT point, avg(auc) FILTER (WHERE held_out), avg(auc) FILTER (WHERE NOT held_out),
+                  stddev_pop(auc) FILTER (WHERE held_out) FROM areas GROUP BY point ORDER BY point"""
+    ).fetchall()
+    got = trees.search_report(scores, points).orderBy("point").collect()
+    for row, (point, *figures) in zip(got, want, strict=True):
+        assert (row.point, row.mean_test, row.mean_train, row.std_test) == (
+            point, *(pytest.approx(f) for f in figures)
+        )
+    pipeline = trees.boosted_trees(
+        [c for c in train.columns if c not in ("SK_ID_CURR", "TARGET")], "TARGET", trees=2, **SMALL_TREES
+    )
+    best, model = trees.refit_best(train, pipeline, points, trees.search_report(scores, points), "TARGET")
+    top = max(got, key=lambda r: (r.mean_test, -r.point))
+    assert best == points[top.point]
+    assert model.stages[-1].getOrDefault("subsamplingRate") == best["subsamplingRate"]
+
+
+def test_nodes_are_those_of_the_trees(spark, matrices):
+    """The stored nodes against the text that MLlib prints of the same trees."""
+    import re
+
+    from sparkfeat.operators import model as trees
+
+    (train, _), options = matrices
+    fitted = scoring.train_model(train, options)
+    nodes = trees.tree_nodes(spark, fitted)
+    printed = re.findall(r"If \(feature (\d+) <=", fitted.stages[-1].toDebugString)
+    names = fitted.stages[0].getInputCols()
+    counts = {}
+    for number in printed:
+        counts[names[int(number)]] = counts.get(names[int(number)], 0) + 1
+    found = {r.feature: r for r in trees.split_importances(spark, fitted, nodes).collect()}
+    assert set(found) == set(names)
+    assert {n: r.splits for n, r in found.items() if r.splits} == counts and counts
+    assert all((r.gain > 0) == (r.splits > 0) == (r.rows > 0) for r in found.values())
+    pairs = nodes.alias("a").join(nodes.alias("b"), "tree").where("a.left_child = b.node OR a.right_child = b.node")
+    sums = pairs.groupBy("tree", "a.node", "a.rows").agg(F.sum("b.rows").alias("below")).collect()
+    assert sums and all(r["rows"] == r["below"] for r in sums)
+    leaves = nodes.where("feature IS NULL")
+    assert leaves.where("gain IS NOT NULL OR threshold IS NOT NULL").count() == 0
 
 
 def test_scores_are_written_for_every_client(spark, data, matrices, tmp_path):
