@@ -22,6 +22,10 @@ def arguments(argv=None) -> argparse.Namespace:
     parser.add_argument("--trees", type=int, help="largest number of trees")
     parser.add_argument("--drop-list", help="text file with one unwanted column per line")
     parser.add_argument("--max-levels", type=int, help="most levels of a category that become columns")
+    parser.add_argument(
+        "--sparse-levels", action="store_true", help="columns with more levels become sparse vectors"
+    )
+    parser.add_argument("--client-buckets", type=int, help="store histories in buckets of clients")
     parser.add_argument(
         "--tune", nargs="?", const="weights", choices=["weights", "random"],
         help="also report class weight 12, or points drawn at random, by cross-validation",
@@ -37,6 +41,10 @@ def main(argv=None) -> None:
         options = replace(options, trees=args.trees)
     if args.max_levels:
         options = replace(options, max_levels=args.max_levels)
+    if args.sparse_levels:
+        options = replace(options, sparse_levels=True)
+    if args.client_buckets:
+        options = replace(options, client_buckets=args.client_buckets)
     if args.drop_list:
         names = [r.value for r in spark.read.text(args.drop_list).collect()]
         options = replace(options, unwanted=names)

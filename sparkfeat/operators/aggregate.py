@@ -276,3 +276,43 @@ def two_level(
     named = parents.where(as_column(parent_key).isNotNull()).join(rolled, parent_key, "left")
     nameless = parents.where(as_column(parent_key).isNull()).withColumns(added)
     return named.unionByName(nameless), list(added)
+
+
+# --- distinct counts that merge -------------------------------------------------------------
+
+#: A sketch of 2^12 registers: a standard error of 1.6 % on counts beyond a few hundred.
+SKETCH_BITS = 12
+
+
+def distinct_sketches(
+    df: DataFrame, key: str | Sequence[str], columns: Sequence[str], bits: int = SKETCH_BITS
+) -> DataFrame:
+    """One sketch of the distinct values of each column per key, combined before the shuffle.
+
+    Where ``nunique`` shuffles every distinct value, this moves a few kilobytes per key and task.
+    Sketches of the same ``bits`` unite, over appended parts or over a further level of keys.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    present = df
+    for k in keys:
+        present = present.where(as_column(k).isNotNull())
+    return present.groupBy(*[as_column(k) for k in keys]).agg(
+        *[F.hll_sketch_agg(as_column(c), F.lit(bits)).alias(c) for c in columns]
+    )
+
+
+def unite_sketches(sketches: DataFrame, key: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Sketches of a coarser key, or of the same key from several parts."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return sketches.groupBy(*[as_column(k) for k in keys]).agg(
+        *[F.hll_union_agg(as_column(c)).alias(c) for c in columns]
+    )
+
+
+def sketch_counts(sketches: DataFrame, columns: Sequence[str], prefix: str = "") -> DataFrame:
+    """Sketches replaced by the number of distinct values that they stand for."""
+    kept = [as_column(c) for c in sketches.columns if c not in columns]
+    counts = [
+        F.hll_sketch_estimate(as_column(c)).alias(output_name(prefix, c, "nunique")) for c in columns
+    ]
+    return sketches.select(*kept, *counts)

@@ -16,7 +16,7 @@ from sparkfeat.sources.store import materialize
 MAX_LEVELS = 1000
 
 
-def _column_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def column_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct (column, level) pairs of all columns; repeats are dropped before the shuffle."""
     pairs = F.inline(
         F.array(*[F.struct(F.lit(c).alias("column"), as_column(c).alias("level")) for c in columns])
@@ -36,7 +36,7 @@ def levels(
     if not columns:
         return {}
     bound = max_levels * len(columns)
-    rows = _column_levels(df, columns).limit(bound + 1).collect()
+    rows = column_levels(df, columns).limit(bound + 1).collect()
     found: dict[str, list[str]] = {c: [] for c in columns}
     for row in rows:
         found[row["column"]].append(row["level"])
@@ -54,7 +54,7 @@ def level_catalogue(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     place in its part plus the column's levels in the parts before.
     """
     columns = list(columns) if columns is not None else string_columns(df)
-    found = _column_levels(df, columns).repartitionByRange("column", "level")
+    found = column_levels(df, columns).repartitionByRange("column", "level")
     parts = materialize(found.withColumn("part", F.spark_partition_id()), "levels")
     sizes = parts.groupBy("column", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -239,11 +239,20 @@ def refit_best(df: DataFrame, model: Pipeline, points: Sequence[Mapping], report
 # --- reports --------------------------------------------------------------------------------
 
 
+def feature_names(model: PipelineModel) -> list[str]:
+    """A name for every number of the feature vector; only the last column may be a vector."""
+    names, size = model.stages[0].getInputCols(), model.stages[-1].numFeatures
+    if size == len(names):
+        return list(names)
+    *single, last = names
+    return [*single, *(f"{last}[{i}]" for i in range(size - len(single)))]
+
+
 def importances(
     spark: SparkSession, model: PipelineModel, names: Sequence[str] | None = None
 ) -> DataFrame:
     """Importance per feature: gain-based, adding up to 1."""
-    names = names or model.stages[0].getInputCols()
+    names = names or feature_names(model)
     weights = model.stages[-1].featureImportances.toArray()
     return spark.createDataFrame(
         [(n, float(w)) for n, w in zip(names, weights)], "feature string, importance double"
@@ -275,7 +284,7 @@ def tree_nodes(spark: SparkSession, model: PipelineModel) -> DataFrame:
     path = intermediate_path(spark, "trees")
     model.stages[-1].write().save(path)
     nodes = spark.read.parquet(f"{path}/data").selectExpr(*_NODE)
-    names = model.stages[0].getInputCols()
+    names = feature_names(model)
     features = spark.createDataFrame(list(enumerate(names)), "feature_number int, feature string")
     return nodes.join(features, "feature_number", "left")
 
@@ -286,7 +295,7 @@ def split_importances(
     """How trees use every feature: ``splits``, the number of nodes that split by it, their total
     ``gain`` and the training ``rows`` that passed them. Unused features have 0 in all three."""
     nodes = tree_nodes(spark, model) if nodes is None else nodes
-    names = [(n,) for n in model.stages[0].getInputCols()]
+    names = [(n,) for n in feature_names(model)]
     used = nodes.where("feature IS NOT NULL").groupBy("feature").agg(
         F.count(F.lit(1)).alias("splits"), F.sum("gain").alias("gain"), F.sum("rows").alias("rows")
     )

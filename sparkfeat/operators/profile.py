@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +82,29 @@ def range_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return bounds.select(F.inline(F.array(*entries)))
 
 
+def classes_of_ranges(
+    ranges: dict[str, tuple[float | None, float | None]], integers: set[str]
+) -> dict[str, str]:
+    """Type class of columns with known minimum and maximum."""
+
+    def class_of(c, low, high):
+        if c not in integers:
+            return float_class(low, high)
+        fits = [n for n, (a, b) in INTEGER_BOUNDS.items() if low is not None and a < low and high < b]
+        return fits[0] if fits else "int64"
+
+    return {c: class_of(c, *ends) for c, ends in ranges.items()}
+
+
+def profile_rows(spark: SparkSession, ranges: dict, integers: set[str]) -> DataFrame:
+    """The rows of :func:`range_profile` from known ranges."""
+    number = lambda x: None if x is None else float(x)
+    classes = classes_of_ranges(ranges, integers)
+    rows = [(c, number(low), number(high), classes[c]) for c, (low, high) in ranges.items()]
+    schema = "column_name string, min_value double, max_value double, type_class string"
+    return spark.createDataFrame(rows, schema)
+
+
 def type_classes(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
     """Type class per numeric column; one job, one row per column on the driver."""
     return {r["column_name"]: r["type_class"] for r in range_profile(df, columns).collect()}

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.functions import ieee_div, positive_part
-from sparkfeat.functions.missing import text_literal
+from sparkfeat.functions.missing import sentinel_to_null, text_literal
 from sparkfeat.operators.aggregate import (
     Subset,
     aggregate,
@@ -19,7 +19,8 @@ from sparkfeat.operators.aggregate import (
 from sparkfeat.operators.columns import drop_strict, sentinels_to_null
 from sparkfeat.operators.encode import MAX_LEVELS
 from sparkfeat.operators.encode import levels as find_levels
-from sparkfeat.operators.fitted import sigma_clip
+from sparkfeat.operators.fitted import apply_sigma_clip, sigma_clip
+from sparkfeat.operators.observed import Statistics
 
 KnownLevels = Mapping[str, Sequence[str]] | None
 
@@ -87,6 +88,17 @@ def _levels(df: DataFrame, known: KnownLevels, most: int) -> dict:
     return with_missing_level(found)
 
 
+def _clipped(df: DataFrame, trigger: float, statistics: Statistics | None) -> DataFrame:
+    if statistics is None:
+        return sigma_clip(df, trigger=trigger)
+    return apply_sigma_clip(df, statistics.clip(), trigger=trigger)
+
+
+def known_days() -> dict[str, Column]:
+    """The day columns of earlier applications without the number that means "unknown"."""
+    return {c: sentinel_to_null(c, UNKNOWN_DAYS) for c in PREVIOUS_SENTINEL_DAYS}
+
+
 def bureau_features(
     bureau: DataFrame,
     balance: DataFrame,
@@ -96,14 +108,16 @@ def bureau_features(
     balance_levels: KnownLevels = None,
     subsets: Mapping[str, str] = BUREAU_SUBSETS,
     max_levels: int = MAX_LEVELS,
+    statistics: Statistics | None = None,
 ) -> DataFrame:
     """External credits per client: months roll up to credits, credits to clients.
 
     All credits and the active and closed ones are aggregated in one pass, on the raw status.
+    With the ``statistics`` of the credits no scan is needed to clip them.
     """
     status = _levels(balance, balance_levels, max_levels)
     credits, added = two_level(
-        balance, sigma_clip(bureau, trigger=trigger), CREDIT, BALANCE_SPEC, status
+        balance, _clipped(bureau, trigger, statistics), CREDIT, BALANCE_SPEC, status
     )
     status_means = [c for c in added if c not in BUREAU_SPEC]
     return aggregate(
@@ -128,12 +142,14 @@ def previous_features(
     known_levels: KnownLevels = None,
     subsets: Mapping[str, str] = PREVIOUS_SUBSETS,
     max_levels: int = MAX_LEVELS,
+    statistics: Statistics | None = None,
 ) -> DataFrame:
     """Earlier applications per client: all, approved and refused ones in one pass.
 
     The "unknown day" number becomes missing before clipping, so that it does not move mean and
     deviation; ``clip_first`` does it the other way round. ``approval_rate`` adds the client's
-    number of applications, of approved ones, and their ratio.
+    number of applications, of approved ones, and their ratio. ``statistics`` of the table, with
+    unknown days missing (see :func:`known_days`), spare the scan that clipping needs.
     """
     found = _levels(previous, known_levels, max_levels)
     if clip_first:
@@ -142,7 +158,7 @@ def previous_features(
     if days:
         previous = sentinels_to_null(previous, days, UNKNOWN_DAYS)
     if not clip_first:
-        previous = sigma_clip(previous, trigger=trigger)
+        previous = _clipped(previous, trigger, statistics)
     previous = previous.withColumn("APP_CREDIT_PERC", ieee_div("AMT_APPLICATION", "AMT_CREDIT"))
     status = "NAME_CONTRACT_STATUS"
     cuts = [Subset(p, f"{status} = {text_literal(v)}") for p, v in subsets.items()]

@@ -13,10 +13,12 @@ from sparkfeat.operators import model as trees
 from sparkfeat.operators.columns import drop_lenient, fill_final, plain_names, split_label
 from sparkfeat.operators.encode import MAX_LEVELS
 from sparkfeat.operators.joins import assemble
+from sparkfeat.operators.observed import Statistics, load_loan_observed
 from sparkfeat.operators.profile import narrow
+from sparkfeat.operators.sparse import level_index, or_empty, sparse_vectors, wide_columns, wide_rates
 from sparkfeat.operators.split import SEED, k_fold, stratified_split
 from sparkfeat.plans import application, history
-from sparkfeat.sources.store import intermediate_tables, materialize
+from sparkfeat.sources.store import intermediate_tables, materialize, store_bucketed
 from sparkfeat.sources.tables import load_loan_table, read_csv, write_features, write_scores
 
 LABEL = "TARGET"
@@ -25,6 +27,9 @@ HISTORY_TABLES = [
     "installments_payments", "credit_card_balance",
 ]
 IN_TRAIN = "in_train"
+LEVELS = "LEVELS"
+# Categories that the plans select, filter or look up by.
+NAMED = {"CREDIT_ACTIVE", "NAME_CONTRACT_STATUS", "CODE_GENDER", "ORGANIZATION_TYPE"}
 
 
 @dataclass(frozen=True)
@@ -37,6 +42,10 @@ class Options:
     narrow_integers: bool = False
     unwanted: Sequence[str] = ()
     max_levels: int = MAX_LEVELS
+    # Columns with more levels become part of one sparse vector per client instead of an error.
+    sparse_levels: bool = False
+    # With a number, histories are stored in as many buckets of clients, and assembly moves none.
+    client_buckets: int | None = None
     search_trees: int = trees.SEARCH_TREES
     trees: int = trees.FINAL_TREES
     test_share: float = 0.2
@@ -52,27 +61,51 @@ VARIANTS = {
 }
 
 
-def history_features(spark: SparkSession, directory: str, options: Options) -> list[DataFrame]:
-    """The five feature tables of the history tables, one row per client each."""
-
-    def table(name):
-        return load_loan_table(spark, directory, name)
-
-    return client_features({name: table(name) for name in HISTORY_TABLES}, options)
+def history_tables(
+    spark: SparkSession, directory: str
+) -> tuple[dict[str, DataFrame], dict[str, Statistics]]:
+    """The history tables of a folder, and the statistics of those that are clipped, which come
+    from the pass that converts them."""
+    cleaned = {"bureau": {}, "previous_application": history.known_days()}
+    tables, statistics = {}, {}
+    for name in HISTORY_TABLES:
+        if name in cleaned:
+            tables[name], statistics[name] = load_loan_observed(spark, directory, name, cleaned[name])
+        else:
+            tables[name] = load_loan_table(spark, directory, name)
+    return tables, statistics
 
 
-def client_features(tables: Mapping[str, DataFrame], options: Options) -> list[DataFrame]:
-    """The same from tables that are loaded already."""
+def history_features(spark: SparkSession, directory: str, options: Options) -> list[DataFrame]:
+    """The five feature tables of the history tables, one row per client each."""
+    tables, statistics = history_tables(spark, directory)
+    return client_features(tables, options, statistics)
+
+
+def client_features(
+    tables: Mapping[str, DataFrame],
+    options: Options,
+    statistics: Mapping[str, Statistics] | None = None,
+) -> list[DataFrame]:
+    """The same from tables that are loaded already, and what is known of them."""
+    if options.client_buckets:
+        tables = bucketed_by_client(tables, options.client_buckets)
     trigger, most = options.clip_trigger, options.max_levels
+    known = statistics or {}
     return [
         history.bureau_features(
-            tables["bureau"], tables["bureau_balance"], trigger=trigger, max_levels=most
+            tables["bureau"],
+            tables["bureau_balance"],
+            trigger=trigger,
+            max_levels=most,
+            statistics=known.get("bureau"),
         ),
         history.previous_features(
             tables["previous_application"],
             trigger=trigger,
             approval_rate=options.approval_rate,
             max_levels=most,
+            statistics=known.get("previous_application"),
         ),
         history.pos_features(tables["pos_cash_balance"], max_levels=most),
         history.instalment_features(tables["installments_payments"], max_levels=most),
@@ -80,6 +113,24 @@ def client_features(tables: Mapping[str, DataFrame], options: Options) -> list[D
     ]
 
 
+def bucketed_by_client(tables: Mapping[str, DataFrame], buckets: int) -> dict[str, DataFrame]:
+    """The tables that have clients, stored in buckets of them."""
+    return {
+        name: store_bucketed(t, history.CLIENT, buckets, name) if history.CLIENT in t.columns else t
+        for name, t in tables.items()
+    }
+
+
+def wide_levels(tables: Mapping[str, DataFrame], most: int) -> dict[str, list[str]]:
+    """Category columns with more than ``most`` levels, of the tables that have clients, but for
+    those whose levels the plans name."""
+    return {
+        name: [c for c in wide_columns(t, most) if c not in NAMED]
+        for name, t in tables.items()
+        if history.CLIENT in t.columns
+    }
+
+
 def application_matrices(
     train: DataFrame, test: DataFrame, options: Options
 ) -> tuple[DataFrame, DataFrame]:
@@ -99,12 +150,17 @@ def application_matrices(
 
 
 def model_matrices(
-    train: DataFrame, test: DataFrame, features: Sequence[DataFrame], options: Options
+    train: DataFrame,
+    test: DataFrame,
+    features: Sequence[DataFrame],
+    options: Options,
+    levels: tuple[DataFrame, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Wide tables of one row per client, filled and with trainer-safe names.
 
     Both tables are assembled in one join chain, which aggregates every history table once and
     moves it once, and are stored together, split by folder: training reads its part many times.
+    ``levels`` are sparse vectors per client and their length; they become the last column.
     """
     both = train.withColumn(IN_TRAIN, F.lit(1)).unionByName(
         test.withColumn(IN_TRAIN, F.lit(0)), allowMissingColumns=True
@@ -112,7 +168,12 @@ def model_matrices(
     wide = assemble(both, history.CLIENT, features)
     if options.unwanted:
         wide = drop_lenient(wide, options.unwanted)
-    stored = materialize(plain_names(fill_final(wide)), "matrix", partition_by=IN_TRAIN)
+    filled, vectors = plain_names(fill_final(wide)), []
+    if levels:
+        table, size = levels
+        filled = filled.join(table, history.CLIENT, "left").withColumn(LEVELS, or_empty(F.col(LEVELS), size))
+        vectors = [LEVELS]
+    stored = materialize(filled, "matrix", partition_by=IN_TRAIN, vectors=vectors)
     if options.narrow_integers:
         stored = materialize(narrow(stored), "narrow-matrix", partition_by=IN_TRAIN)
     return (
@@ -125,12 +186,37 @@ def build_matrices(
     spark: SparkSession, directory: str, options: Options = Options()
 ) -> tuple[DataFrame, DataFrame]:
     """Stored training and scoring matrices from the eight tables of a folder."""
-    train, test = application_matrices(
-        load_loan_table(spark, directory, "application_train"),
-        load_loan_table(spark, directory, "application_test"),
-        options,
-    )
-    return model_matrices(train, test, history_features(spark, directory, options), options)
+    train = load_loan_table(spark, directory, "application_train")
+    test = load_loan_table(spark, directory, "application_test")
+    tables, statistics = history_tables(spark, directory)
+    levels = None
+    if options.sparse_levels:
+        train, test, tables, levels = without_wide_levels(train, test, tables, options)
+    train, test = application_matrices(train, test, options)
+    features = client_features(tables, options, statistics)
+    return model_matrices(train, test, features, options, levels)
+
+
+def without_wide_levels(
+    train: DataFrame, test: DataFrame, tables: Mapping[str, DataFrame], options: Options
+) -> tuple[DataFrame, DataFrame, dict[str, DataFrame], tuple[DataFrame, int] | None]:
+    """The tables without their wide category columns, and these as a sparse vector per client.
+
+    Levels are those of the histories and of both application tables; a client's value in its
+    application is one entry of 1.
+    """
+    shared = [c for c in train.columns if c in test.columns]
+    both = train.select(*shared).unionByName(test.select(*shared))
+    sources = {"application": both, **tables}
+    wide = wide_levels(sources, options.max_levels)
+    if not any(wide.values()):
+        return train, test, dict(tables), None
+    rates, found = wide_rates(sources, wide, history.CLIENT)
+    index = level_index(found)
+    vectors = sparse_vectors(rates, history.CLIENT, index, LEVELS)
+    dense = {name: t.drop(*wide.get(name, [])) for name, t in tables.items()}
+    dropped = wide["application"]
+    return train.drop(*dropped), test.drop(*dropped), dense, (vectors, index.size)
 
 
 def train_model(matrix: DataFrame, options: Options = Options()):

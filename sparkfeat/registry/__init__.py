@@ -8,6 +8,7 @@ from sparkfeat.registry import (  # noqa: F401  (importing registers the queries
     encoding,
     sampling,
     models,
+    stored,
     composites,
 )
 

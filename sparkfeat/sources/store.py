@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from sparkfeat.functions.missing import as_column
 
 _own_dirs: dict[str, str] = {}
 _written: list[str] = []
+_tables: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -44,13 +49,37 @@ def intermediate_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str = "table", partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once and read it back; for results that several later jobs scan."""
+def materialize(
+    df: DataFrame,
+    label: str = "table",
+    partition_by: str | None = None,
+    vectors: Sequence[str] = (),
+) -> DataFrame:
+    """Write ``df`` once and read it back; for results that several later jobs scan.
+
+    ``vectors`` names columns that hold vectors in their stored form, to be read as vectors.
+    """
     spark = df.sparkSession
     path = intermediate_path(spark, label)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fields = [T.StructField(f.name, VectorUDT() if f.name in vectors else f.dataType) for f in df.schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def store_bucketed(df: DataFrame, key: str, buckets: int, label: str = "bucketed") -> DataFrame:
+    """Store ``df`` dealt out by its key: aggregates and joins on the key then need no shuffle.
+
+    Tables that are to be joined must have the same number of buckets. The rows of a key share a
+    bucket, so this is for tables whose keys are many and none of them very large.
+    """
+    spark = df.sparkSession
+    path = intermediate_path(spark, label)
+    table = f"sparkfeat_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, as_column(key))
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    _tables.append(table)
+    return spark.table(table)
 
 
 @contextmanager
@@ -59,10 +88,13 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
 
     For whole runs whose results are written elsewhere; a table returned from the block is gone.
     """
-    before = len(_written)
+    before, tables = len(_written), len(_tables)
     try:
         yield
     finally:
+        for name in _tables[tables:]:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        del _tables[tables:]
         for name in _written[before:]:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

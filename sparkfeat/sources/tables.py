@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.missing import as_column
+from sparkfeat.functions.missing import as_column, quoted
 from sparkfeat.sources.schemas import TABLE_FILES, known_types
 from sparkfeat.sources.store import materialize
 
@@ -39,35 +39,78 @@ def infer_types(texts: DataFrame, columns: list[str]) -> dict[str, str]:
     """
     if not columns:
         return {}
-    checks = []
+    found = texts.agg(*[e.alias(n) for n, e in text_checks(columns).items()]).first()
+    names = ("missing", "no_int", "no_num")
+    return {c: kind_of({n: found[f"{n}_{i}"] for n in names}) for i, c in enumerate(columns)}
+
+
+def text_checks(columns: list[str]) -> dict[str, Column]:
+    """Aggregates that tell the type of text columns: of the i-th one, how many values are missing
+    (``missing_i``), no integer (``no_int_i``) or no number (``no_num_i``)."""
+    checks = {}
     for i, c in enumerate(columns):
         value = as_column(c)
         # The pattern comes first: it is much cheaper than a cast that fails.
         no_int = ~value.rlike(INTEGER_PATTERN) | value.try_cast("bigint").isNull()
-        checks += [
-            F.count_if(value.isNull()).alias(f"missing_{i}"),
-            F.count_if(value.isNotNull() & no_int).alias(f"no_int_{i}"),
-            F.count_if(~value.rlike(NUMBER_PATTERN)).alias(f"no_num_{i}"),
-        ]
-    found = texts.agg(*checks).first()
-    kinds = {}
-    for i, c in enumerate(columns):
-        if found[f"no_num_{i}"]:
-            kinds[c] = "string"
-        elif found[f"no_int_{i}"] or found[f"missing_{i}"]:
-            kinds[c] = "double"
-        else:
-            kinds[c] = "bigint"
-    return kinds
+        checks[f"missing_{i}"] = F.count_if(value.isNull())
+        checks[f"no_int_{i}"] = F.count_if(value.isNotNull() & no_int)
+        checks[f"no_num_{i}"] = F.count_if(~value.rlike(NUMBER_PATTERN))
+    return checks
+
+
+def kind_of(found: Mapping[str, int]) -> str:
+    """The type that the checks of a column allow."""
+    if found["no_num"]:
+        return "string"
+    return "double" if found["no_int"] or found["missing"] else "bigint"
+
+
+BROKEN = "_broken_record"
 
 
-def _texts(spark: SparkSession, path: str) -> DataFrame:
-    """All fields of a CSV file with a header row as text, tokens for "missing" as NULL."""
+def csv_texts(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """All fields of a CSV file with a header row as text, tokens for "missing" as NULL.
+
+    With ``multi_line`` a quoted field may hold line breaks; a file is then read by one task, so
+    large inputs should come as many files.
+    """
     return blank_na_tokens(
-        spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, escape='"')
+        spark.read.csv(
+            path, header=True, inferSchema=False, enforceSchema=False, escape='"', multiLine=multi_line
+        )
     )
 
 
+def csv_records(
+    spark: SparkSession, path: str, types: Mapping[str, str], multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Records of CSV files whose columns are known, and apart from them those that do not parse.
+
+    The first table has the columns as listed, tokens for "missing" as NULL; the second has the
+    text of records with a wrong number of fields, and of those with a field that does not fit
+    its type, as ``record`` and with the reason, ``fields`` or the name of the column. Both are
+    read from one stored copy. Quoted fields may hold line breaks, quotes and separators.
+    """
+    schema = ", ".join(f"{quoted(c)} string" for c in [*types, BROKEN])
+    raw = spark.read.schema(schema).csv(
+        path, header=True, enforceSchema=True, escape='"', multiLine=multi_line, mode="PERMISSIVE",
+        columnNameOfCorruptRecord=BROKEN, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
+    texts = materialize(blank_na_tokens(raw, list(types)), "records")
+    unfit = [
+        F.when(as_column(c).isNotNull() & as_column(c).try_cast(kind).isNull(), F.lit(c))
+        for c, kind in types.items()
+        if kind != "string"
+    ]
+    reason = F.coalesce(F.when(F.col(BROKEN).isNotNull(), "fields"), *unfit, F.lit(None).cast("string"))
+    marked = texts.withColumn("__reason", reason)
+    good = marked.where(F.col("__reason").isNull())
+    kept = good.select(*[as_column(c).cast(kind).alias(c) for c, kind in types.items()])
+    fields = F.to_csv(F.struct(*[as_column(c) for c in types]))
+    bad = marked.where(F.col("__reason").isNotNull())
+    return kept, bad.select(F.coalesce(F.col(BROKEN), fields).alias("record"), F.col("__reason").alias("reason"))
+
+
 def _typed(texts: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return texts.select(*[as_column(c).cast(types[c]).alias(c) for c in texts.columns])
 
@@ -80,7 +123,7 @@ def read_csv(
     Fields are read as text, missing-value tokens become NULL, and the cast then raises on
     anything that does not fit the column's type. Only unlisted columns cost an extra pass.
     """
-    texts, types = _texts(spark, path), dict(types or {})
+    texts, types = csv_texts(spark, path), dict(types or {})
     types.update(infer_types(texts, [c for c in texts.columns if c not in types]))
     return _typed(texts, types)
 
@@ -93,7 +136,7 @@ def convert_csv(
     Listed columns are stored in their type. Unlisted ones are stored as text: their types come
     from one scan of these columns alone, and the cast is part of the later column scans.
     """
-    texts, types = _texts(spark, path), dict(types or {})
+    texts, types = csv_texts(spark, path), dict(types or {})
     unlisted = [c for c in texts.columns if c not in types]
     first = {c: types.get(c, "string") for c in texts.columns}
     stored = materialize(_typed(texts, first), label)
