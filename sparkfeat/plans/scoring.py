@@ -18,7 +18,8 @@ from sparkfeat.operators.profile import narrow
 from sparkfeat.operators.sparse import level_index, or_empty, sparse_vectors, wide_columns, wide_rates
 from sparkfeat.operators.split import SEED, k_fold, stratified_split
 from sparkfeat.plans import application, history
-from sparkfeat.sources.store import intermediate_tables, materialize, store_bucketed
+from sparkfeat.sources.schemas import TABLE_FILES
+from sparkfeat.sources.store import Stages, intermediate_tables, materialize, store_bucketed
 from sparkfeat.sources.tables import load_loan_table, read_csv, write_features, write_scores
 
 LABEL = "TARGET"
@@ -156,6 +157,26 @@ def model_matrices(
     options: Options,
     levels: tuple[DataFrame, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
+    """The training and the scoring part of :func:`store_matrix`."""
+    return split_matrix(store_matrix(train, test, features, options, levels))
+
+
+def split_matrix(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows to train on and rows to score, without the columns that only the others have."""
+    return (
+        stored.where(F.col(IN_TRAIN) == 1).drop(IN_TRAIN),
+        stored.where(F.col(IN_TRAIN) == 0).drop(IN_TRAIN, LABEL),
+    )
+
+
+def store_matrix(
+    train: DataFrame,
+    test: DataFrame,
+    features: Sequence[DataFrame],
+    options: Options,
+    levels: tuple[DataFrame, int] | None = None,
+    path: str | None = None,
+) -> DataFrame:
     """Wide tables of one row per client, filled and with trainer-safe names.
 
     Both tables are assembled in one join chain, which aggregates every history table once and
@@ -173,19 +194,23 @@ def model_matrices(
         table, size = levels
         filled = filled.join(table, history.CLIENT, "left").withColumn(LEVELS, or_empty(F.col(LEVELS), size))
         vectors = [LEVELS]
+    if not options.narrow_integers:
+        return materialize(filled, "matrix", partition_by=IN_TRAIN, vectors=vectors, path=path)
     stored = materialize(filled, "matrix", partition_by=IN_TRAIN, vectors=vectors)
-    if options.narrow_integers:
-        stored = materialize(narrow(stored), "narrow-matrix", partition_by=IN_TRAIN)
-    return (
-        stored.where(F.col(IN_TRAIN) == 1).drop(IN_TRAIN),
-        stored.where(F.col(IN_TRAIN) == 0).drop(IN_TRAIN, LABEL),
-    )
+    return materialize(narrow(stored), "narrow-matrix", partition_by=IN_TRAIN, path=path)
 
 
 def build_matrices(
     spark: SparkSession, directory: str, options: Options = Options()
 ) -> tuple[DataFrame, DataFrame]:
     """Stored training and scoring matrices from the eight tables of a folder."""
+    return split_matrix(build_matrix(spark, directory, options))
+
+
+def build_matrix(
+    spark: SparkSession, directory: str, options: Options = Options(), path: str | None = None
+) -> DataFrame:
+    """Both matrices as one stored table, at a path if one is given."""
     train = load_loan_table(spark, directory, "application_train")
     test = load_loan_table(spark, directory, "application_test")
     tables, statistics = history_tables(spark, directory)
@@ -194,7 +219,7 @@ def build_matrices(
         train, test, tables, levels = without_wide_levels(train, test, tables, options)
     train, test = application_matrices(train, test, options)
     features = client_features(tables, options, statistics)
-    return model_matrices(train, test, features, options, levels)
+    return store_matrix(train, test, features, options, levels, path)
 
 
 def without_wide_levels(
@@ -299,18 +324,25 @@ def score_clients(
     """Read the eight tables, train, and write one score per client of the test table.
 
     ``tune`` adds a report on class weights (``weights``) or on points drawn at random
-    (``random``). Intermediate tables of the run are removed at its end.
+    (``random``). Intermediate tables of the run are removed at its end. The matrices and the
+    model of a run that stopped are kept: the same call, on unchanged files, goes on from there.
     """
+    inputs = [f"{directory}/{file}" for file in TABLE_FILES.values()]
+    stages = Stages(spark, inputs, repr(options))
     with intermediate_tables(spark):
-        train, test = build_matrices(spark, directory, options)
+        matrix = stages.table("matrix", lambda path: build_matrix(spark, directory, options, path))
+        train, test = split_matrix(matrix)
         searches = {"weights": tune_class_weight, "random": tune_at_random}
         report = searches[tune](train, options) if tune else None
-        fitted = train_model(train, options)
+        if report is not None:
+            report = spark.createDataFrame(report.collect(), report.schema)
+        fitted = stages.model("model", lambda: train_model(train, options))
         write_features(train, f"{output}/train_features")
         write_scores(trees.score(fitted, test, history.CLIENT, LABEL), f"{output}/scores")
         shares = trees.importances(spark, fitted)
         shares.join(trees.split_importances(spark, fitted), "feature").write.parquet(
             f"{output}/importances"
         )
+    stages.remove()
     stored = read_csv(spark, f"{output}/scores", {history.CLIENT: "bigint", LABEL: "double"})
     return ScoringRun(fitted, stored, report)

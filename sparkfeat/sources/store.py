@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfeat.functions.missing import as_column
@@ -54,14 +59,17 @@ def materialize(
     label: str = "table",
     partition_by: str | None = None,
     vectors: Sequence[str] = (),
+    path: str | None = None,
 ) -> DataFrame:
     """Write ``df`` once and read it back; for results that several later jobs scan.
 
-    ``vectors`` names columns that hold vectors in their stored form, to be read as vectors.
+    ``vectors`` names columns that hold vectors in their stored form, to be read as vectors. With
+    a ``path`` the table replaces what is there, and :func:`intermediate_tables` leaves it.
     """
     spark = df.sparkSession
-    path = intermediate_path(spark, label)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer = df.write.mode("overwrite") if path else df.write
+    path = path or intermediate_path(spark, label)
+    writer = writer.partitionBy(partition_by) if partition_by else writer
     writer.parquet(path)
     fields = [T.StructField(f.name, VectorUDT() if f.name in vectors else f.dataType) for f in df.schema]
     return spark.read.schema(T.StructType(fields)).parquet(path)
@@ -96,11 +104,72 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         del _tables[tables:]
         for name in _written[before:]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(spark, name)
         del _written[before:]
 
 
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Stages:
+    """The finished stages of a run, so that a run that was stopped goes on after the last one.
+
+    They lie under the shared folder, by a digest of the run's input files and options: another
+    input, a changed file or another option is another run. A stage counts as finished once its
+    mark is written, which happens after its table or model is complete; what a stopped stage
+    left behind is replaced.
+    """
+
+    def __init__(self, spark: SparkSession, inputs: Sequence[str], options: str):
+        self.spark = spark
+        files = spark.read.format("binaryFile").load(list(inputs))
+        seen = files.agg(
+            F.count(F.lit(1)).alias("files"),
+            F.sum("length").alias("bytes"),
+            F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("state"),
+        ).first()
+        identity = hashlib.sha256(repr((tuple(seen), options)).encode()).hexdigest()[:32]
+        self.root = f"{scratch_dir(spark)}/run-{identity}"
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def _mark(self, name: str, note: str) -> None:
+        table = self.spark.createDataFrame([(note,)], "note string").coalesce(1)
+        table.write.mode("overwrite").parquet(self.path(f"{name}-done"))
+
+    def finished(self, name: str) -> str | None:
+        """What was noted when the stage ended, or None."""
+        try:
+            return self.spark.read.schema("note string").parquet(self.path(f"{name}-done")).first()["note"]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def table(self, name: str, build: Callable[[str], DataFrame]) -> DataFrame:
+        """The table that ``build`` stores under the path it is given, now or in an earlier run."""
+        schema = self.finished(name)
+        if schema is None:
+            built = build(self.path(name))
+            self._mark(name, built.schema.json())
+            return built
+        stored = T.StructType.fromJson(json.loads(schema))
+        return self.spark.read.schema(stored).parquet(self.path(name))
+
+    def model(self, name: str, build: Callable[[], PipelineModel]) -> PipelineModel:
+        """The model that ``build`` trains, now or in an earlier run."""
+        if self.finished(name) is None:
+            build().write().overwrite().save(self.path(name))
+            self._mark(name, "model")
+        return PipelineModel.load(self.path(name))
+
+    def remove(self) -> None:
+        _remove(self.spark, self.root)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Give iterative training a checkpoint folder unless the cluster has set one."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -1,5 +1,7 @@
 """The composite plans on small CSV files with the real table layouts, against pandas."""
 
+import dataclasses
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -397,6 +399,79 @@ def test_scores_are_written_for_every_client(spark, data, matrices, tmp_path):
     assert shares.sum() == pytest.approx(1.0)
 
 
+def test_a_stopped_run_goes_on_from_its_matrices(spark, data, tmp_path, monkeypatch):
+    folder, _ = data
+    options = scoring.Options(trees=2, parameters={**SMALL_TREES, "maxDepth": 1})
+    whole = scoring.score_clients(spark, folder, str(tmp_path / "whole"), options)
+    want = {r.SK_ID_CURR: r.TARGET for r in whole.scores.collect()}
+
+    def lost(*args):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(scoring, "train_model", lost)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            scoring.score_clients(spark, folder, str(tmp_path / "first"), options)
+    with monkeypatch.context() as patch:
+        patch.setattr(scoring, "build_matrix", lost)
+        patch.setattr(scoring, "write_scores", lost)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            scoring.score_clients(spark, folder, str(tmp_path / "second"), options)
+    with monkeypatch.context() as patch:
+        patch.setattr(scoring, "build_matrix", lost)
+        patch.setattr(scoring, "train_model", lost)
+        run = scoring.score_clients(spark, folder, str(tmp_path / "third"), options)
+        assert {r.SK_ID_CURR: r.TARGET for r in run.scores.collect()} == want
+        with pytest.raises(RuntimeError, match="driver lost"):  # a finished run leaves nothing
+            scoring.score_clients(spark, folder, str(tmp_path / "fourth"), options)
+
+
+def test_five_thousand_levels_train_as_sparse_vectors(spark, data, tmp_path):
+    """A category too wide for columns is an error, or becomes part of a vector that trees split by."""
+    import shutil
+
+    from sparkfeat.operators import model as trees
+    from sparkfeat.operators.sparse import entries
+    from sparkfeat.sources.schemas import TABLE_FILES
+
+    folder, tables = data
+    wide = str(tmp_path / "wide")
+    shutil.copytree(folder, wide)
+    train = tables["application_train"]
+    label = train.set_index("SK_ID_CURR").TARGET
+    clients = pd.Index(train.SK_ID_CURR).append(pd.Index(tables["application_test"].SK_ID_CURR))
+    more = pd.DataFrame({"SK_ID_CURR": clients.repeat(26)})
+    more["SK_ID_PREV"] = range(len(more))
+    more["NAME_GOODS_CATEGORY"] = [f"level {i}" for i in range(len(more))]
+    tells = more.groupby("SK_ID_CURR").cumcount() == 0
+    answer = more.SK_ID_CURR.map(label).fillna(0).astype(int)
+    more.loc[tells, "NAME_GOODS_CATEGORY"] = ["tells " + "ny"[a] for a in answer[tells]]
+    previous = pd.concat([tables["previous_application"], more])
+    previous.to_csv(f"{wide}/{TABLE_FILES['previous_application']}", index=False)
+    assert previous.NAME_GOODS_CATEGORY.nunique() >= 5000
+    options = scoring.Options(trees=1, parameters={"maxDepth": 1, "minInstancesPerNode": 2, "featureSubsetStrategy": "all"})
+    with pytest.raises(ValueError, match="more than 1000 levels"):
+        scoring.build_matrices(spark, wide, options)
+    matrix, _ = scoring.build_matrices(spark, wide, dataclasses.replace(options, sparse_levels=True))
+    assert matrix.columns[-1] == scoring.LEVELS or scoring.LEVELS in matrix.columns
+    shares = entries(matrix, "SK_ID_CURR", scoring.LEVELS).toPandas()
+    kept = previous[previous.SK_ID_CURR.isin(set(shares.SK_ID_CURR))]
+    want = kept.fillna({"NAME_GOODS_CATEGORY": "missing"}).groupby("SK_ID_CURR").NAME_GOODS_CATEGORY.value_counts(normalize=True)
+    got = shares.sort_values(["SK_ID_CURR", "value"])
+    assert len(got) == len(want) and got.groupby("SK_ID_CURR").value.sum().to_list() == pytest.approx([1.0] * shares.SK_ID_CURR.nunique())
+    assert sorted(got.value) == pytest.approx(sorted(want))
+    fitted = scoring.train_model(matrix, options)
+    used = trees.split_importances(spark, fitted).where("splits > 0").collect()
+    assert used and all(r.feature.startswith("LEVELS[") for r in used)
+
+
+def test_clients_in_buckets_give_the_same_matrix(spark, data):
+    folder, _ = data
+    plain, _ = scoring.build_matrices(spark, folder, scoring.Options())
+    dealt, _ = scoring.build_matrices(spark, folder, scoring.Options(client_buckets=4))
+    same(dealt, plain.toPandas().set_index("SK_ID_CURR"), [c for c in plain.columns if c != "SK_ID_CURR"])
+
+
 def test_command_line():
     from sparkfeat.__main__ import arguments
 
