@@ -446,14 +446,15 @@ def test_five_thousand_levels_train_as_sparse_vectors(spark, data, tmp_path):
     tells = more.groupby("SK_ID_CURR").cumcount() == 0
     answer = more.SK_ID_CURR.map(label).fillna(0).astype(int)
     more.loc[tells, "NAME_GOODS_CATEGORY"] = ["tells " + "ny"[a] for a in answer[tells]]
-    previous = pd.concat([tables["previous_application"], more])
+    first = tables["previous_application"]
+    whole = {c: "Int64" for c in first.columns if first[c].dtype.kind == "i"}
+    previous = pd.concat([first, more]).astype(whole)
     previous.to_csv(f"{wide}/{TABLE_FILES['previous_application']}", index=False)
     assert previous.NAME_GOODS_CATEGORY.nunique() >= 5000
     options = scoring.Options(trees=1, parameters={"maxDepth": 1, "minInstancesPerNode": 2, "featureSubsetStrategy": "all"})
     with pytest.raises(ValueError, match="more than 1000 levels"):
         scoring.build_matrices(spark, wide, options)
     matrix, _ = scoring.build_matrices(spark, wide, dataclasses.replace(options, sparse_levels=True))
-    assert matrix.columns[-1] == scoring.LEVELS or scoring.LEVELS in matrix.columns
     shares = entries(matrix, "SK_ID_CURR", scoring.LEVELS).toPandas()
     kept = previous[previous.SK_ID_CURR.isin(set(shares.SK_ID_CURR))]
     want = kept.fillna({"NAME_GOODS_CATEGORY": "missing"}).groupby("SK_ID_CURR").NAME_GOODS_CATEGORY.value_counts(normalize=True)
