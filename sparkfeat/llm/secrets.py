@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from sparkfeat.llm.batches import map_slices, text_array, texts_of
 
-#: Code points between parts of one credential; a blank line ends a scope before that.
+#: Code points between parts of one credential, unless a call says otherwise.
 REACH = 200
 
 #: The kinds in the order of their report, a pattern each, which group has to be
@@ -83,11 +83,11 @@ def mixed(text: str, span: Span) -> bool:
     return bool(re.search("[A-Z]", part) and re.search("[a-z]", part) and re.search("[0-9]", part))
 
 
-def near(span: Span, others: list[Span], scopes: list[int], reach: int) -> list[Span]:
+def near(span: Span, others: list[Span], scopes: list[int], reach: int | None) -> list[Span]:
     """All of the sorted, non-overlapping others within reach and in the same scope."""
     found = []
-    i = bisect_left(others, span.start - reach, key=lambda o: o.end)
-    while i < len(others) and others[i].start <= span.end + reach:
+    i = 0 if reach is None else bisect_left(others, span.start - reach, key=lambda o: o.end)
+    while i < len(others) and (reach is None or others[i].start <= span.end + reach):
         other = others[i]
         apart = bisect_left(scopes, min(span.start, other.start)) != bisect_left(
             scopes, max(span.start, other.start)
@@ -100,13 +100,15 @@ def near(span: Span, others: list[Span], scopes: list[int], reach: int) -> list[
 
 
 def find(
-    text: str, kinds: list[str], reach: int = REACH
+    text: str, kinds: list[str], reach: int | None = REACH, blank_lines: bool = True
 ) -> tuple[list[Span], list[tuple[Span, list[Span]]]]:
     """All reported spans by start and kind, and for every part and role it links to all partners.
 
-    The intervals of the parts, widened by ``reach``, are joined by a sweep over sorted
-    intervals. A weak candidate (user name, code, endpoint) is reported only if parts of all
-    the roles that it needs are in its scope.
+    The intervals of the parts, widened by ``reach`` (None: the whole text), are joined by a sweep
+    over sorted intervals; with ``blank_lines`` a blank line ends a scope before that. A weak
+    candidate (user name, code, endpoint) completes a credential if parts of all the roles that
+    it needs are in its scope. All parts of a complete credential are reported, those that it
+    links to as well, so that no link names a part that is not reported.
     """
     found = {kind: matches(text, kind) for kind in kinds}
     strong = [s for kind in BASE for s in found.get(kind, ())]
@@ -120,9 +122,11 @@ def find(
 
     weak = {k: [s for s in found.get(k, ()) if free(s)] for k in NEEDS}
     weak["code"] = [s for s in weak["code"] if mixed(text, s)]
-    scopes = [m.start() for m in BLANK_LINE.finditer(text)] if strong or any(weak.values()) else []
+    scopes = []
+    if blank_lines and (strong or any(weak.values())):
+        scopes = [m.start() for m in BLANK_LINE.finditer(text)]
     by_kind = {k: [*found.get(k, ())] if k in BASE else weak[k] for k in KINDS}
-    spans, links = list(strong), []
+    spans, links = set(strong), []
 
     def partners(span: Span, role: str) -> list[Span]:
         return sorted(p for k in KINDS if ROLE[k] == role for p in near(span, by_kind[k], scopes, reach))
@@ -131,10 +135,11 @@ def find(
         for span in weak[kind]:
             parts = [partners(span, role) for role in roles]
             if all(parts):
-                spans.append(span)
+                spans.add(span)
                 links += [(span, p) for p in parts]
     for span in by_kind["access"]:
         links += [(span, p) for p in [partners(span, "secret")] if p]
+    spans.update(p for _, parts in links for p in parts)
     return sorted(spans), sorted(links)
 
 
@@ -150,28 +155,33 @@ def candidates(texts: pa.Array) -> np.ndarray:
     return np.array(flags, bool).T.reshape(len(texts), len(KINDS))
 
 
-def findings(texts: pa.Array):
+def findings(texts: pa.Array, reach: int | None, blank_lines: bool):
     """Spans and links of every text in order."""
     for row, flags in enumerate(candidates(texts)):
         if flags.any():
-            yield find(texts[row].as_py(), [k for k, f in zip(KINDS, flags) if f])
+            yield find(texts[row].as_py(), [k for k, f in zip(KINDS, flags) if f], reach, blank_lines)
         else:
             yield [], []
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
+def scan_secrets(
+    docs: DataFrame, reach: int | None = REACH, blank_lines: bool = True
+) -> DataFrame:
     """Secrets in every whole text, with credentials that stand in several parts.
 
+    Parts belong together within ``reach`` code points, and with ``blank_lines`` only if no blank
+    line is between them; ``reach=None, blank_lines=False`` takes the whole text as one scope.
+
     Per row the counts of the base kinds, the SHA-256 of their spans, all ``spans`` as
     ``kind:start:end`` (code points, end exclusive; by start, then kind) and ``links`` as
-    ``kind:start>kind:start``, one for every pair of a part and a partner. A missing text counts as empty; a missing doc_id stays missing;
-    repeated rows are repeated; an empty table gives no rows. All parts of a scope are in one
-    text, so nothing is shuffled.
+    ``kind:start>kind:start``, one for every pair of a part and a partner. A missing text counts
+    as empty; a missing doc_id stays missing; repeated rows are repeated; an empty table gives no
+    rows. All parts of a scope are in one text, so nothing is shuffled.
     """
 
     def function(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: dict[str, list] = {n: [] for n in ("assign", "access", "hex", "sha", "spans", "links")}
-        for spans, links in findings(text_array(batch.column("text"))):
+        for spans, links in findings(text_array(batch.column("text")), reach, blank_lines):
             base = [s for s in spans if s.kind in BASE]
             for kind in BASE:
                 rows[kind].append(sum(s.kind == kind for s in base))
@@ -202,10 +212,14 @@ def hide(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact_secrets(docs: DataFrame) -> DataFrame:
+def redact_secrets(
+    docs: DataFrame, reach: int | None = REACH, blank_lines: bool = True
+) -> DataFrame:
     """All rows and columns, with secrets in ``text`` hidden and ``n_chars`` counted anew.
 
-    A missing text stays missing; rows without secrets are unchanged.
+    What is hidden is what :func:`scan_secrets` reports with the same options. A missing text
+    stays missing, an empty one empty; rows without secrets are unchanged; repeated rows are
+    changed alike; an empty table gives no rows.
     """
     columns = docs.columns
 
@@ -213,7 +227,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
         texts = batch.column("text")
         changed = texts.to_pylist()
         found = False
-        for row, (spans, _) in enumerate(findings(text_array(texts))):
+        for row, (spans, _) in enumerate(findings(text_array(texts), reach, blank_lines)):
             if spans:
                 changed[row], found = hide(changed[row], spans), True
         if not found:
