@@ -45,6 +45,10 @@ COUNTS = (
 )
 
 
+#: 128 bits that tell equal texts.
+SAME_TEXT = ("_same_text", "_same_text_too")
+
+
 def byte_sums(texts: pa.Array, members: bytes) -> np.ndarray:
     """How many bytes of every text are members of a set."""
     _, offsets, data = texts.buffers()
@@ -114,7 +118,10 @@ def text_counts(texts: pa.Array) -> list[np.ndarray]:
 
 
 def add_counts(rows: DataFrame, keep_text: bool = False) -> DataFrame:
-    """The rows with the counts of their texts, with or without the texts."""
+    """The rows with the counts of their texts and two hashes that tell equal texts, with or
+    without the texts."""
+    first, second = SAME_TEXT
+    rows = rows.withColumns({first: F.xxhash64("text"), second: F.xxhash64(F.lit(1), F.col("text"))})
     held = [f.name for f in rows.schema if keep_text or f.name != "text"]
     schema = rows.select(held).schema
     for name in COUNTS:
@@ -203,7 +210,9 @@ def pooling(sizes: dict[int, int]) -> tuple[int, int]:
 def calibrate(counted: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a stratum with the cutoff of every rule (infinite where none is safe).
 
-    Only labelled documents that pass the base rules count. Strata with too few good ones for
+    Only labelled documents that pass the base rules count, and equal texts of a stratum are one
+    trial, as repeats say nothing new of the texts to come; a text that has labels of both kinds
+    is a good one, so that doubt never loosens a bound. Strata with too few good ones for
     any cutoff are pooled; their cutoffs and the bound are those of the pool as a whole. The
     pool follows from the numbers of good documents alone, so it does not weaken the bound. The
     allowed error is divided by the number of strata and rules, the allowed rate of false
@@ -216,9 +225,10 @@ def calibrate(counted: DataFrame, labels: DataFrame) -> DataFrame:
     held = (
         counted.where(~base_failed())
         .join(told.distinct(), F.col("_doc") == F.col("_id"))
-        .select("_stratum", "_good", *levels)
+        .select("_stratum", "_good", *SAME_TEXT, *levels)
     )
-    long = held.groupBy("_stratum", "_good", *CUTOFFS).count()
+    trials = held.groupBy("_stratum", *CUTOFFS, *SAME_TEXT).agg(F.max((F.col("_good") == 1).cast("int")).alias("_good"))
+    long = trials.groupBy("_stratum", "_good", *CUTOFFS).count()
     stacked = ", ".join(f"'{rule}', {rule}" for rule in CUTOFFS)
     table = materialize(
         long.selectExpr(
