@@ -19,8 +19,9 @@ SPACE, NORMAL, BYTE = "▁", 1, 6
 TEXT_BYTES, CELLS, SLOT_BITS = 8 << 20, 1_000_000, 20
 #: Odd factors of the hash of characters.
 FACTOR, SCATTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: Code points that no text should hold; one of them stands for the space's own character.
-STAND_INS = (0x10FFFF, 0x10FFFE, 0xFFFFF, 0xFFFFE, 0xEFFFF, 0xEFFFE)
+#: Stands for the space's own character where a text holds it. No text holds this code point: it
+#: is half of a surrogate pair, which UTF-8 cannot say.
+OWN = "\ud800"
 
 SCHEMA = "n_tokens long, ids binary, ids_crc32 long, decoded_crc32 long, lossless boolean"
 
@@ -149,15 +150,10 @@ class Sampler:
         """Offsets, codes and the distinct words, each with the space characters before it.
 
         The character of a space that stands in a text itself becomes a code point that no text
-        of the step holds, and is spelled as its own bytes later.
+        can hold, and is spelled as its own bytes later.
         """
-        for point in STAND_INS:
-            if not pc.any(pc.match_substring(texts, chr(point))).as_py():
-                break
-        self.stand_in = point
-        parts = pc.replace_substring(texts, SPACE, chr(point))
-        offsets, codes, distinct = coded(pc.split_pattern(parts, " "))
-        names = distinct.to_pylist()
+        offsets, codes, distinct = coded(pc.split_pattern(texts, " "))
+        names = [w.replace(SPACE, OWN) for w in distinct.to_pylist()]
         empty = pc.index(distinct, "").as_py()
         gone = codes == empty
         out = [SPACE + w for w in names]
@@ -211,7 +207,7 @@ class Sampler:
         return ids, ends
 
     def _sample_words(self, names, numbers, order, bounds, seed):
-        raw = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
+        raw = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
         chars = raw.reshape(len(names), -1)
         cumulative, ids = lattice(self.pieces, chars.astype(np.uint64))
         size = bounds[numbers + 1] - bounds[numbers]
@@ -238,7 +234,7 @@ class Sampler:
         """Characters outside the vocabulary (negative) as the pieces of their bytes."""
         outside = np.flatnonzero(ids < 0)
         chars, which = np.unique(-1 - ids[outside], return_inverse=True)
-        spelled = [(SPACE if c == self.stand_in else chr(c)).encode() for c in chars.tolist()]
+        spelled = [(SPACE if chr(c) == OWN else chr(c)).encode() for c in chars.tolist()]
         width = np.ones(len(ids), np.int64)
         width[outside] = np.array([len(s) for s in spelled])[which]
         out = np.repeat(ids, width)
