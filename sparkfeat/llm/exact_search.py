@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkfeat.llm.batches import one_thread
+from sparkfeat.sources.store import materialize
 
 #: Rows of a block of candidates and of queries, and dimensions added at a time.
 CANDIDATES, QUERIES, DIMENSIONS = 8192, 256, 16
+#: Candidates, the first by a hash of their ids, whose scores give every query its first bound.
+SEEDS = 4096
+#: Candidates of a part of the grid, unless that makes fewer parts than a shuffle has.
+PART_ROWS = 65536
 #: Below this sum of products 64-bit floats are exact, with room for the bounds.
 EXACT = 2**50
 LONG = 2**63 - 1
@@ -67,13 +72,36 @@ def candidate_blocks(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         one_thread()
+        held, size = [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, CANDIDATES):
-                yield block(batch.slice(i, CANDIDATES))
+                part = batch.slice(i, CANDIDATES)
+                if size + part.num_rows > CANDIDATES:
+                    yield whole_block(held)
+                    held, size = [], 0
+                held.append(part)
+                size += part.num_rows
+        if held:
+            yield whole_block(held)
 
     return rows.mapInArrow(run, BLOCK)
 
 
+def whole_block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return block(pa.Table.from_batches(batches).combine_chunks().to_batches()[0])
+
+
+def seed_block(rows: DataFrame) -> DataFrame:
+    """One row with a bounded sample of the candidates, the same in every run."""
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS)
+
+    def run(table: pa.Table) -> pa.Table:
+        one_thread()
+        return pa.Table.from_batches([whole_block(table.select(["vec_id", "v"]).to_batches())])
+
+    return some.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(run, BLOCK)
+
+
 def query_blocks(rows: DataFrame, buckets: int) -> DataFrame:
     """The queries in numbered blocks, dealt by a hash of their distinct ids."""
 
@@ -95,51 +123,64 @@ def unpack(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, values.reshape(row[f"{side}_dims"], len(ids))
 
 
-def remaining(values: np.ndarray) -> np.ndarray:
-    """Norm of what is left of every column from each block of dimensions on, rounded up."""
-    squares = values.astype(np.float64) ** 2
-    tails = [squares[d:].sum(axis=0) for d in range(0, len(values) + DIMENSIONS, DIMENSIONS)]
-    return np.sqrt(np.array(tails)) * (1 + 1e-9)
-
-
-def best_of_block(query_ids, queries, ids, values, k: int):
+def best_of_block(query_ids, queries, ids, values, k: int, floor=None, reached=None):
     """The ``k`` best candidates of one block for every query: index of the query, id, score.
 
-    The scores grow by one block of dimensions at a time over all surviving candidates. What is
-    left can add at most the product of the remaining norms; a candidate that cannot reach the
-    k-th best lower bound of any query is dropped from the columns, and at the end only entries
-    that still can win are ranked. Rows with the query's own id, however many, set no bound.
+    Every query adds its dimensions in the order of their weight in it, a block of them at a time,
+    over the candidates that survive. What is left can add at most the product of the remaining
+    norms. A candidate that cannot reach the query's bound is dropped, and those that stay are
+    compacted; the bound is the k-th best lower bound in the block, or ``floor`` if that is more: a
+    score that k other rows of the table have or exceed. So of a block less than k candidates, or
+    none, may be left. Rows with the query's own id, however many, are no candidates.
+
+    ``reached``, a list, gets the number of candidates that every query has at its last block.
     """
     dims = max(len(queries), len(values))
     queries = np.pad(queries, ((0, dims - len(queries)), (0, 0)))
     values = np.pad(values, ((0, dims - len(values)), (0, 0)))
     top = float(np.abs(queries).max(initial=0)) * float(np.abs(values).max(initial=0)) * max(dims, 1)
-    if top >= EXACT:
+    square = float(np.abs(values).max(initial=0)) ** 2 * max(dims, 1)
+    if max(top, square) >= EXACT:
         return whole_numbers(query_ids, queries, ids, values, k)
-    q, c = queries.T.astype(np.float64), values.astype(np.float64)
-    q_left, c_left = remaining(queries), remaining(values)
-    scores = np.zeros((len(query_ids), len(ids)))
-    own = query_ids[:, None] == ids[None, :]
-    alive = np.arange(len(ids))
-    for step, d in enumerate(range(0, dims, DIMENSIONS)):
-        scores += q[:, d : d + DIMENSIONS] @ c[d : d + DIMENSIONS]
-        slack = np.outer(q_left[step + 1], c_left[step + 1])
-        slack += 1.0 * (d + DIMENSIONS < dims)
-        if len(alive) > k:
-            lower = np.where(own, -np.inf, scores - slack)
-            bound = np.partition(lower, len(alive) - k, axis=1)[:, len(alive) - k]
-            keep = ((scores + slack) >= bound[:, None]).any(axis=0)
-            if not keep.all():
-                alive, scores, own = alive[keep], scores[:, keep], own[:, keep]
-                c, c_left = c[:, keep], c_left[:, keep]
-    names = ids[alive]
-    scores = np.where(own, -np.inf, scores)
-    if len(alive) > k:
-        bound = np.partition(scores, len(alive) - k, axis=1)[:, len(alive) - k]
-        at, which = np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))
-    else:
-        at, which = np.nonzero(scores > -np.inf)
-    return first_k(at, names[which], scores[at, which].astype(np.int64), k)
+    c = values.astype(np.float64)
+    squares = (c * c).sum(axis=0)
+    found = [(np.zeros(0, np.int64),) * 3]
+    for i, own in enumerate(query_ids):
+        first = -np.inf if floor is None else floor[i]
+        names, scores = best_of_query(queries[:, i].astype(np.float64), c, squares, ids, own, k, first, reached)
+        found.append((np.full(len(names), i), names, scores.astype(np.int64)))
+    return first_k(*(np.concatenate(x) for x in zip(*found)), k)
+
+
+def kth(values: np.ndarray, k: int) -> float:
+    """The k-th largest value, or less than any if there are fewer."""
+    return np.partition(values, len(values) - k)[len(values) - k] if len(values) >= k else -np.inf
+
+
+def best_of_query(q, c, squares, ids, own, k: int, bound: float, reached=None):
+    """Names and scores of what may be among the query's ``k`` best; see :func:`best_of_block`."""
+    order = np.argsort(-np.abs(q), kind="stable")
+    weights = q[order]
+    tail = np.sqrt(np.append(np.cumsum((weights * weights)[::-1])[::-1], 0.0)) * (1 + 1e-9)
+    alive = np.flatnonzero(ids != own)
+    scores, left = np.zeros(len(alive)), squares[alive]
+    for d in range(0, len(q), DIMENSIONS):
+        rows = order[d : d + DIMENSIONS]
+        last = d + DIMENSIONS >= len(q)
+        if last and reached is not None:
+            reached.append(len(alive))
+        part = c[rows] if len(alive) == c.shape[1] else c[np.ix_(rows, alive)]
+        scores = scores + weights[d : d + DIMENSIONS] @ part
+        if last:
+            break
+        left = left - (part * part).sum(axis=0)  # whole numbers: exact
+        slack = tail[d + DIMENSIONS] * np.sqrt(left) * (1 + 1e-9) + 1e-6
+        bound = max(bound, kth(scores - slack, k))
+        keep = np.flatnonzero(scores + slack >= bound)
+        if len(keep) < len(alive):
+            alive, scores, left = alive[keep], scores[keep], left[keep]
+    keep = scores >= max(bound, kth(scores, k))
+    return ids[alive[keep]], scores[keep]
 
 
 def whole_numbers(query_ids, queries, ids, values, k: int):
@@ -171,32 +212,45 @@ def top_k(vectors: DataFrame, every: int, k: int = 5, scale: int = 256) -> DataF
     zeros; rows with the query's own vec_id are the query's own; a query row that occurs several
     times is answered once; scores beyond 64 bits stay at the limit; an empty table gives no rows.
 
-    Candidates and queries become blocks of bounded size in vertical layout. A block of queries
-    meets every block of candidates once and returns k rows a query; no block grows with the table.
+    Candidates and queries become blocks of bounded size in vertical layout. The scores of a
+    bounded sample of the candidates give every query its first bound. Then the blocks of queries,
+    an ``every``-th of the rows, go to a grid of parts of the candidates, which move once; a task
+    meets its candidates block by block, with the bounds that the blocks before have raised, and
+    returns at most k rows a query.
     """
+    spark = vectors.sparkSession
     rows = whole_components(vectors, scale)
+    blocks = materialize(candidate_blocks(rows), "candidates")
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     buckets = max(1, -(-asked.count() // QUERIES))
-    queries = query_blocks(asked, buckets).toDF("q_ids", "q_dims", "q_width", "q_vals", "bucket")
+    size = blocks.agg(F.count(F.lit(1)), F.sum(F.octet_length("ids") / 8)).first()
+    least = -(-int(size[1] or 0) // PART_ROWS)
+    parts = max(1, min(size[0], max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    queries = query_blocks(asked, buckets).withColumn("one", F.lit(0))
+    seeds = seed_block(rows).withColumn("one", F.lit(0))
+    bounded = with_floors(queries, seeds, k)
     pairs = (
-        candidate_blocks(rows)
-        .toDF("c_ids", "c_dims", "c_width", "c_vals")
-        .withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-        .join(queries, "bucket")
+        bounded.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        .join(
+            blocks.toDF("c_ids", "c_dims", "c_width", "c_vals").withColumn(
+                "part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
+            ),
+            "part",
+        )
     )
 
     def run(batches):
         one_thread()
+        held = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                q_ids, q = unpack(row, "q")
-                c_ids, c = unpack(row, "c")
-                at, names, scores = best_of_block(q_ids, q, c_ids, c, k)
-                yield pa.record_batch(
-                    [pa.array(q_ids[at]), pa.array(names), pa.array(scores)],
-                    names=["query_id", "vec_id", "score"],
-                )
+            for row in batch.to_pylist():
+                if held is None or (row["bucket"], row["part"]) != held.name:
+                    if held is not None:
+                        yield held.batch()
+                    held = Running(row, k)
+                held.meet(*unpack(row, "c"))
+        if held is not None:
+            yield held.batch()
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
@@ -205,3 +259,60 @@ def top_k(vectors: DataFrame, every: int, k: int = 5, scale: int = 256) -> DataF
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
+
+
+class Running:
+    """A block of queries, with the best of the candidates that it has met and its bounds."""
+
+    def __init__(self, row: dict, k: int):
+        self.name, self.k = (row["bucket"], row["part"]), k
+        self.ids, self.vectors = unpack(row, "q")
+        self.floor = np.frombuffer(row["floor"], np.float64).copy()
+        self.best = (np.zeros(0, np.int64),) * 3
+
+    def meet(self, ids: np.ndarray, values: np.ndarray) -> None:
+        new = best_of_block(self.ids, self.vectors, ids, values, self.k, self.floor)
+        self.best = first_k(*(np.concatenate(x) for x in zip(self.best, new)), self.k)
+        at, _, scores = self.best
+        full = np.flatnonzero(np.arange(len(at)) - np.searchsorted(at, at) == self.k - 1)
+        self.floor[at[full]] = np.maximum(self.floor[at[full]], scores[full])
+
+    def batch(self) -> pa.RecordBatch:
+        at, names, scores = self.best
+        return pa.record_batch(
+            [pa.array(self.ids[at]), pa.array(names), pa.array(scores)],
+            names=["query_id", "vec_id", "score"],
+        )
+
+
+def with_floors(queries: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """The blocks of queries with a bound for every query: its k-th best score in the sample."""
+    sample = seeds.toDF("c_ids", "c_dims", "c_width", "c_vals", "one")
+    named = queries.toDF("q_ids", "q_dims", "q_width", "q_vals", "bucket", "one")
+    schema = "q_ids binary, q_dims int, q_width int, q_vals binary, bucket int, floor binary"
+
+    def run(batches):
+        one_thread()
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, vectors = unpack(row, "q")
+                floor = np.full(len(ids), -np.inf)
+                at, _, scores = best_of_block(ids, vectors, *unpack(row, "c"), k)
+                full = np.flatnonzero(np.arange(len(at)) - np.searchsorted(at, at) == k - 1)
+                # a score at the limit of 64 bits may stand for a larger one, but never for less
+                floor[at[full]] = scores[full]
+                kept = [row[n] for n in ("q_ids", "q_dims", "q_width", "q_vals", "bucket")]
+                yield pa.RecordBatch.from_pylist(
+                    [dict(zip(("q_ids", "q_dims", "q_width", "q_vals", "bucket", "floor"), [*kept, floor.tobytes()]))],
+                    schema=FLOORS,
+                )
+
+    return named.join(F.broadcast(sample), "one").mapInArrow(run, schema)
+
+
+FLOORS = pa.schema(
+    [
+        ("q_ids", pa.binary()), ("q_dims", pa.int32()), ("q_width", pa.int32()),
+        ("q_vals", pa.binary()), ("bucket", pa.int32()), ("floor", pa.binary()),
+    ]
+)

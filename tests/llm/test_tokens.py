@@ -125,6 +125,16 @@ def test_sampled_pieces_decode_to_the_text(docs, pieces):
     assert again != Counter((r.doc_id, r.ids) for r in encode_sampled(docs, pieces, seed=9).collect())
 
 
+def test_texts_with_every_odd_character_come_back(spark, pieces):
+    """The space's own character beside code points that no text should hold."""
+    odd = "".join(map(chr, (0x10FFFF, 0x10FFFE, 0xFFFFF, 0xFFFFE, 0xEFFFF, 0xEFFFE)))
+    texts = [odd + "▁", f"▁ {odd} ▁▁ a▁b  ▁", "▁", " ▁ ", "\ue000▁\ud7ff"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decode_pieces(encode_sampled(docs, pieces), pieces).collect()
+    assert {r.doc_id: r.decoded for r in rows} == dict(enumerate(texts))
+    assert all(r.lossless for r in rows)
+
+
 def test_samples_follow_the_lattice(pieces):
     sampler, n = Sampler(pieces, 0.5), 20_000
     ids, ends = sampler.sample(pa.array(["then"] * n), np.arange(n).astype(np.uint64))
