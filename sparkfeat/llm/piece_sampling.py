@@ -17,6 +17,11 @@ from sparkfeat.llm.batches import coded, expand, map_slices, row_sums, text_arra
 SPACE, NORMAL, BYTE = "▁", 1, 6
 #: Bytes of text of one step, cells of one lattice, and bits of the table of pieces.
 TEXT_BYTES, CELLS, SLOT_BITS = 8 << 20, 1_000_000, 20
+#: Longer words are cut where no piece can lie across; what is still longer shares a lattice with
+#: others that are at most this much longer.
+LONG_WORD, PADDING = 48, 1.15
+#: Stands between and behind words of one array; no text and no piece holds it.
+NO_CHARACTER = 0x110000
 #: Odd factors of the hash of characters.
 FACTOR, SCATTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Stands for the space's own character where a text holds it. No text holds this code point: it
@@ -56,6 +61,8 @@ class Pieces:
                 self.weight[i] = (1 + min(-p.score, last)) ** -alpha
         self.unknown = float(last) ** -alpha
         self.longest = max(map(len, self.number))
+        self.joins = np.zeros(NO_CHARACTER + 1, bool)
+        self.joins[[ord(c) for p in self.number if len(p) > 1 for c in p]] = True
         if any(SPACE in p.lstrip(SPACE) for p in self.number):
             raise ValueError(f"{path}: pieces may not reach over the end of a word")
         keys = np.array([self.hash_of(p) for p in self.number], np.uint64)
@@ -109,29 +116,37 @@ def prefix_hashes(chars: np.ndarray) -> np.ndarray:
     return out
 
 
-def lattice(pieces: Pieces, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def lattice(
+    pieces: Pieces, chars: np.ndarray, carry: np.ndarray | None = None, context: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward filtering of words of one length, all at once; ``chars`` is words x length.
 
     For every word and end position: the cumulative probabilities of the lengths 1, 2, ... of the
     piece that ends there, and the pieces (-1 for a character outside the vocabulary). The sums
     over segmentations are kept relative to the latest ones, so that long words do not vanish.
+
+    A part of a longer word begins with ``context`` characters of the part before, and with the
+    sums that the part before ends with, which come as the third result.
     """
     words, n = chars.shape
-    reach = min(n, pieces.longest)
+    reach = pieces.longest if carry is not None else min(n, pieces.longest)
     hashes = prefix_hashes(chars)
     ids = np.full((words, n, reach), -1, np.int32)
     weight = np.zeros((words, n, reach), np.float32)
     weight[:, :, 0] = pieces.unknown
     power = np.ones(1, np.uint64)
-    for size in range(1, reach + 1):
+    for size in range(1, min(n, reach) + 1):
         power = power * FACTOR
         at, found = pieces.find(hashes[:, size:] - hashes[:, :-size] * power)
         word, end = np.divmod(at, n - size + 1)
         ids[word, end + size - 1, size - 1] = found
         weight[word, end + size - 1, size - 1] = pieces.weight[found]
     sums = np.zeros((words, n + reach))  # reach - 1 zeros in front
-    sums[:, reach - 1] = 1
-    for end in range(n):
+    if carry is None:
+        sums[:, reach - 1] = 1
+    else:
+        sums[:, context : context + reach] = carry
+    for end in range(context, n):
         # the sums before a piece of length 1, 2, ... that ends here
         share = np.cumsum(sums[:, end : end + reach][:, ::-1] * weight[:, end], axis=1)
         total = share[:, -1:].copy()
@@ -139,7 +154,38 @@ def lattice(pieces: Pieces, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weight[:, end] = share
         sums[:, end + reach] = total[:, 0]
         sums[:, end + 1 : end + reach + 1] /= total
-    return weight, ids
+    return weight, ids, sums[:, n : n + reach].copy()
+
+
+def certain_cuts(pieces: Pieces, chars: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Whether no piece lies across the place before each character: there every segmentation
+    has a cut, so the parts on both sides can be sampled one without the other."""
+    out = np.ones(len(chars), bool)
+    for begin in range(0, len(chars), step):
+        low, end = max(0, begin - pieces.longest), begin + step
+        some = chars[low : end + pieces.longest]
+        across = np.zeros(len(some) + 1, np.int32)
+        # how far from every character on all are ones that pieces of several characters hold
+        breaks = np.append(np.flatnonzero(~pieces.joins[some]), len(some))
+        room = np.repeat(breaks, np.diff(np.concatenate([[-1], breaks])))[: len(some)] - np.arange(len(some))
+        start = np.flatnonzero(room > 1)
+        window = some[start] + np.uint64(1)
+        for size in range(2, pieces.longest + 1):
+            inside = room[start] >= size
+            start = start[inside]
+            if not len(start):
+                break
+            window = window[inside] * FACTOR + (some[start + size - 1] + np.uint64(1))
+            at, _ = pieces.find(window)
+            across += np.bincount(start[at] + 1, minlength=len(across)).astype(np.int32)
+            across -= np.bincount(start[at] + size, minlength=len(across)).astype(np.int32)
+        out[begin:end] = np.cumsum(across)[begin - low : end - low][: len(out) - begin] == 0
+    return out
+
+
+def points(names: list[str]) -> np.ndarray:
+    """The code points of some words, one after the other."""
+    return np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
 class Sampler:
@@ -178,9 +224,42 @@ class Sampler:
         sizes = np.diff(offsets) - row_sums(drop, offsets)
         return np.concatenate([[0], np.cumsum(sizes)]), codes[~drop], out + list(wider)
 
+    def cut_words(self, offsets, codes, names):
+        """The same with long words cut where no piece can lie across."""
+        long = [i for i, w in enumerate(names) if len(w) > LONG_WORD]
+        if not long:
+            return offsets, codes, names
+        size = np.array([len(names[i]) for i in long])
+        begin = np.cumsum(size + 1) - size - 1
+        chars = np.full(int(begin[-1] + size[-1] + 1), NO_CHARACTER, np.uint64)
+        chars[expand(begin, size)] = points([names[i] for i in long])
+        starts_part = certain_cuts(self.pieces, chars)
+        starts_part[begin] = starts_part[begin + size] = True
+        start = np.flatnonzero(starts_part)
+        length = np.diff(start, append=len(chars))
+        start, length = start[chars[start] != NO_CHARACTER], length[chars[start] != NO_CHARACTER]
+        number = np.empty(len(start), np.int64)
+        single = length == 1
+        letters, which = np.unique(chars[start[single]], return_inverse=True)
+        number[single] = len(names) + which
+        more = names + [chr(c) for c in letters.tolist()]
+        text, known = " ".join(names[i] for i in long), {}
+        several = np.flatnonzero(~single)
+        for i, a, n in zip(several.tolist(), start[several].tolist(), length[several].tolist()):
+            number[i] = known.setdefault(text[a : a + n], len(more) + len(known))
+        counts = np.ones(len(names), np.int64)
+        counts[long] = np.diff(np.searchsorted(start, np.append(begin, len(chars))))
+        starts = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), np.int64)
+        flat[starts] = np.arange(len(names))
+        flat[expand(starts[long], counts[long])] = number
+        wide = counts[codes]
+        edges = np.concatenate([[0], np.cumsum(wide)])[offsets]
+        return edges, flat[expand(starts[codes], wide)], more + list(known)
+
     def sample(self, texts: pa.Array, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All piece ids of the texts in order, and the offsets of the texts among them."""
-        offsets, codes, names = self.words(texts)
+        offsets, codes, names = self.cut_words(*self.words(texts))
         n = len(codes)
         if not n:
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
@@ -191,12 +270,13 @@ class Sampler:
         order = np.argsort(codes, kind="stable")
         bounds = np.searchsorted(codes[order], np.arange(len(names) + 1))
         found: list[np.ndarray] = []  # occurrence, steps before, piece or character
-        for size in np.unique(length).tolist():
-            mine = np.flatnonzero(length == size)
-            limit = max(1, CELLS // (size * min(size, self.pieces.longest)))
-            for i in range(0, len(mine), limit):
-                some = mine[i : i + limit]
-                found.append(self._sample_words([names[w] for w in some], some, order, bounds, seed))
+        seen = bounds[1:] > bounds[:-1]
+        for mine in self._alike(length, seen):
+            some = [names[w] for w in mine]
+            if len(some) == 1 and len(some[0]) * self.pieces.longest > CELLS:
+                found.append(self._sample_part_by_part(some[0], mine, order, bounds, seed))
+            else:
+                found.append(self._sample_words(some, mine, order, bounds, seed))
         who, step, drawn = np.concatenate(found, axis=1)
         counts = np.bincount(who, minlength=n)
         ids = np.empty(len(who), np.int64)
@@ -206,29 +286,80 @@ class Sampler:
         ends = np.concatenate([[0], np.cumsum(row_sums(counts, offsets))])
         return ids, ends
 
+    def _alike(self, length: np.ndarray, seen: np.ndarray):
+        """Words that share a lattice: of one length, or long ones of about one length."""
+        order = np.argsort(length, kind="stable")
+        order = order[seen[order]]
+        sizes = length[order]
+        start = 0
+        while start < len(order):
+            least = int(sizes[start])
+            most = least if least <= LONG_WORD else int(least * PADDING)
+            stop = int(np.searchsorted(sizes, most, side="right"))
+            limit = max(1, CELLS // (most * min(most, self.pieces.longest)))
+            stop = min(stop, start + limit)
+            yield order[start:stop]
+            start = stop
+
     def _sample_words(self, names, numbers, order, bounds, seed):
-        raw = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
-        chars = raw.reshape(len(names), -1)
-        cumulative, ids = lattice(self.pieces, chars.astype(np.uint64))
+        length = np.fromiter(map(len, names), np.int64)
+        chars = np.full((len(names), int(length.max())), NO_CHARACTER, np.uint64)
+        chars[np.arange(chars.shape[1]) < length[:, None]] = points(names)
+        cumulative, ids, _ = lattice(self.pieces, chars)
         size = bounds[numbers + 1] - bounds[numbers]
         who = order[expand(bounds[numbers], size)]
         word = np.repeat(np.arange(len(names)), size)
-        at = np.full(len(who), chars.shape[1])
-        out, step = [np.zeros((3, 0), np.int64)], 0
-        while len(who):
+        out, step = [np.zeros((3, 0), np.int64)], np.zeros(len(who), np.int64)
+        self._draw(cumulative, ids, chars, who, word, length[word], 0, seed, step, out)
+        return np.concatenate(out, axis=1)
+
+    def _sample_part_by_part(self, name, numbers, order, bounds, seed):
+        """One very long word: the sums at the start of every part are kept from a first pass,
+        the parts are filtered again from the last on, and sampled in turn."""
+        longest = self.pieces.longest
+        chars, width = points([name])[None, :], max(1, CELLS // longest)
+        begins = list(range(0, len(name), width))
+        carry = np.zeros((1, longest))
+        carry[0, -1] = 1
+        kept = []
+        for begin in begins:
+            kept.append(carry)
+            context = min(begin, longest)
+            *_, carry = lattice(self.pieces, chars[:, begin - context : begin + width], carry, context)
+        who = order[bounds[numbers[0]] : bounds[numbers[0] + 1]]
+        at, step = np.full(len(who), len(name)), np.zeros(len(who), np.int64)
+        out = [np.zeros((3, 0), np.int64)]
+        for begin, carry in zip(reversed(begins), reversed(kept)):
+            context = min(begin, longest)
+            part = chars[:, begin - context : begin + width]
+            cumulative, ids, _ = lattice(self.pieces, part, carry, context)
+            inside = at - begin + context
+            at = self._draw(cumulative, ids, part, who, np.zeros(len(who), np.int64), inside, context, seed, step, out)
+            at = at + begin - context
+        return np.concatenate(out, axis=1)
+
+    def _draw(self, cumulative, ids, chars, who, word, at, low, seed, step, out) -> np.ndarray:
+        """Pieces of all occurrences from their ends (``at``) down to ``low``; where they stop.
+
+        ``step`` counts the pieces of every occurrence; ``out`` gets occurrence, step, and piece or
+        character.
+        """
+        at = at.copy()
+        left = np.flatnonzero(at > low)
+        while len(left):
             # 24 bits, so that the float stays below 1
-            draw = mix(seed[who] + np.full(1, step, np.uint64) * FACTOR) >> np.uint64(40)
+            draw = mix(seed[who[left]] + step[left].astype(np.uint64) * FACTOR) >> np.uint64(40)
             draw = (draw / (1 << 24)).astype(np.float32)
-            took = (cumulative[word, at - 1, :-1] <= draw[:, None]).sum(axis=1)
-            piece = ids[word, at - 1, took].astype(np.int64)
+            here, of = at[left] - 1, word[left]
+            took = (cumulative[of, here, :-1] <= draw[:, None]).sum(axis=1)
+            piece = ids[of, here, took].astype(np.int64)
             outside = piece < 0
-            piece[outside] = -1 - chars[word[outside], at[outside] - 1].astype(np.int64)
-            out.append(np.array([who, np.full(len(who), step), piece]))
-            at = at - took - 1
-            left = at > 0
-            who, word, at = who[left], word[left], at[left]
-            step += 1
-        return np.concatenate(out, axis=1)
+            piece[outside] = -1 - chars[of[outside], here[outside]].astype(np.int64)
+            out.append(np.array([who[left], step[left], piece]))
+            at[left] = here - took
+            step[left] += 1
+            left = left[at[left] > low]
+        return at
 
     def _spell(self, ids: np.ndarray, occurrence: np.ndarray, n: int):
         """Characters outside the vocabulary (negative) as the pieces of their bytes."""
@@ -262,7 +393,9 @@ def encode_sampled(
     """A sampled segmentation of every whole text, and proof that it decodes to the text.
 
     A text's words with the spaces before them are the spans of the piece lattice, as no piece
-    passes the end of a word. Forward filtering sums the weights of all segmentations up to each
+    passes the end of a word; words of more than 48 characters, such as texts without spaces, are
+    cut further where no piece lies across, and what cannot be cut is filtered in parts of bounded
+    size. Forward filtering sums the weights of all segmentations up to each
     character, once for each distinct word of a step; backward sampling then draws every
     occurrence from its end on. The numbers drawn depend on the row's key, the word's place and
     ``seed`` alone, so a repeated run and a repeated row give the same pieces.

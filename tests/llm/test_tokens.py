@@ -1,5 +1,6 @@
 """Packing, token counts and sampled pieces against the libraries and exact round trips."""
 
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,7 +9,8 @@ import pyarrow as pa
 import pytest
 
 from sparkfeat.llm.bin_packing import Capacities, best_fit_decreasing, pack_token_ids
-from sparkfeat.llm.piece_sampling import Sampler, decode_pieces, encode_sampled
+from sparkfeat.llm import piece_sampling
+from sparkfeat.llm.piece_sampling import Sampler, certain_cuts, decode_pieces, encode_sampled
 from sparkfeat.llm.token_counts import TokenCounter, count_tokens
 from sparkfeat.llm.window_packing import WINDOW_PRICE, best_cuts, pack_windows
 from tests.llm.conftest import ROWS
@@ -156,6 +158,53 @@ def test_samples_follow_the_lattice(pieces):
         assert abs(found[path] / n - w / total) < 0.02
 
 
+def test_no_piece_lies_across_a_certain_cut(pieces):
+    sampler = Sampler(pieces, 1.0)
+    names = ["▁" + "nowhere日本語のテキストthere" * 9, "的一是不了人我在有他" * 11, "x" * 70, "é１２３" * 20]
+    for name in names:
+        chars = np.array([ord(c) for c in name], np.uint64)
+        want = [
+            not any(name[a:b] in sampler.pieces.number for a in range(max(0, i - 40), i) for b in range(i + 1, i + 40))
+            for i in range(len(name))
+        ]
+        for step in (7, 1 << 20):
+            assert certain_cuts(sampler.pieces, chars, step)[1:].tolist() == want[1:]
+
+
+def test_parts_of_a_long_word_are_sampled_as_the_whole(pieces, monkeypatch):
+    random = np.random.default_rng(7)
+    letters = "".join(random.choice(list("etaoinshrdlu"), 3000))
+    texts, seeds = pa.array([letters, letters, "a " + letters[:700]]), np.arange(3).astype(np.uint64)
+    ids, ends = Sampler(pieces, 1.0).sample(texts, seeds)
+    monkeypatch.setattr(piece_sampling, "CELLS", 2000)
+    again, same = Sampler(pieces, 1.0).sample(texts, seeds)
+    assert ends.tolist() == same.tolist() and (ids == again).mean() > 0.999
+    monkeypatch.setattr(piece_sampling, "CELLS", 1_000_000)
+    monkeypatch.setattr(piece_sampling, "LONG_WORD", 1 << 30)  # nothing is cut
+    whole, edges = Sampler(pieces, 1.0).sample(texts, seeds)
+    sampler = Sampler(pieces, 1.0)
+    for a, b, text in zip(edges, edges[1:], texts.to_pylist()):
+        assert sampler.decode(whole[a:b]).decode() == text
+
+
+def test_texts_without_spaces(spark, pieces):
+    """12 MB of ideographs in one text cost at most three times as much a byte as documents."""
+    random = np.random.default_rng(8)
+    ideographs = "".join(map(chr, random.integers(0x4E00, 0x9FA5, 4_000_000)))
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = " ".join(r.text for r in documents.select("text").collect())
+    sampler, spent = Sampler(pieces, 1.0), {}
+    texts = {"spaced": words, "ideographs": ideographs}
+    for name, text in texts.items():
+        begin = time.process_time()
+        ids, _ = sampler.sample(pa.array([text]), np.zeros(1, np.uint64))
+        spent[name] = (time.process_time() - begin) / len(text.encode())
+        assert sampler.decode(ids).decode() == text
+    assert spent["ideographs"] < 3 * spent["spaced"]
+    docs = spark.createDataFrame([(1, "nospaces" * 30_000), (2, ideographs)], "doc_id long, text string")
+    assert all(r.lossless for r in encode_sampled(docs, pieces).select("lossless").collect())
+
+
 def test_empty_tables_and_other_columns(empty, wide, docs, vocabulary, pieces):
     for run in (
         lambda d: pack_token_ids(d, *vocabulary, end_id=50256),
