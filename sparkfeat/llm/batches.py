@@ -121,10 +121,19 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Recent:
-    """A mapping that forgets what has not been asked for among the latest ``size`` new keys."""
+    """A mapping that forgets what has not been asked for among the latest new keys.
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+    It holds two generations; one ends with ``size`` keys or ``characters`` characters in them.
+    """
+
+    def __init__(self, size: int, characters: int):
+        self.size, self.characters = size, characters
+        self.young, self.old, self.held = {}, {}, 0
+
+    def _add(self, key, value) -> None:
+        if key not in self.young:
+            self.held += len(key)
+        self.young[key] = value
 
     def get_many(self, keys: list, make: Callable[[list], list]) -> list:
         """The values of ``keys``; those not known come from one call of ``make``."""
@@ -137,9 +146,11 @@ class Recent:
                 if value is None:
                     missing.append(i)
                 else:
-                    values[i] = young[keys[i]] = value
+                    values[i] = value
+                    self._add(keys[i], value)
         for i, value in zip(missing, make([keys[i] for i in missing])):
-            values[i] = young[keys[i]] = value
-        if len(young) > self.size:
-            self.old, self.young = young, {}
+            values[i] = value
+            self._add(keys[i], value)
+        if len(young) > self.size or self.held > self.characters:
+            self.old, self.young, self.held = young, {}, 0
         return values

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 
 from sparkfeat.llm.batches import Recent, by_space, map_slices, row_sums, text_array, texts_of
 
-#: Distinct words whose counts a task remembers, and the tokens above which a text is too long.
-REMEMBERED, LIMIT = 500_000, 4096
+#: Distinct words whose counts a task remembers twice over, characters that they may have in all,
+#: and the tokens above which a text is too long.
+REMEMBERED, CHARACTERS, LIMIT = 500_000, 1 << 24, 4096
 #: The character that stands for a space in the vocabulary.
 SPACE = "▁"
 #: Kinds of vocabulary entries that text can become.
@@ -94,7 +95,7 @@ class TokenCounter:
     """Counts of texts: no merge passes the end of a word, so each distinct word is counted once."""
 
     def __init__(self, path: str):
-        self.ranks, self.cache = PieceRanks(path), Recent(REMEMBERED)
+        self.ranks, self.cache = PieceRanks(path), Recent(REMEMBERED, CHARACTERS)
 
     def _make(self, words: list[str]) -> list[int]:
         return [self.ranks.count(SPACE + w) for w in words]
