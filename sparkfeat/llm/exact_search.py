@@ -97,9 +97,10 @@ def seed_block(rows: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         one_thread()
-        return pa.Table.from_batches([whole_block(table.select(["vec_id", "v"]).to_batches())])
+        batch = whole_block(table.select(["vec_id", "v"]).to_batches())
+        return pa.Table.from_batches([batch]).append_column("one", pa.array([0], pa.int32()))
 
-    return some.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(run, BLOCK)
+    return some.groupBy(F.pmod("vec_id", F.lit(1)).cast("int").alias("one")).applyInArrow(run, f"{BLOCK}, one int")
 
 
 def query_blocks(rows: DataFrame, buckets: int) -> DataFrame:
@@ -226,17 +227,16 @@ def top_k(vectors: DataFrame, every: int, k: int = 5, scale: int = 256) -> DataF
     size = blocks.agg(F.count(F.lit(1)), F.sum(F.octet_length("ids") / 8)).first()
     least = -(-int(size[1] or 0) // PART_ROWS)
     parts = max(1, min(size[0], max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    queries = query_blocks(asked, buckets).withColumn("one", F.lit(0))
-    seeds = seed_block(rows).withColumn("one", F.lit(0))
-    bounded = with_floors(queries, seeds, k)
+    queries = query_blocks(asked, buckets).withColumn("one", F.pmod("bucket", F.lit(1)))
+    bounded = with_floors(queries, seed_block(rows), k)
+    candidates = blocks.toDF("c_ids", "c_dims", "c_width", "c_vals").withColumn(
+        "part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
+    )
+    # the number of parts is given on both sides, as their bytes do not tell how much work they are
     pairs = (
         bounded.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        .join(
-            blocks.toDF("c_ids", "c_dims", "c_width", "c_vals").withColumn(
-                "part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
-            ),
-            "part",
-        )
+        .repartition(parts, "part")
+        .join(candidates.repartition(parts, "part"), "part")
     )
 
     def run(batches):
