@@ -381,7 +381,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of every class of near duplicates, that of the least doc_id, with all columns.
 
-    Of equal rows one stays; rows without a word are classes of their own and all stay.
+    Of equal rows, and of rows of a class that share the least doc_id, one stays; a missing doc_id
+    comes after all others; rows without a word are classes of their own and all stay; an empty
+    table gives no rows.
     """
     rows = placed(wrapped(docs, F.col("doc_id").cast("long").alias("id")))
     signed, grouped = link_classes(rows.select("id", "text"))

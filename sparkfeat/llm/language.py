@@ -157,6 +157,7 @@ def fit(docs: DataFrame) -> Model | None:
     over the root of the product of the numbers that each holds. Landmarks are the first sampled
     rows of every language; n-grams that no landmark holds are outside of the kernel's space.
     As the kernel is an inner product, landmark kernels and coefficients are kept multiplied.
+    N-grams are told apart by a hash of 17 bits: those that share one count as one n-gram.
     """
     sample = sample_presence(training_sample(docs))
     if not sample:
@@ -209,7 +210,8 @@ def apply(rows: DataFrame, model: Model | None) -> DataFrame:
 def identify(docs: DataFrame) -> DataFrame:
     """Language of every whole text, learned from text and lang of rows that are not held out.
 
-    ``score`` is the regression's value of the best language, cut to 0 to 1. A missing text or
+    ``score`` is the regression's value of the best language, cut to 0 to 1; of equal values the
+    first language in code-point order counts. A missing text or
     one without letters is ``und`` with score 0, and so is all if no row teaches a language.
     A missing doc_id counts as empty text for the fold; rows without lang are only predicted;
     repeated rows are repeated; an empty table gives no rows.
@@ -224,6 +226,8 @@ def keep_known(docs: DataFrame, least: float = 0.25) -> DataFrame:
     """The rows whose text has a language with a score of ``least`` or more.
 
     If no row teaches a language, texts cannot be told apart, and all that have a letter stay.
+    Missing texts and those without a letter go; missing values in other columns play no part;
+    repeated rows stay or go together; an empty table gives no rows.
     """
     rows, model = wrapped(docs), fit(docs)
     if model is None:

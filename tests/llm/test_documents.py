@@ -16,8 +16,8 @@ from check import compare, connect
 from sparkfeat.llm import exact_search
 from sparkfeat.llm.exact_search import best_of_block, top_k
 from sparkfeat.llm.jaccard_join import keep_one, near_duplicates
-from sparkfeat.llm.language import fit, identify, keep_known
-from sparkfeat.llm.quality import choose, judge, keep_good, tail
+from sparkfeat.llm.language import fit, identify, keep_known, training_sample
+from sparkfeat.llm.quality import CUTOFFS, choose, judge, keep_good, pooling, tail
 from sparkfeat.llm.queries import ORACLES, QUERIES
 from sparkfeat.llm.secrets import find, hide, joined, redact_secrets, scan_secrets
 from sparkfeat.llm.sharding import shard_documents
@@ -295,6 +295,40 @@ def test_languages(spark, docs, small):
     assert fit(unlabelled) is None and {r.lang_pred for r in identify(unlabelled).collect()} == {"und"}
 
 
+def byte_grams(text):
+    raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in f" {text.lower()} ".encode())
+    return {raw[i : i + n] for n in range(1, 5) for i in range(len(raw) - n + 1)}
+
+
+def test_languages_equal_a_plain_kernel_regression(spark, small):
+    """Sets of n-grams without hashes, one kernel value a pair, and the normal equations."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    sample = sorted(training_sample(docs).collect(), key=lambda r: (r["rank"], r.key, r.lang))
+    languages = sorted({r.lang for r in sample})
+    marks = [r for r in sample if r["rank"] <= 192 // len(languages)][:192]
+    space = set().union(*(byte_grams(r.text) for r in marks))
+
+    def features(texts):
+        return [byte_grams(t) & space for t in texts]
+
+    def kernel(left, right):
+        return np.array([[len(a & b) / math.sqrt(max(1, len(a)) * max(1, len(b))) for b in right] for a in left])
+
+    landmarks, taught = features(r.text for r in marks), features(r.text for r in sample)
+    k = kernel(taught, landmarks)
+    wanted = np.array([[float(r.lang == name) for name in languages] for r in sample])
+    left = k.T @ k + 1e-3 * len(sample) * kernel(landmarks, landmarks) + 1e-8 * np.eye(len(marks))
+    coefficients = np.linalg.solve(left, k.T @ wanted)
+    texts = {r.doc_id: r.text for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
+    scores = kernel(features(texts.values()), landmarks) @ coefficients
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs).collect()}
+    for doc, row in zip(texts, scores):
+        name, score = got[doc]
+        assert abs(min(1, max(0, row.max())) - score) < 0.03
+        if np.sort(row)[-1] - np.sort(row)[-2] > 0.06:
+            assert languages[row.argmax()] == name
+
+
 def test_without_a_language_only_texts_without_letters_go(docs):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     only_held_out = docs.where("crc32(CAST(coalesce(CAST(doc_id AS STRING), '') AS BINARY)) % 4 = 2")
@@ -430,6 +464,108 @@ def test_empty_tables_and_other_columns(empty, wide, docs, labels):
         assert run(wide).count() == run(docs).count()
 
 
+def plain_measures(text):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+    lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    twice, covered = Counter(windows), set()
+    for i, w in enumerate(windows):
+        covered.update(range(i, i + 8) if twice[w] > 1 else ())
+    letters, capitals = (len(re.findall(p, text or "")) for p in ("[A-Za-z]", "[A-Z]"))
+    measures = {
+        "symbols": len(re.findall("[#*$%&|<>]", text or "")) / len(words) if words else 0,
+        "capitals": capitals / letters if letters else 0,
+        "same_lines": (len(lines) - len(set(lines))) / len(lines) if lines else 0,
+        "repeats": len(covered) / len(words) if words else 0,
+    }
+    return measures, len(words) < 20 or 100 * len(covered) > 30 * len(words)
+
+
+def plain_kept(rows, labels):
+    """Rows that pass: base rules, and cutoffs tested on distinct texts with exact binomials."""
+    measured = [plain_measures(r.text) for r in rows]
+    told = {}
+    for r in labels:
+        if r.doc_id is not None and r.quality is not None:
+            told.setdefault(r.doc_id, set()).add(r.quality)
+    trials = {}
+    for r, (m, failed) in zip(rows, measured):
+        if not failed and r.doc_id in told:
+            key = (r.lang or "", r.text)
+            trials[key] = (m, trials.get(key, (m, False))[1] or 1 in told[r.doc_id])
+    sizes = Counter(s for (s, _), (_, good) in trials.items() if good)
+    least, strata = pooling(Counter(sizes.values()))
+    error, risk = 0.05 / (strata * 4), 0.02
+    group = {s: s if sizes[s] >= least else None for s in sizes}
+    cutoffs = {}
+    for name in set(group.values()):
+        mine = [t for (s, _), t in trials.items() if s in group and group[s] == name]
+        n = sum(good for _, good in mine)
+        for rule, steps in CUTOFFS.items():
+            best, value = math.inf, 0
+            for cut in steps:
+                wrong = sum(good and m[rule] > cut for m, good in mine)
+                right = sum(not good and m[rule] > cut for m, good in mine)
+                chance = sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(wrong + 1))
+                if n == 0 or wrong >= n * risk or chance > error:
+                    break
+                if right - 20 * wrong > value:
+                    best, value = cut, right - 20 * wrong
+            cutoffs[name, rule] = best
+
+    def passes(r, m, failed):
+        if failed:
+            return False
+        return all(m[rule] <= cutoffs.get((group.get(r.lang or "", "none"), rule), math.inf) for rule in CUTOFFS)
+
+    return [r for r, (m, failed) in zip(rows, measured) if passes(r, m, failed)]
+
+
+def plain_firsts(rows):
+    """The least doc_id of every class of texts linked at 0.8, and every text without words."""
+    sets = [grams(r.text) for r in rows]
+    root = list(range(len(rows)))
+
+    def find_root(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                root[find_root(i)] = find_root(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least.setdefault(find_root(i), []).append(r.doc_id)
+    return sorted(min(ids) for ids in least.values())
+
+
+def test_stages_keep_what_plain_versions_keep(spark):
+    """Every stage on what the one before kept, against plain Python on the same rows."""
+    folder = "/root/testdata/sf0.01"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    good = stages["quality rules"](spark, docs, folder).cache()
+    rows = docs.collect()
+    want = plain_kept(rows, labels)
+    assert Counter(r.doc_id for r in good.collect()) == Counter(r.doc_id for r in want)
+    assert len(want) < sum(not plain_measures(r.text)[1] for r in rows)  # cutoffs act
+    known = stages["language"](spark, good, folder).cache()
+    told = {r.doc_id for r in identify(good).collect() if r.lang_pred != "und" and r.score >= 0.25}
+    assert {r.doc_id for r in known.collect()} == told
+    single = stages["near duplicates"](spark, known, folder).cache()
+    assert sorted(r.doc_id for r in single.collect()) == plain_firsts(known.collect())
+    hidden = stages["secrets"](spark, single, folder).cache()
+    kinds = ["assign", "access", "hex", "user", "code", "endpoint"]
+    plain = {r.doc_id: hide(r.text, find(r.text, kinds)[0]) for r in single.collect()}
+    assert {r.doc_id: r.text for r in hidden.collect()} == plain
+    assert any("[ASSIGN]" in t for t in plain.values())
+    packed = stages["packing"](spark, hidden, folder).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("all"))
+    assert {r.doc_id for r in packed.collect() if r.n == r.all} == set(plain)
+
+
 def test_pipeline(spark, small):
     table = spark.read.parquet(f"{small}/documents.parquet")
     docs = table
@@ -444,4 +580,4 @@ def test_pipeline(spark, small):
 
 def test_all_queries_are_offered():
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))

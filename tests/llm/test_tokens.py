@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 
 from sparkfeat.llm.bin_packing import Capacities, best_fit_decreasing, pack_token_ids
-from sparkfeat.llm import piece_sampling
+from sparkfeat.llm import piece_sampling, token_counts
+from sparkfeat.llm.batches import Recent
 from sparkfeat.llm.piece_sampling import Sampler, certain_cuts, decode_pieces, encode_sampled
 from sparkfeat.llm.token_counts import TokenCounter, count_tokens
 from sparkfeat.llm.window_packing import WINDOW_PRICE, best_cuts, pack_windows
@@ -117,6 +118,18 @@ def test_counts_equal_the_library(docs, pieces):
     )
 
 
+def test_remembered_words_are_bounded_by_their_characters(pieces, monkeypatch):
+    monkeypatch.setattr(token_counts, "CHARACTERS", 50_000)
+    counter, fresh = TokenCounter(pieces), TokenCounter(pieces)
+    for i in range(40):
+        texts = pa.array([f"{chr(97 + i % 26)}{i}" * 3000 + " short words", "long " + "q" * 9000])
+        assert counter.counts(texts).tolist() == fresh.counts(texts).tolist()
+        held = sum(map(len, counter.cache.young)) + sum(map(len, counter.cache.old))
+        assert held <= 2 * (50_000 + 20_000)
+    recent = Recent(2, 100)
+    assert recent.get_many(["a", "b", "a"], lambda k: [len(x) for x in k]) == [1, 1, 1]
+
+
 def test_sampled_pieces_decode_to_the_text(docs, pieces):
     rows = encode_sampled(docs, pieces)
     back = decode_pieces(rows, pieces).collect()
