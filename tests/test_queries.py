@@ -55,3 +55,25 @@ def test_every_registered_query_is_offered():
 def test_entry_runs(spark):
     out = driver.entry(spark)
     assert out.count() == spark.read.parquet(f"{driver.SMOKE_DIR}/customer.parquet").count()
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "xxhash", "sparkfeat.llm", "corpus_pipeline"])
+def test_other_queries_are_offered_without_a_library_of_the_corpus_operators(missing):
+    """A fresh interpreter in which a module cannot be found."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+class Absent:
+    def find_spec(self, name, path=None, target=None):
+        if name == {missing!r} or name.startswith({missing!r} + "."):
+            raise ModuleNotFoundError(f"No module named {{name}}", name=name)
+sys.meta_path.insert(0, Absent())
+import __spark_entry__ as driver
+from sparkfeat.registry import QUERIES
+assert set(driver.queries()) == set(QUERIES), set(driver.queries()) ^ set(QUERIES)
+print("offered")
+"""
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], capture_output=True, text=True)
+    assert out.stdout.strip().endswith("offered"), out.stderr[-500:]
