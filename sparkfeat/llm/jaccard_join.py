@@ -19,6 +19,7 @@ from sparkfeat.llm.batches import (
     unwrapped,
     wrapped,
 )
+from sparkfeat.llm.bitmaps import with_possible
 from sparkfeat.llm.components import components
 from sparkfeat.sources.store import materialize
 
@@ -320,9 +321,19 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "classes",
     )
     members, buckets = shared_buckets(classes)
-    met = materialize(members.join(buckets, ["band", "hash"]).drop("n"), "bucket-members")
-    wanted = met.select("class").distinct().join(classes.select("class", "place"), "class")
-    sets = full_sets(located.select("place", "text").join(wanted, "place").select("class", "text"))
+    buckets = materialize(buckets, "buckets")
+    shared = with_possible(members, buckets, "band", "hash").where("possible")
+    met = materialize(
+        shared.join(buckets, ["band", "hash"]).select("class", "band", "hash", "blocks"), "bucket-members"
+    )
+    candidates = materialize(
+        met.select("class").distinct().join(classes.select("class", "place", "copies", "bands"), "class"),
+        "candidates",
+    )
+    texts = with_possible(located.select("place", "text"), candidates, "place").where("possible")
+    sets = full_sets(
+        texts.join(candidates.select("place", "class"), "place").select("class", "text")
+    )
     blocks = (
         met.withColumn("block", F.expr("int(pmod(xxhash64(class), blocks))"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -331,7 +342,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.greatest("block", "other").alias("high"),
         )
     )
-    content = sets.join(classes.select("class", "copies", "bands"), "class")
+    content = sets.join(candidates.select("class", "copies", "bands"), "class")
     found = materialize(verified(blocks.join(content, "class")), "links")
     near = components(found.select(F.col("class").alias("u"), F.col("root").alias("v")))
     grouped = (
@@ -387,7 +398,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     rows = placed(wrapped(docs, F.col("doc_id").cast("long").alias("id")))
     signed, grouped = link_classes(rows.select("id", "text"))
-    first = grouped.groupBy("root").agg(F.min("least").alias("first")).select("first.place")
-    of_classes = rows.join(first, "place", "left_semi").dropDuplicates(["place"])
+    roots = materialize(
+        grouped.groupBy("root").agg(
+            F.min("least").alias("first"), F.sum("copies").alias("members")
+        ),
+        "roots",
+    )
+    crowded = grouped.join(roots.where("members > 1"), "root").select("class")
+    touched = signed.select("class", "place").join(crowded, "class").select("place")
     wordless = F.coalesce(F.regexp_like("text", F.lit("^[\\x20\\x09-\\x0D]*\\z")), F.lit(True))
-    return unwrapped(of_classes.union(rows.select(of_classes.columns).where(wordless)), docs.columns)
+    marked = with_possible(rows, materialize(touched, "touched"), "place").withColumn(
+        "moves", F.col("possible") & ~wordless
+    )
+    first = roots.select("first.place")
+    chosen = marked.where("moves").join(first, "place", "left_semi").dropDuplicates(["place"])
+    kept = marked.where("NOT moves").unionByName(chosen)
+    return unwrapped(kept, docs.columns)
