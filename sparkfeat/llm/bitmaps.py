@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a bitmap. Its rows, 4 KB each, are at most one for 32768 bits and one more: 16 MB.
-BITS = 1 << 27
+#: Bits of a bitmap, and words of 64 bits in a row of it: at most 2^18 rows of 72 bytes.
+BITS, WORDS = 1 << 27, 8
 
 
-def _bit(columns: tuple[str, ...]) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(BITS))
+def _place(columns: tuple[str, ...]) -> tuple[Column, Column, Column]:
+    """Row of the bitmap, word in the row and the word's bit that the values of the columns have."""
+    bit = F.pmod(F.xxhash64(*columns), F.lit(BITS))
+    word = F.floor(bit / 64)
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    return F.floor(word / WORDS), word % WORDS, mask
 
 
 def bitmap(values: DataFrame, *columns: str) -> DataFrame:
-    """Rows (bucket, bits): the bit at the hash of every value of the columns is set.
+    """Rows (chunk, w0, w1 ...): the bit at the hash of every value of the columns is set.
 
-    Equal values are dropped before they are dealt out by bucket, so a frequent one does not
-    travel; a bucket is then 4 KB that one task sets.
+    Words are combined before they are dealt out, so a frequent value does not travel.
     """
-    bit = _bit(columns)
-    places = values.select(
-        F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("position")
-    ).distinct()
-    return places.repartition("bucket").groupBy("bucket").agg(
-        F.bitmap_construct_agg("position").alias("bits")
-    )
+    chunk, word, mask = _place(columns)
+    words = [F.bit_or(F.when(word == i, mask).otherwise(F.lit(0))).alias(f"w{i}") for i in range(WORDS)]
+    return values.groupBy(chunk.alias("chunk")).agg(*words)
 
 
 def with_possible(rows: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
@@ -35,15 +34,11 @@ def with_possible(rows: DataFrame, values: DataFrame, *columns: str) -> DataFram
     probability that its bit is set by another value: 0.04 at 5 million values. With far more values
     than bits all rows are possible and nothing is spared, so a join must follow in any case.
     """
-    bit = _bit(columns)
-    position = F.bitmap_bit_position(bit)
-    byte = F.substring("bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))
-    mask = F.pow(F.lit(2), position % 8).cast("int")
-    is_set = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(mask) > 0
-    held = F.broadcast(bitmap(values, *columns))
+    chunk, word, mask = _place(columns)
+    held = F.coalesce(*(F.when(word == i, F.col(f"w{i}")) for i in range(WORDS)))
     return (
-        rows.withColumn("bucket", F.bitmap_bucket_number(bit))
-        .join(held, "bucket", "left")
-        .withColumn("possible", F.coalesce(is_set, F.lit(False)))
-        .drop("bucket", "bits")
+        rows.withColumn("chunk", chunk)
+        .join(F.broadcast(bitmap(values, *columns)), "chunk", "left")
+        .withColumn("possible", F.coalesce(held.bitwiseAND(mask) != 0, F.lit(False)))
+        .drop("chunk", *(f"w{i}" for i in range(WORDS)))
     )
