@@ -13,12 +13,12 @@ from sparkfeat.llm.batches import one_thread, slices, text_array, texts_of
 from sparkfeat.llm.tokens import TokenIds
 
 #: Ids of a window, and ids that one run of the dynamic program covers.
-WINDOW, BLOCK_IDS = 1024, 4 << 20
+WINDOW, BLOCK_IDS = 1024, 1 << 20
 #: In padded ids: the price of a window, of a cut after a sentence, of a cut anywhere else.
 WINDOW_PRICE, SENTENCE_PRICE, INNER_PRICE = 6, 4, 12
 #: Without an end of a sentence, a cut is possible after so many ids.
 INNER_STEP = 32
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 2 << 20
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
