@@ -229,9 +229,7 @@ def top_k(vectors: DataFrame, every: int, k: int = 5, scale: int = 256) -> DataF
     parts = max(1, min(size[0], max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     queries = query_blocks(asked, buckets).withColumn("one", F.pmod("bucket", F.lit(1)))
     bounded = with_floors(queries, seed_block(rows), k)
-    candidates = blocks.toDF("c_ids", "c_dims", "c_width", "c_vals").withColumn(
-        "part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
-    )
+    candidates = dealt(blocks.toDF("c_ids", "c_dims", "c_width", "c_vals"), parts)
     # the number of parts is given on both sides, as their bytes do not tell how much work they are
     pairs = (
         bounded.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -261,6 +259,17 @@ def top_k(vectors: DataFrame, every: int, k: int = 5, scale: int = 256) -> DataF
     )
 
 
+def dealt(stored: DataFrame, parts: int) -> DataFrame:
+    """The rows of a stored table with a ``part`` from 0 below ``parts``, dealt out in turn.
+
+    Every partition of the table starts one part after the one before, so that partitions of few
+    rows do not all begin with the same part.
+    """
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    turn = F.pmod(F.spark_partition_id() + within, F.lit(parts))
+    return stored.withColumn("part", turn.cast("int"))
+
+
 class Running:
     """A block of queries, with the best of the candidates that it has met and its bounds."""
 

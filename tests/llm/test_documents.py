@@ -14,7 +14,7 @@ import __spark_entry__ as driver
 import corpus_pipeline
 from check import compare, connect
 from sparkfeat.llm import exact_search
-from sparkfeat.llm.exact_search import best_of_block, top_k
+from sparkfeat.llm.exact_search import best_of_block, dealt, top_k
 from sparkfeat.llm.jaccard_join import keep_one, near_duplicates
 from sparkfeat.llm.language import fit, identify, keep_known, training_sample
 from sparkfeat.llm.quality import CUTOFFS, choose, judge, keep_good, pooling, tail
@@ -440,6 +440,14 @@ def test_search_over_many_parts_and_blocks(spark, monkeypatch):
     assert set(got) == {i for i in first if i % 10 == 0}
 
 
+@pytest.mark.parametrize("rows, splits, parts", [(16, 16, 16), (64, 16, 8), (200, 200, 200), (5, 1, 4), (3, 8, 2)])
+def test_blocks_are_dealt_out_evenly(spark, rows, splits, parts):
+    stored = spark.range(0, rows, 1, splits)
+    counts = [r["count"] for r in dealt(stored, parts).groupBy("part").count().collect()]
+    assert sum(counts) == rows
+    assert max(counts) <= -(-rows // parts)
+
+
 def test_repeated_query_rows_take_no_place():
     random = np.random.default_rng(2)
     for times in range(2, 8):
