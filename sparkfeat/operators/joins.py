@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.missing import as_column, ieee_div
+from sparkfeat.functions.missing import as_column, ieee_div, quoted
 from sparkfeat.operators.columns import check_distinct_names
 from sparkfeat.sources.store import materialize
 
@@ -17,17 +17,34 @@ from sparkfeat.sources.store import materialize
 HOT_SHARE = 1000
 # Tasks that the rows of one hot key are dealt out to.
 SALTS = 64
+# A table with at least as many columns besides the key is joined as one struct.
+PACKED_COLUMNS = 16
+
+
+def _packed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, list[str]]:
+    """The table with its columns but the key as one struct if they are many, and what unpacks them."""
+    columns = [c for c in df.columns if c != key]
+    if len(columns) < PACKED_COLUMNS:
+        return df, [quoted(c) for c in columns]
+    whole = f"struct({', '.join(quoted(c) for c in columns)}) AS {name}"
+    return df.selectExpr(quoted(key), whole), [f"{name}.{quoted(c)} AS {quoted(c)}" for c in columns]
 
 
 def assemble(entities: DataFrame, key: str, features: Sequence[DataFrame]) -> DataFrame:
     """Left-join feature tables, one row per key each, to the entity table.
 
     The feature tables come out of an aggregation by the key, so they are already partitioned
-    on it and only the entity table moves. Overlapping column names are an error.
+    on it and only the entity table moves. A wide table goes through sorts and joins as one struct,
+    so that no join of the chain copies hundreds of columns one by one. Overlapping column names
+    are an error.
     """
     names = [*entities.columns, *[c for f in features for c in f.columns if c != key]]
     check_distinct_names(names)
-    return reduce(lambda left, right: left.join(right, key, "left"), features, entities)
+    if not features:
+        return entities
+    tables, fields = zip(*[_packed(t, key, f"__table_{i}") for i, t in enumerate([entities, *features])])
+    joined = reduce(lambda left, right: left.join(right, key, "left"), tables)
+    return joined.selectExpr(quoted(key), *[f for table in fields for f in table])
 
 
 def join_shared(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -102,3 +102,16 @@ def test_wide_columns_share_one_count(spark, small):
     )
     out = aggregate(lines, "l_suppkey", {}, rates=levels(lines, ["q", "d", "p"]))
     assert plan(out).count("FileScan") == 2
+
+
+def test_wide_tables_go_through_the_joins_as_one_value(spark):
+    """Joins of the assembly copy a key and a struct a table; names, order, types and missing rows stay."""
+    entities = spark.range(30).selectExpr("id * 3 AS e0", "id AS k", *[f"id + {i} AS `e.{i}`" for i in range(1, 20)])
+    wide = spark.range(0, 40, 2).selectExpr("id AS k", *[f"nullif(id, 4) / {i} AS `w{i}`" for i in range(1, 40)])
+    narrow = spark.range(0, 40, 3).selectExpr("id AS k", "id AS n")
+    out = joins.assemble(entities, "k", [wide, narrow])
+    plain = entities.join(wide, "k", "left").join(narrow, "k", "left")
+    assert out.schema == plain.schema
+    assert sorted(out.collect(), key=lambda r: r.k) == sorted(plain.collect(), key=lambda r: r.k)
+    join = out._jdf.queryExecution().optimizedPlan().children().head()
+    assert "Join" in join.nodeName() and join.output().length() == 5  # keys of both sides, two structs, n
