@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sparkfeat.functions.missing import as_column
 from sparkfeat.operators.evaluate import grouped_auc
 from sparkfeat.operators.split import SEED
-from sparkfeat.sources.store import intermediate_path, use_checkpoints
+from sparkfeat.sources.store import intermediate_path, materialize, use_checkpoints
 
 # Parameters of the final model, under the names MLlib gives them.
 TREE_PARAMETERS = {
@@ -77,6 +77,19 @@ def train(df: DataFrame, model: Pipeline) -> PipelineModel:
     return model.fit(df)
 
 
+def train_wide(df: DataFrame, model: Pipeline) -> PipelineModel:
+    """:func:`train` on a table of hundreds of columns, whose vectors are assembled once.
+
+    The trainer reads its rows four times before the first tree (sizes, split points, rows to train
+    on, rows to validate on), and assembling a row costs far more than reading its stored vector.
+    """
+    use_checkpoints(df.sparkSession)
+    assembler, classifier = model.getStages()
+    rows = assembler.transform(df).drop(*assembler.getInputCols())
+    fitted = classifier.fit(materialize(rows, "vectors"))
+    return PipelineModel([assembler, fitted])
+
+
 def score(model, df: DataFrame, key: str, into: str = "TARGET") -> DataFrame:
     """Probability of class 1 for every row: the key and the score."""
     probability = vector_to_array("probability")[1]

@@ -253,7 +253,7 @@ def train_model(matrix: DataFrame, options: Options = Options()):
     pipeline = trees.boosted_trees(
         names, label, trees=options.trees, validation="is_validation", **options.parameters
     )
-    return trees.train(marked, pipeline)
+    return trees.train_wide(marked, pipeline)
 
 
 def _search_folds(matrix: DataFrame, options: Options) -> DataFrame:

@@ -358,6 +358,24 @@ def test_report_equals_sql_over_the_stored_scores(spark, matrices):
     assert model.stages[-1].getOrDefault("subsamplingRate") == best["subsamplingRate"]
 
 
+def test_training_reads_vectors_that_were_assembled_once(matrices, monkeypatch):
+    """What the trainer reads several times is one scan, without the marks' joins and the assembler."""
+    from pyspark.ml.classification import GBTClassifier
+
+    (train, _), options = matrices
+    read, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df, params=None: read.append(df) or fit(self, df, params))
+    fitted = scoring.train_model(train, options)
+    (rows,) = read
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "UDF" not in plan and "Join" not in plan
+    assert set(rows.columns) == {"TARGET", "SK_ID_CURR", "is_validation", "features"}
+    names = fitted.stages[0].getInputCols()
+    assert names == [c for c in train.columns if c not in ("TARGET", "SK_ID_CURR")]
+    want = {r.SK_ID_CURR: [float(r[c]) for c in names] for r in train.collect()}
+    assert {r.SK_ID_CURR: r.features.toArray().tolist() for r in rows.collect()} == want
+
+
 def test_nodes_are_those_of_the_trees(spark, matrices):
     """The stored nodes against the text that MLlib prints of the same trees."""
     import re
