@@ -86,7 +86,7 @@ def train_wide(df: DataFrame, model: Pipeline) -> PipelineModel:
     use_checkpoints(df.sparkSession)
     assembler, classifier = model.getStages()
     rows = assembler.transform(df).drop(*assembler.getInputCols())
-    fitted = classifier.fit(materialize(rows, "vectors"))
+    fitted = classifier.fit(materialize(rows, "vectors", dictionaries=False))
     return PipelineModel([assembler, fitted])
 
 

@@ -195,9 +195,13 @@ def store_matrix(
         filled = filled.join(table, history.CLIENT, "left").withColumn(LEVELS, or_empty(F.col(LEVELS), size))
         vectors = [LEVELS]
     if not options.narrow_integers:
-        return materialize(filled, "matrix", partition_by=IN_TRAIN, vectors=vectors, path=path)
-    stored = materialize(filled, "matrix", partition_by=IN_TRAIN, vectors=vectors)
-    return materialize(narrow(stored), "narrow-matrix", partition_by=IN_TRAIN, path=path)
+        return _stored_wide(filled, "matrix", vectors=vectors, path=path)
+    stored = _stored_wide(filled, "matrix", vectors=vectors)
+    return _stored_wide(narrow(stored), "narrow-matrix", path=path)
+
+
+def _stored_wide(wide: DataFrame, label: str, **settings) -> DataFrame:
+    return materialize(wide, label, partition_by=IN_TRAIN, dictionaries=False, **settings)
 
 
 def build_matrices(
@@ -265,7 +269,8 @@ def _search_folds(matrix: DataFrame, options: Options) -> DataFrame:
     marked = stratified_split(
         matrix, history.CLIENT, label, options.test_share, into="is_validation"
     )
-    return materialize(k_fold(marked, history.CLIENT, label, seed=SEED + 1), "folds")
+    folds = k_fold(marked, history.CLIENT, label, seed=SEED + 1)
+    return materialize(folds, "folds", dictionaries=False)
 
 
 def tune_class_weight(

@@ -126,11 +126,24 @@ APPLICATION = ("customer", None, {
 })
 
 
+_ROUNDED = re.compile(r"round\(([^()]*)\)")
+
+
+def whole_number(x: str) -> str:
+    """``round(x)`` of a double, halves away from zero, in Spark but without its decimal per value."""
+    half = f"abs({x} - rint({x})) = 5e-1"
+    return f"CASE WHEN {half} THEN {x} + signum({x}) * 5e-1 ELSE rint({x}) END + 0e0"
+
+
 def role(spark: SparkSession, sf: str, mapping) -> DataFrame:
     table, day_of, columns = mapping
     day = _DAY["spark"].format(c=day_of)
     named = [f"{e.replace('{day}', day)} AS {c}" for c, e in columns.items()]
-    return load_table(spark, sf, table).selectExpr(*named)
+    # Columns that round the same value share one column of whole numbers.
+    rounded = list(dict.fromkeys(x for e in named for x in _ROUNDED.findall(e)))
+    named = [_ROUNDED.sub(lambda m: f"__whole_{rounded.index(m[1])}", e) for e in named]
+    wholes = [f"{whole_number(x)} AS __whole_{i}" for i, x in enumerate(rounded)]
+    return load_table(spark, sf, table).selectExpr("*", *wholes).selectExpr(*named)
 
 
 def role_sql(mapping) -> str:

@@ -60,14 +60,18 @@ def materialize(
     partition_by: str | None = None,
     vectors: Sequence[str] = (),
     path: str | None = None,
+    dictionaries: bool = True,
 ) -> DataFrame:
     """Write ``df`` once and read it back; for results that several later jobs scan.
 
     ``vectors`` names columns that hold vectors in their stored form, to be read as vectors. With
-    a ``path`` the table replaces what is there, and :func:`intermediate_tables` leaves it.
+    a ``path`` the table replaces what is there, and :func:`intermediate_tables` leaves it. Without
+    ``dictionaries`` values are stored as they are: for tables of hundreds of numbers a row, where
+    looking every one up costs more than what is written.
     """
     spark = df.sparkSession
     writer = df.write.mode("overwrite") if path else df.write
+    writer = writer if dictionaries else writer.option("parquet.enable.dictionary", "false")
     path = path or intermediate_path(spark, label)
     writer = writer.partitionBy(partition_by) if partition_by else writer
     writer.parquet(path)

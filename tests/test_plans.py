@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkfeat.operators import joins
 from sparkfeat.operators.aggregate import Subset, aggregate
 from sparkfeat.operators.encode import levels
+from sparkfeat.registry import composites
 from tests.conftest import final_plan
 
 
@@ -104,6 +105,18 @@ def test_wide_columns_share_one_count(spark, small):
     assert plan(out).count("FileScan") == 2
 
 
+def test_roles_round_a_value_once_and_as_spark_does(spark, small):
+    odd = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.2, -0.0, 2.0**51 + 0.5, -(2.0**52) + 0.5,
+           2.0**53 + 2, 1e19, -1e300, 123456.49999999999, 7.0, float("inf"), float("-inf"), float("nan"), None]
+    rows = spark.createDataFrame([(x,) for x in odd], "x double")
+    got = rows.selectExpr("x", f"{composites.whole_number('x')} AS got", "round(x) AS want").collect()
+    assert [repr(r.got) for r in got] == [repr(r.want) for r in got]
+    for mapping in (composites.BUREAU, composites.PREVIOUS, composites.PAYMENTS, composites.CARDS, composites.APPLICATION):
+        text = plan(composites.role(spark, small, mapping))
+        assert "round(" not in text
+    assert plan(composites.role(spark, small, composites.BUREAU)).count("SIGNUM(") == 1
+
+
 def test_wide_tables_go_through_the_joins_as_one_value(spark):
     """Joins of the assembly copy a key and a struct a table; names, order, types and missing rows stay."""
     entities = spark.range(30).selectExpr("id * 3 AS e0", "id AS k", *[f"id + {i} AS `e.{i}`" for i in range(1, 20)])

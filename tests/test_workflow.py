@@ -376,6 +376,24 @@ def test_training_reads_vectors_that_were_assembled_once(matrices, monkeypatch):
     assert {r.SK_ID_CURR: r.features.toArray().tolist() for r in rows.collect()} == want
 
 
+def test_wide_tables_are_stored_without_dictionaries(matrices, monkeypatch):
+    """No number of a matrix, of its folds or of its vectors is looked up while they are written."""
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+    from pyspark.ml.classification import GBTClassifier
+
+    (train, test), options = matrices
+    read, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df, params=None: read.append(df) or fit(self, df, params))
+    scoring.train_model(train, options)
+    for table in [train, test, *read, scoring._search_folds(train, options)]:
+        files = [pq.ParquetFile(urlparse(f).path).metadata for f in table.inputFiles()]
+        groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+        used = {e for g in groups for c in range(g.num_columns) for e in g.column(c).encodings}
+        assert used and not {e for e in used if "DICTIONARY" in e}
+
+
 def test_nodes_are_those_of_the_trees(spark, matrices):
     """The stored nodes against the text that MLlib prints of the same trees."""
     import re
